@@ -71,26 +71,52 @@ def range_join(points: DataFrame, value: str, ranges: DataFrame, lo: str, hi: st
     return left.join(cut, left["_bucket"] == cut["_bucket"]).filter(condition).drop("_bucket")
 
 
-def wide_rank(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:
-    """1-based position of each row within ``by`` under ``order``, however large a group is.
+def wide_running(df: DataFrame, by: Sequence[str], order: Sequence[Column], sums: dict[str, Column]) -> DataFrame:
+    """Running totals (up to and including each row) within ``by`` under ``order``, however large a group is.
 
-    Rows are range-partitioned by (group, order) and settled; the position is the row's place inside its partition plus
-    the number of the group's rows in earlier partitions, so no group is ever sorted by one task.
+    Rows are range-partitioned by (group, order) and settled. A row's total is the total inside its partition plus the
+    group's totals of earlier partitions, so no group is ever sorted by one task; the table of offsets has at most one row
+    per group and partition.
     """
     by = list(by)
     keys = [F.col(c) for c in by]
     parts = settle(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
     earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (parts.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"))
-               .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n"))
-    offsets = offsets.select(*[F.col(c).alias(f"_k_{c}") for c in by], F.col("_part").alias("_k_part"), "_before")
+    totals = parts.groupBy(*by, "_part").agg(*[F.sum(e).alias(f"_t_{n}") for n, e in sums.items()])
+    offsets = totals.select(*[F.col(c).alias(f"_k_{c}") for c in by], F.col("_part").alias("_k_part"),
+                            *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in sums])
     same = F.col("_part") == F.col("_k_part")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-    inside = Window.partitionBy(*by, "_part").orderBy(*order)
-    return (parts.withColumn("_row", F.row_number().over(inside)).join(offsets, same)
-            .withColumn(name, (F.col("_before") + F.col("_row")).cast("long"))
-            .select(*df.columns, name))
+    inside = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = parts
+    for n, e in sums.items():
+        out = out.withColumn(f"_r_{n}", F.sum(e).over(inside))
+    return out.join(offsets, same).select(*df.columns, *[(F.col(f"_r_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums])
+
+
+def wide_rank(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """1-based position of each row within ``by`` under ``order`` (a total order), for groups of any size."""
+    return wide_running(df, by, order, {name: F.lit(1).cast("long")})
+
+
+def next_value(values: DataFrame, probes: DataFrame) -> DataFrame:
+    """For each probe row (v, probe) the smallest value ``u >= probe``; probes beyond the last value drop out.
+
+    Values and probes are range-partitioned together; a probe looks ahead inside its partition, and where nothing follows
+    it takes the first value of the next partition that has one.
+    """
+    mixed = values.select(F.col("v").alias("x"), F.lit(1).alias("kind"), F.lit(None).cast("double").alias("v")) \
+        .union(probes.select(F.col("probe").alias("x"), F.lit(0).alias("kind"), F.col("v")))
+    parts = settle(mixed.repartitionByRange("x", "kind").withColumn("_part", F.spark_partition_id()))
+    ahead = Window.partitionBy("_part").orderBy("x", "kind").rowsBetween(0, Window.unboundedFollowing)
+    inside = parts.withColumn("u", F.first(F.when(F.col("kind") == 1, F.col("x")), ignorenulls=True).over(ahead)).filter("kind = 0")
+    # One row per partition.
+    firsts = parts.filter("kind = 1").groupBy("_part").agg(F.min("x").alias("_first"))
+    every = parts.select("_part").distinct().join(firsts, "_part", "left")
+    later = Window.orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
+    carry = every.withColumn("_next", F.first("_first", ignorenulls=True).over(later)).select("_part", "_next")
+    return inside.join(F.broadcast(carry), "_part").select("v", F.coalesce("u", "_next").alias("u")).filter("u IS NOT NULL")
 
 
 def best_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, name: str | None = None) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import runs
 from ..functions.tokens import Filter, an_id, an_standard, number
+from ..session import spread
 
 
 @dataclass(frozen=True)
@@ -138,6 +139,7 @@ class SearchIndex:
 
     @classmethod
     def build(cls, corpus: DataFrame, fields: Sequence[Field], key: str = "doc_id") -> SearchIndex:
+        corpus = spread(corpus, key)
         return cls(corpus.withColumnRenamed(key, "doc_id"), forward_index(corpus, fields, key))
 
     @cached_property

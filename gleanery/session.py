@@ -52,3 +52,9 @@ def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, so that later reads all see the same rows."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Use all cores on inputs with too few splits (one small file). A large table has enough and is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
