@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.operators.index import SearchIndex, id_field, text_field
-from gleanery.session import scratch_path
+from gleanery.session import scratch_path, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,16 +27,16 @@ def check(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+KEYS = {"documents": "doc_id", "pages": "page_id"}
 
 
-FIELDS = (text_field("text"), id_field("lang"), id_field("source"))
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A given table; the text tables are spread over the cores when they come in one small file."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df, KEYS[name]) if name in KEYS else df
 
 
-@cache
-def _saved(app: str, sf: str, path: str) -> dict:
-    return {"path": path, "done": False}
+FIELDS = (text_field("text"), id_field("lang"), id_field("source"))
 
 
 _PATHS: dict[tuple[str, str], str] = {}
@@ -99,3 +98,9 @@ def scored(expr: str = BM25_SQL, name: str = "sc") -> str:
 
 # query terms of the benchmark table: qt(query_id, term)
 QUERY_TERMS = std_tokens("qtok", "benchmark", "item_id") + ", qt AS (SELECT DISTINCT item_id AS query_id, term FROM qtok)"
+
+
+def ascii(column: str) -> str:
+    """SQL that gives every accented letter of the texts a letter of its own in one byte: the oracle's edit distances
+    count bytes. Only for lower-case terms, as capitals are what it maps to."""
+    return f"translate({column}, 'áâàçéèêëíîïñóôòöúûùüäßœ', 'ABCDEFGHIJKLMNOPQRSTUVW')"

@@ -1,4 +1,4 @@
 """Imports every module that registers queries."""
 
-from . import ranked  # noqa: F401
+from . import clauses, indexing, ranked, tokens  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401

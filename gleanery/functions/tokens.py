@@ -210,8 +210,10 @@ def f_intraword(delims: str = DELIMITERS, splitwords: bool = True, splitnums: bo
     sep = "\u0001"
 
     def parts(term: Column) -> Column:
-        marked = F.regexp_replace(F.regexp_replace(term, possessive, sep), boundary, sep)
-        return F.filter(F.split(marked, f"{sep}+", -1), lambda p: p != "")
+        marked = F.regexp_replace(F.when(term.contains("'"), F.regexp_replace(term, possessive, sep)).otherwise(term), boundary, sep)
+        cut = F.filter(F.split(marked, f"{sep}+", -1), lambda p: p != "")
+        # Most tokens have nothing to split.
+        return F.when(term.rlike(r"^(?:\p{Ll}+|\p{Lu}+|\p{Nd}+)$"), F.array(term)).otherwise(cut)
 
     def kind(part: Column) -> Column:
         return F.when(part.rlike(r"^\p{L}+$"), F.lit("w")).when(part.rlike(r"^\p{Nd}+$"), F.lit("n")).otherwise(F.lit("x"))
@@ -239,7 +241,10 @@ def f_intraword(delims: str = DELIMITERS, splitwords: bool = True, splitnums: bo
                 F.transform(merged(v, i), lambda m: F.struct(m.alias("term"), i.alias("step")))))
         return F.flatten(plain)
 
-    def expand(tokens: Column) -> Column:
+    def expand(source: Column) -> Column:
+        return let(source, spread)
+
+    def spread(tokens: Column) -> Column:
         if mergewords or mergenums:
             lists = F.transform(tokens, lambda t: let(parts(t["term"]), lambda p: F.struct(
                 p.alias("parts"), F.transform(p, kind).alias("kinds"))))
@@ -267,7 +272,7 @@ def f_shingle(size: int, sep: str = "-") -> Filter:
     """Adjacent ``size``-tuples, at the first token's position; fewer tokens than ``size`` give one joined token."""
     def tuples(k: Column) -> Column:
         def joined(i: Column) -> Column:
-            return F.get(k, i).withField("term", F.array_join(F.slice(k["term"], i + 1, F.lit(size)), sep))
+            return F.get(k, i).withField("term", F.array_join(F.slice(k, i + 1, F.lit(size))["term"], sep))
 
         return F.when(F.size(k) >= size, F.transform(F.slice(k, F.lit(1), F.size(k) - (size - 1)), lambda t, i: joined(i))) \
             .when(F.size(k) > 0, F.array(joined(F.lit(0)))).otherwise(k)
@@ -278,10 +283,9 @@ def f_shingle(size: int, sep: str = "-") -> Filter:
 def f_tee(*chains: Filter) -> Filter:
     """The outputs of several chains, token by token."""
     def both(tokens: Column) -> Column:
-        outs = F.array(*[c(tokens) for c in chains])
-        longest = F.array_max(F.transform(outs, lambda o: F.size(o)))
-        return let(outs, lambda o: F.flatten(F.transform(
-            indices(longest), lambda i: F.filter(F.transform(o, lambda x: F.get(x, i)), lambda t: t.isNotNull()))))
+        outs = let(tokens, lambda ts: F.array(*[c(ts) for c in chains]))
+        return let(outs, lambda o: let(F.array_max(F.transform(o, lambda x: F.size(x))), lambda longest: F.flatten(F.transform(
+            indices(longest), lambda i: F.filter(F.transform(o, lambda x: F.get(x, i)), lambda t: t.isNotNull())))))
 
     return both
 

@@ -13,6 +13,7 @@ from ..functions.distance import deletions, edit_distance_osa, segment_keys, seg
 from ..functions.scoring import BM25, Model, Stats, frequency
 from ..functions.tokens import Filter
 from ..joins import fits_broadcast, lookup_join
+from ..session import settle
 from .index import SearchIndex
 
 CLAUSE = ["query_id", "clause_id"]
@@ -69,8 +70,11 @@ def _wants_positions(model: Model) -> bool:
 
 
 def constant_hits(index: SearchIndex, terms: DataFrame) -> DataFrame:
-    """Documents holding any of a clause's terms, scored by the clause's boost."""
-    terms = _with_boost(terms)
+    """Documents holding any of a clause's terms, scored by the clause's boost.
+
+    The expansion is settled first: it is measured and then used, and should be computed once.
+    """
+    terms = settle(_with_boost(terms))
     postings = index.postings.select("field", "term", "doc_id")
     hot = None if fits_broadcast(terms) else hot_terms(index)
     return lookup_join(postings, terms, ["field", "term"], hot=hot) \
@@ -111,14 +115,14 @@ def glob_regex(glob: Column) -> Column:
 
 def expand_wildcard(index: SearchIndex, clauses: DataFrame) -> DataFrame:
     literal = F.regexp_extract("text", r"^([^*?\[]*)", 1)
-    return _by_prefix(index, clauses.withColumn("_re", glob_regex(F.col("text"))), literal, F.col("term").rlike(F.col("_re")))
+    return _by_prefix(index, clauses.withColumn("_re", glob_regex(F.col("text"))), literal, F.regexp_like(F.col("term"), F.col("_re")))
 
 
 def expand_regex(index: SearchIndex, clauses: DataFrame) -> DataFrame:
     """Anchored at the start only. A plain-letter prefix (not followed by a quantifier) narrows the join."""
     plain = F.when(F.col("text").contains("|"), F.lit("")).otherwise(F.regexp_extract("text", r"^([\p{L}\p{N}_]*)(?![?*+{])", 1))
     anchored = F.concat(F.lit("^(?:"), F.col("text"), F.lit(")"))
-    return _by_prefix(index, clauses.withColumn("_re", anchored), plain, F.col("term").rlike(F.col("_re")))
+    return _by_prefix(index, clauses.withColumn("_re", anchored), plain, F.regexp_like(F.col("term"), F.col("_re")))
 
 
 def expand_range(index: SearchIndex, clauses: DataFrame) -> DataFrame:

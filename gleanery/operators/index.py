@@ -94,10 +94,10 @@ def forward_index(corpus: DataFrame, fields: Sequence[Field], key: str = "doc_id
             boost = boost * F.coalesce(F.col(f.boost_column), per_doc, F.lit(1.0))
         elif f.doc_boost_column:
             boost = boost * F.coalesce(F.col(f.doc_boost_column), F.lit(1.0))
-        # The element type tells whether the analyzer gave boosts.
-        boosted = "boost:" in corpus.select(tokens.alias("t")).dtypes[0][1]
-        terms = postings_of(F.coalesce(tokens, number(F.array().cast("array<string>"))) if not boosted else tokens,
-                            f.level, boost, boosted)
+        # The element type tells whether the analyzer gave boosts; a missing value has no tokens.
+        kind = corpus.select(tokens.alias("t")).schema["t"].dataType
+        boosted = "boost" in kind.elementType.names
+        terms = postings_of(F.coalesce(tokens, F.array().cast(kind)), f.level, boost, boosted)
         cells.append(F.struct(F.lit(f.field).alias("field"), F.lit(f.scorable).alias("scorable"), terms.alias("terms")))
     rows = corpus.select(F.col(key).alias("doc_id"), F.explode(F.array(*cells)).alias("c"))
     length = F.aggregate(F.col("c.terms.tf"), F.lit(0), lambda acc, x: acc + x)

@@ -15,6 +15,7 @@ from ..functions import phonetic
 from ..functions.arrays import indices, let, let_all
 from ..functions.stem import stem
 from ..joins import lookup_join
+from ..session import settle
 
 
 def lex_map(lexicon: DataFrame, fn: Callable[[str], str], term: str = "term", out: str = "mapped") -> DataFrame:
@@ -76,21 +77,30 @@ ENDINGS = (
 _VOWEL_START = ("es", "er", "ers", "est", "ed", "ing", "ings")
 
 
-def roots(word: Column) -> Column:
+def roots(word: str) -> list[str]:
     """Every root the word can be built from by one ending: plain, with e dropped, doubled consonant, or y as i."""
-    out = []
+    out = set()
     for e in ENDINGS:
-        has = F.length(word) > len(e)
-        ends = word.endswith(e) if e else F.lit(True)
-        base = F.substring(word, F.lit(1), F.length(word) - len(e))
-        forms = [F.when(has & ends & (F.length(base) >= 2), base)]
-        if e in _VOWEL_START:
-            forms.append(F.when(ends & base.rlike("[aeiouy].*[^aeiou]$"), F.concat(base, F.lit("e"))))
-            forms.append(F.when(ends & base.rlike(r"[aeiouy]([bdgklmnprst])\1$"), F.substring(base, F.lit(1), F.length(base) - 1)))
-        if e not in ("", "s", "ing", "ings"):
-            forms.append(F.when(ends & base.rlike("[^aeiou]i$"), F.regexp_replace(base, "i$", "y")))
-        out += forms
-    return F.array_distinct(F.filter(F.array(*out), lambda r: r.isNotNull() & r.rlike("[aeiouy]")))
+        base = word[: len(word) - len(e)]
+        if not word.endswith(e) or len(base) < 2 or not set(base) & set("aeiouy"):
+            continue
+        out.add(base)
+        closed = base[-1] not in "aeiou"
+        if e in _VOWEL_START and closed:
+            out.add(base + "e")
+            if base[-1] == base[-2] and base[-1] in "bdgklmnprst":
+                out.add(base[:-1])
+        if e not in ("", "s", "ing", "ings") and base[-1] == "i" and base[-2] not in "aeiou":
+            out.add(base[:-1] + "y")
+    return sorted(out)
+
+
+def with_roots(words: DataFrame, word: str) -> DataFrame:
+    @F.pandas_udf("array<string>")
+    def apply(ws: pd.Series) -> pd.Series:
+        return ws.map(roots)
+
+    return words.withColumn("root", F.explode(apply(F.col(word))))
 
 
 def lex_variations(words: DataFrame, lexicon: DataFrame, word: str = "word", irregular: DataFrame | None = None) -> DataFrame:
@@ -100,13 +110,12 @@ def lex_variations(words: DataFrame, lexicon: DataFrame, word: str = "word", irr
     (family, form): words of one family are variants of each other.
     """
     own = words.select(F.col(word).alias("word")).distinct()
-    asked = own.withColumn("root", F.explode(roots(F.col("word"))))
+    asked = settle(with_roots(own, "word"))
     # The root itself must be a word, as variants are kept only if they are in the lexicon.
     terms = lexicon.select("term").distinct()
     real = terms.withColumnRenamed("term", "root").join(asked.select("root").distinct(), "root", "left_semi")
-    known = asked.join(real.select("root"), "root", "left_semi")
-    built = terms.withColumn("root", F.explode(roots(F.col("term")))).join(real, "root", "left_semi")
-    found = lookup_join(built, known, ["root"]).select("word", F.col("term").alias("variant"))
+    known = settle(asked.join(real.select("root"), "root", "left_semi"))
+    found = lookup_join(with_roots(terms, "term"), known, ["root"]).select("word", F.col("term").alias("variant"))
     if irregular is not None:
         family = irregular.select("family", F.col("form").alias("word")).join(own, "word", "left_semi")
         found = found.union(irregular.join(family, "family").select("word", F.col("form").alias("variant"))

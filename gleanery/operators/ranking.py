@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.sortkeys import missing_aware, natural_key
 from ..joins import best_per_group, lookup_join, wide_rank
 
-BEST_FIRST = [F.desc, F.asc]
-
-
 def by_score() -> list[Column]:
-    return [F.col("score").desc(), F.col("doc_id").asc()]
+    """Best first, ties to the lower doc id. Sums of doubles depend on the order of addition, which a shuffle does not fix,
+    so scores equal to nine decimals count as tied; ranks are then the same in every run."""
+    return [F.round("score", 9).desc(), F.col("doc_id").asc()]
 
 
 def top_k(hits: DataFrame, k: int = 10, order: Sequence[Column] | None = None) -> DataFrame:
@@ -25,7 +24,7 @@ def top_k(hits: DataFrame, k: int = 10, order: Sequence[Column] | None = None) -
 
 def all_hits(hits: DataFrame, reverse: bool = False) -> DataFrame:
     """Every hit, sorted inside its query; ``reverse`` flips both keys."""
-    keys = [F.asc("score"), F.desc("doc_id")] if reverse else by_score()
+    keys = [F.round("score", 9).asc(), F.desc("doc_id")] if reverse else by_score()
     return hits.orderBy("query_id", *keys)
 
 
