@@ -157,9 +157,11 @@ def h_nested_children(parent_hits: DataFrame, children: DataFrame, boost: float
 
 def h_nested_delete(hits: DataFrame, parents: DataFrame, children: DataFrame) -> DataFrame:
     """Ids to delete: any hit parent or child takes the parent and all its children along."""
-    touched = (hits.join(children, hits["doc_id"] == children["doc_id"]).select(children["parent_id"])
-               .union(hits.join(parents, hits["doc_id"] == parents["parent_id"]).select(parents["parent_id"]))).distinct()
-    kids = children.join(touched, "parent_id", "left_semi").select(F.lit("child").alias("kind"), F.col("doc_id"))
+    pairs = children.select("doc_id", "parent_id")
+    ids = hits.select("doc_id").distinct()
+    touched = (pairs.join(ids, "doc_id", "left_semi").select("parent_id")
+               .union(parents.select("parent_id").join(ids.withColumnRenamed("doc_id", "parent_id"), "parent_id", "left_semi"))).distinct()
+    kids = pairs.join(touched, "parent_id", "left_semi").select(F.lit("child").alias("kind"), "doc_id")
     return touched.select(F.lit("parent").alias("kind"), F.col("parent_id").alias("doc_id")).union(kids)
 
 

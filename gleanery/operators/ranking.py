@@ -61,14 +61,19 @@ def total_hits(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
 
 
-def page(hits: DataFrame, pagenum: int, pagelen: int = 10, order: Sequence[Column] | None = None) -> DataFrame:
-    """Ranks (p-1)*len+1 .. p*len with ``total`` and ``pagecount``. Asking beyond a query's last page is an error."""
+def page(hits: DataFrame, pagenum: int, pagelen: int = 10, order: Sequence[Column] | None = None, strict: bool = True) -> DataFrame:
+    """Ranks (p-1)*len+1 .. p*len with ``total`` and ``pagecount``.
+
+    Asking beyond a query's last page is an error; unless ``strict``, such a query has no rows in the result.
+    """
     if pagenum < 1:
         raise ValueError("pages count from 1")
     last = pagenum * pagelen
     ranked = top_k(hits, last, order)
     counted = lookup_join(ranked, total_hits(hits), ["query_id"]) \
         .withColumn("pagecount", F.ceil(F.col("total") / pagelen).cast("long"))
+    if not strict:
+        return counted.withColumn("rank", F.col("rank").cast("long")).filter(F.col("rank") > last - pagelen)
     beyond = F.col("pagecount") < pagenum
     checked = F.when(beyond, F.raise_error(F.concat(F.lit("no such page for query "), F.col("query_id").cast("string"))).cast("long")) \
         .otherwise(F.col("rank").cast("long"))
