@@ -40,9 +40,16 @@ def edit_distance_osa(a: Column, b: Column) -> Column:
         return F.aggregate(v["a"], start, next_row, lambda acc: F.element_at(acc["above"], -1))
 
     chars = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+
+    def swappable(i: Column) -> Column:
+        pair = F.substring(a, i, F.lit(2))
+        return (F.reverse(pair) != pair) & F.contains(b, F.reverse(pair))
+
+    # The table is only needed where a swap can pay off: from Levenshtein distance 2 on, and if some pair of neighbours
+    # of one word stands the other way round in the other.
+    pays = F.when(F.length(a) < 2, F.lit(False)).otherwise(F.exists(F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1))), swappable))
     plain = F.levenshtein(a, b)
-    # A swap can only pay off from Levenshtein distance 2 on.
-    return F.when(plain <= 1, plain).otherwise(let_all({"a": chars(a), "b": chars(b)}, table))
+    return F.when((plain <= 1) | ~pays, plain).otherwise(let_all({"a": chars(a), "b": chars(b)}, table))
 
 
 def similarity_relative(a: Column, b: Column) -> Column:

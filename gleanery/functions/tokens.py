@@ -83,11 +83,11 @@ def _strip(col: Column) -> Column:
 def _grams(text: Column, sizes: Column) -> Column:
     """Grams of each size at each start, ordered by start then size, as structs (term, start)."""
     def at(v: Column) -> Column:
-        return F.flatten(F.transform(indices(F.length(v["t"])), lambda i: F.transform(
-            F.filter(v["sizes"], lambda n: i + n <= F.length(v["t"])),
-            lambda n: F.struct(F.substring(v["t"], i + 1, n).alias("term"), i.alias("start"), n.alias("size")))))
+        return F.flatten(F.transform(indices(F.size(v["chars"])), lambda i: F.transform(
+            F.filter(v["sizes"], lambda n: i + n <= F.size(v["chars"])),
+            lambda n: F.struct(F.array_join(F.slice(v["chars"], i + 1, n), "").alias("term"), i.alias("start")))))
 
-    return let_all({"t": text, "sizes": sizes}, at)
+    return let_all({"chars": F.filter(F.split(text, ""), lambda c: c != ""), "sizes": sizes}, at)
 
 
 def tok_ngram(text: Column, minsize: int, maxsize: int | None = None, query: bool = False) -> Column:

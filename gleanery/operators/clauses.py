@@ -13,7 +13,7 @@ from ..functions.distance import deletions, edit_distance_osa, segment_keys, seg
 from ..functions.scoring import BM25, Model, Stats, frequency
 from ..functions.tokens import Filter
 from ..joins import fits_broadcast, lookup_join
-from ..session import settle
+from ..session import settle, spread
 from .index import SearchIndex
 
 CLAUSE = ["query_id", "clause_id"]
@@ -152,6 +152,7 @@ def within_distance(words: DataFrame, terms: DataFrame, maxdist: int, prefix: in
     partner is missed, and a key's group is bounded by the alphabet and the word length, not by the data.
     """
     probe = words.select("field", "text").distinct()
+    terms = spread(terms.select("field", "term"), "term")
     close = F.abs(F.length("term") - F.length("text")) <= maxdist
     head = lambda c: F.substring(c, F.lit(1), F.lit(prefix))
     tail = lambda c: F.substring(c, F.lit(prefix + 1), F.length(c))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import indices, let
 from ..functions.distance import edit_distance
 from ..functions.scoring import BM25, Bo1, Model
 from ..joins import best_per_group, lookup_join, next_value, wide_running
@@ -115,9 +116,8 @@ def more_like(index: SearchIndex, field: str, top: int = 10, number: int = 5, mo
 
 def char_shingles(corpus: DataFrame, text: str = "text", size: int = 2, key: str = "doc_id") -> DataFrame:
     """Counts of character k-grams: (doc_id, shingle, n)."""
-    t = F.col(text)
-    n = F.length(t) - (size - 1)
-    cut = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(t, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    chars = F.filter(F.split(F.col(text), ""), lambda c: c != "")
+    cut = let(chars, lambda cs: F.transform(indices(F.size(cs) - (size - 1)), lambda i: F.array_join(F.slice(cs, i + 1, F.lit(size)), "")))
     return corpus.select(F.col(key).alias("doc_id"), F.explode(cut).alias("shingle")) \
         .groupBy("doc_id", "shingle").agg(F.count(F.lit(1)).alias("n"))
 
@@ -276,7 +276,7 @@ def suggest(words: DataFrame, dictionary: DataFrame, limit: int = 5, maxdist: in
     ``words`` is (field, text); ``dictionary`` is (field, term, freq). Nearer first, then more frequent, then by word; the
     word itself is left out.
     """
-    pairs = within_distance(words, dictionary, maxdist, prefix).filter(F.col("text") != F.col("term"))
+    pairs = settle(within_distance(words, dictionary, maxdist, prefix).filter(F.col("text") != F.col("term")))
     found = lookup_join(dictionary.select("field", "term", "freq"), pairs, ["field", "term"])
     best = best_per_group(found, ["field", "text"], [F.asc("distance"), F.desc("freq"), F.asc("term")], limit, "rank")
     return best.select("field", "text", F.col("term").alias("suggestion"), "distance", "freq", "rank")
@@ -293,17 +293,18 @@ def suggest_from_list(words: DataFrame, *sources: DataFrame, limit: int = 5, max
 
 def gram_rows(words: DataFrame, word: str, mingram: int = 3, maxgram: int = 4) -> DataFrame:
     """(word, kind, gram, tf): all grams of each size, and the first and last gram of each size as kinds of their own."""
-    w = F.col(word)
-    cells = []
-    for size in range(mingram, maxgram + 1):
+    w = F.lower(F.col(word))
+
+    def of_size(size: int) -> list[Column]:
         n = F.length(w) - (size - 1)
-        grams = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i, size=size: F.substring(w, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
-        cells.append(F.transform(grams, lambda g, size=size: F.struct(F.lit(f"gram{size}").alias("kind"), F.lower(g).alias("gram"))))
-        ends = F.filter(F.array(
-            F.when(n > 0, F.struct(F.lit(f"start{size}").alias("kind"), F.lower(F.substring(w, F.lit(1), F.lit(size))).alias("gram"))),
-            F.when(n > 0, F.struct(F.lit(f"end{size}").alias("kind"), F.lower(F.substring(w, n, F.lit(size))).alias("gram")))), lambda x: x.isNotNull())
-        cells.append(ends)
-    return words.select(w.alias("word"), F.explode(F.concat(*cells)).alias("g")).groupBy("word", "g.kind", "g.gram").agg(F.count(F.lit(1)).alias("tf"))
+        entry = lambda kind, gram: F.struct(F.lit(f"{kind}{size}").alias("kind"), gram.alias("gram"))
+        grams = F.transform(indices(n), lambda i: entry("gram", F.substring(w, i + 1, F.lit(size))))
+        ends = F.filter(F.array(F.when(n > 0, entry("start", F.substring(w, F.lit(1), F.lit(size)))),
+                                F.when(n > 0, entry("end", F.substring(w, n, F.lit(size))))), lambda x: x.isNotNull())
+        return [grams, ends]
+
+    cells = [c for size in range(mingram, maxgram + 1) for c in of_size(size)]
+    return words.select(F.col(word).alias("word"), F.explode(F.concat(*cells)).alias("g")).groupBy("word", "g.kind", "g.gram").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def suggest_ngrams(texts: DataFrame, words: DataFrame, number: int = 3, booststart: float = 2.0, boostend: float = 1.0,
@@ -328,7 +329,7 @@ def suggest_ngrams(texts: DataFrame, words: DataFrame, number: int = 3, booststa
 
 def correct_queries(index: SearchIndex, terms: DataFrame, maxdist: int = 2, prefix: int = 0) -> DataFrame:
     """Query terms with ``corrected``: a term missing from the lexicon becomes its best suggestion, if there is one."""
-    missing = existing_terms(index, terms, reverse=True).select("field", F.col("term").alias("text")).distinct()
+    missing = settle(existing_terms(index, terms, reverse=True).select("field", F.col("term").alias("text")).distinct())
     words = index.term_stats.select("field", "term", F.col("cf").alias("freq"))
-    best = suggest(missing, words, 1, maxdist, prefix).select("field", F.col("text").alias("term"), "suggestion")
+    best = settle(suggest(missing, words, 1, maxdist, prefix).select("field", F.col("text").alias("term"), "suggestion"))
     return lookup_join(terms, best, ["field", "term"], "left").withColumn("corrected", F.coalesce("suggestion", "term")).drop("suggestion")
