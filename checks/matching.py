@@ -25,13 +25,18 @@ def dictionary(spark, sf):
 
 
 def occurrences(source: str, key: str, text: str) -> str:
-    """CTE m(key, pos, term): every dictionary term at every place where it does not touch a letter or digit of ASCII."""
-    return (f"src AS (SELECT {key} AS id, {text} AS t FROM {source}), cs AS (SELECT id, string_split(t, '') AS c FROM src), "
-            "st AS (SELECT id, c, unnest(generate_series(1, len(c))) AS i FROM cs), "
-            "ok AS (SELECT id, i, array_to_string(c[i:i + 60], '') AS win FROM st WHERE NOT (regexp_matches(c[i], '[A-Za-z0-9]') AND i > 1 AND regexp_matches(c[i - 1], '[A-Za-z0-9]'))), "
+    """CTE m(id, pos, term): every dictionary term at every place where it does not touch a letter or digit of ASCII.
+
+    Texts are cut into runs of characters a term can hold, so that places are looked at in short strings.
+    """
+    return (f"src AS (SELECT {key} AS id, regexp_extract_all({text}, '[\\pL\\pN_. ]+|[^\\pL\\pN_. ]+') AS ps FROM {source}), "
+            "pcs AS (SELECT id, unnest(ps) AS piece, generate_subscripts(ps, 1) AS k FROM src), "
+            "lo AS (SELECT id, piece, sum(length(piece)) OVER (PARTITION BY id ORDER BY k) - length(piece) AS off FROM pcs), "
+            "st AS (SELECT id, off, piece, unnest(generate_series(1, length(piece))) AS i FROM lo WHERE regexp_matches(piece, '[\\pL\\pN_. ]')), "
+            "ok AS (SELECT id, (off + i - 1)::BIGINT AS pos, substr(piece, i, 60) AS win FROM st WHERE NOT (i > 1 AND regexp_matches(substr(piece, i - 1, 2), '^[A-Za-z0-9]{2}'))), "
             "ln AS (SELECT DISTINCT length(term) AS n FROM dict), "
-            "m AS (SELECT id, i - 1 AS pos, term FROM ok CROSS JOIN ln JOIN dict ON substr(win, 1, n) = term AND length(term) = n "
-            "WHERE NOT (regexp_matches(term, '^[A-Za-z0-9]') AND regexp_matches(substr(win, n + 1, 1), '[A-Za-z0-9]')))")
+            "cut AS (SELECT id, pos, n, substr(win, 1, n) AS term, substr(win, n + 1, 1) AS nxt FROM ok CROSS JOIN ln WHERE length(win) >= n), "
+            "m AS (SELECT id, pos, term FROM cut SEMI JOIN dict USING (term) WHERE NOT (regexp_matches(term, '^[A-Za-z0-9]') AND regexp_matches(nxt, '[A-Za-z0-9]')))")
 
 
 PREPARED = "replace(lower(text), '&nbsp', '')"
@@ -103,8 +108,8 @@ def prefix_complete(spark, sf):
     return Di.prefix_complete(*prefix_tables(spark, sf))
 
 
-@check("highlight_terms", f"""WITH {PART_DICT} SELECT p_partkey, list_aggregate(list_transform(string_split(upper(p_name) || ' unpart', ' '), lambda w: CASE WHEN lower(w) IN (SELECT term FROM pd) THEN '<b>' || w || '</b>' ELSE w END), 'string_agg', ' ') AS marked FROM part""".replace(
-    "CASE WHEN lower(w) IN (SELECT term FROM pd) THEN", "CASE WHEN list_contains((SELECT list(term) FROM pd), lower(w)) THEN"))
+@check("highlight_terms", f"""WITH {PART_DICT}, l AS (SELECT list(term) AS ts FROM pd)
+SELECT p_partkey, array_to_string(list_transform(string_split(upper(p_name) || ' unpart', ' '), lambda w: CASE WHEN list_contains(ts, lower(w)) THEN '<b>' || w || '</b>' ELSE w END), ' ') AS marked FROM part, l""")
 def highlight_terms(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", F.concat(F.upper("p_name"), F.lit(" unpart")).alias("text"))
     return Di.highlight_terms(p, part_dict(spark, sf), key="p_partkey").select("p_partkey", "marked")
