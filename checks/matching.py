@@ -7,6 +7,7 @@ from gleanery.operators import dictionary as Di
 from gleanery.operators import snippets as Sn
 from gleanery.operators.index import SearchIndex, keyword_field
 from gleanery.plans import service as Sv
+from gleanery.session import scratch_path
 from gleanery.sources.readers import html_to_text
 
 from .base import PATTERN, POSTINGS, QUERY_TERMS, check, index, r6, raw_tokens, scored, table
@@ -241,7 +242,8 @@ def page_tag_match(spark, sf):
     # Of several pages with one address the first counts.
     first = pages.groupBy(Sv.canonical_url(pattern=PAGE_URL).alias("url")).agg(F.min_by("text", "page_id").alias("text")).filter("url IS NOT NULL")
     tags = Sv.tag_pages(first, dictionary(spark, sf), "text", 5, PAGE_URL)
-    return Sv.page_tag_match(SearchIndex.build(docs, [keyword_field("tags")]), pages, tags, 10, PAGE_URL, key="page_id")
+    idx = SearchIndex.build(docs, [keyword_field("tags")]).save(scratch_path(spark, "tags"))
+    return Sv.page_tag_match(idx, pages, tags, 10, PAGE_URL, key="page_id")
 
 
 @check("unseen_urls", f"WITH {CANON} SELECT DISTINCT curl AS url FROM ca WHERE curl IS NOT NULL AND curl NOT IN (SELECT curl FROM ca WHERE page_id % 2 = 0 AND curl IS NOT NULL)")

@@ -64,14 +64,13 @@ def s_distance(spark, sf):
                                                     S.touches(x, y).alias("touches"), both["start"].cast("long").alias("start"), both["end"].cast("long").alias("end"))
 
 
-# Phrases: the first two neighbouring words of every document, looked for in all documents.
-@check("s_phrase", f"""WITH {scored()}, w AS (SELECT doc_id AS query_id, term, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM tok),
-ph AS (SELECT a.query_id, a.term AS t0, b.term AS t1 FROM w a JOIN w b ON a.query_id = b.query_id AND a.i = 1 AND b.i = 2),
-m AS (SELECT query_id, x.doc_id, x.pos AS start FROM ph JOIN tok x ON x.term = t0 JOIN tok y ON y.term = t1 AND y.doc_id = x.doc_id AND y.pos = x.pos + 1)
-SELECT m.query_id, m.doc_id, m.start, m.start + 1 AS "end", round(s0.s + s1.s, 6) AS score FROM m JOIN ph USING (query_id) JOIN sc s0 ON s0.term = t0 AND s0.doc_id = m.doc_id JOIN sc s1 ON s1.term = t1 AND s1.doc_id = m.doc_id""")
+# Phrases: every pair of neighbouring words in the benchmark texts, each pair once.
+@check("s_phrase", f"""WITH {scored()}, {std_tokens('bt', 'benchmark', 'item_id')}, ph AS (SELECT DISTINCT a.term AS t0, b.term AS t1 FROM bt a JOIN bt b ON a.item_id = b.item_id AND b.pos = a.pos + 1),
+m AS (SELECT t0, t1, x.doc_id, x.pos AS start FROM ph JOIN tok x ON x.term = t0 JOIN tok y ON y.term = t1 AND y.doc_id = x.doc_id AND y.pos = x.pos + 1)
+SELECT t0 || ' ' || t1 AS query_id, m.doc_id, m.start, m.start + 1 AS "end", round(s0.s + s1.s, 6) AS score FROM m JOIN sc s0 ON s0.term = t0 AND s0.doc_id = m.doc_id JOIN sc s1 ON s1.term = t1 AND s1.doc_id = m.doc_id""")
 def s_phrase(spark, sf):
-    docs = table(spark, sf, "documents")
-    two = lambda c: F.slice(T.an_standard()(c), 1, 2)
-    phrases = P.phrase_terms(docs.select(F.col("doc_id").alias("query_id"), "text"), two, "text").filter("n_words = 2")
+    pairs = T.chain(T.an_standard(), T.f_shingle(2, " "))(F.col("text"))
+    texts = table(spark, sf, "benchmark").select(F.explode(pairs).alias("p")).select(F.col("p.term").alias("query_id")).distinct()
+    phrases = P.phrase_terms(texts.withColumn("text", F.col("query_id")), T.tok_space, "text").filter("n_words = 2")
     out = P.span_rows(P.s_phrase(index(spark, sf), phrases))
     return out.select("query_id", "doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), r6())

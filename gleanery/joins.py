@@ -61,7 +61,8 @@ def range_join(points: DataFrame, value: str, ranges: DataFrame, lo: str, hi: st
     step = ((b - a) / buckets) or 1.0
 
     def slot(col: Column) -> Column:
-        return F.greatest(F.lit(0), F.least(F.lit(buckets), F.floor((col.cast("double") - F.lit(a)) / F.lit(step)))).cast("int")
+        # greatest() and least() pass over nulls, so an open end has to be kept apart.
+        return F.when(col.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(buckets), F.floor((col.cast("double") - F.lit(a)) / F.lit(step)))).cast("int"))
 
     first = F.coalesce(slot(F.col(lo)), F.lit(0))
     last = F.coalesce(slot(F.col(hi)), F.lit(buckets))
@@ -109,13 +110,14 @@ def next_value(values: DataFrame, probes: DataFrame) -> DataFrame:
     mixed = values.select(F.col("v").alias("x"), F.lit(1).alias("kind"), F.lit(None).cast("double").alias("v")) \
         .union(probes.select(F.col("probe").alias("x"), F.lit(0).alias("kind"), F.col("v")))
     parts = settle(mixed.repartitionByRange("x", "kind").withColumn("_part", F.spark_partition_id()))
-    ahead = Window.partitionBy("_part").orderBy("x", "kind").rowsBetween(0, Window.unboundedFollowing)
-    inside = parts.withColumn("u", F.first(F.when(F.col("kind") == 1, F.col("x")), ignorenulls=True).over(ahead)).filter("kind = 0")
+    # Read backwards, so that a running frame sees what follows; at one place the value comes before the probe.
+    seen = Window.partitionBy("_part").orderBy(F.desc("x"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
+    inside = parts.withColumn("u", F.last(F.when(F.col("kind") == 1, F.col("x")), ignorenulls=True).over(seen)).filter("kind = 0")
     # One row per partition.
     firsts = parts.filter("kind = 1").groupBy("_part").agg(F.min("x").alias("_first"))
     every = parts.select("_part").distinct().join(firsts, "_part", "left")
-    later = Window.orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
-    carry = every.withColumn("_next", F.first("_first", ignorenulls=True).over(later)).select("_part", "_next")
+    later = Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    carry = every.withColumn("_next", F.last("_first", ignorenulls=True).over(later)).select("_part", "_next")
     return inside.join(F.broadcast(carry), "_part").select("v", F.coalesce("u", "_next").alias("u")).filter("u IS NOT NULL")
 
 
