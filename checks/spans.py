@@ -66,7 +66,8 @@ def s_distance(spark, sf):
 
 # Phrases: every pair of neighbouring words in the benchmark texts, each pair once.
 @check("s_phrase", f"""WITH {scored()}, {std_tokens('bt', 'benchmark', 'item_id')}, ph AS (SELECT DISTINCT a.term AS t0, b.term AS t1 FROM bt a JOIN bt b ON a.item_id = b.item_id AND b.pos = a.pos + 1),
-m AS (SELECT t0, t1, x.doc_id, x.pos AS start FROM ph JOIN tok x ON x.term = t0 JOIN tok y ON y.term = t1 AND y.doc_id = x.doc_id AND y.pos = x.pos + 1)
+bg AS (SELECT doc_id, pos AS start, term AS t0, lead(term) OVER (PARTITION BY doc_id ORDER BY pos) AS t1 FROM tok),
+m AS (SELECT bg.* FROM bg SEMI JOIN ph USING (t0, t1))
 SELECT t0 || ' ' || t1 AS query_id, m.doc_id, m.start, m.start + 1 AS "end", round(s0.s + s1.s, 6) AS score FROM m JOIN sc s0 ON s0.term = t0 AND s0.doc_id = m.doc_id JOIN sc s1 ON s1.term = t1 AND s1.doc_id = m.doc_id""")
 def s_phrase(spark, sf):
     pairs = T.chain(T.an_standard(), T.f_shingle(2, " "))(F.col("text"))
