@@ -87,16 +87,17 @@ def q_term(index: SearchIndex, clauses: DataFrame, model: Model | None = None) -
 
 # ---- clauses that stand for several terms -------------------------------------------------------------------------
 
-def _prefixes(terms: DataFrame) -> DataFrame:
-    """Every prefix of every term as a join key, from the empty one up."""
-    return terms.withColumn("_key", F.explode(F.transform(
-        F.sequence(F.lit(0), F.length("term")), lambda n: F.substring("term", F.lit(1), n))))
+def _prefixes(terms: DataFrame, longest: int) -> DataFrame:
+    """Every prefix of every term as a join key, from the empty one up to the longest one asked for."""
+    sizes = F.sequence(F.lit(0), F.least(F.length("term"), F.lit(longest)))
+    return terms.withColumn("_key", F.explode(F.transform(sizes, lambda n: F.substring("term", F.lit(1), n))))
 
 
 def _by_prefix(index: SearchIndex, clauses: DataFrame, literal: Column, test: Column | None) -> DataFrame:
     """Join clauses to the lexicon by the clause's literal prefix (an equality on prefixes), then test the rest."""
     keyed = _with_boost(clauses).withColumn("_key", literal)
-    out = lookup_join(_prefixes(index.lexicon), keyed, ["field", "_key"])
+    longest = keyed.agg(F.max(F.length("_key"))).first()[0] or 0
+    out = lookup_join(_prefixes(index.lexicon, longest), keyed, ["field", "_key"])
     if test is not None:
         out = out.filter(test)
     return out.select(*CLAUSE, "field", "term", "boost")
