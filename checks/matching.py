@@ -10,7 +10,7 @@ from gleanery.plans import service as Sv
 from gleanery.session import scratch_path
 from gleanery.sources.readers import html_to_text
 
-from .base import PATTERN, POSTINGS, QUERY_TERMS, check, index, r6, raw_tokens, scored, table
+from .base import check, raw_tokens, table
 from .clauses import benchmark_terms
 from .scores import HITS, hits
 

@@ -6,7 +6,6 @@ from gleanery.functions import distance as D
 from gleanery.functions import scoring as Sc
 from gleanery.functions import tokens as T
 from gleanery.operators import mining as M
-from gleanery.operators.ranking import top_k
 
 from .base import POSTINGS, QUERY_TERMS, ascii, check, index, r6, scored, std_tokens, table
 from .clauses import benchmark_terms

@@ -6,7 +6,6 @@ Token lists are compared as one row per text: number of tokens, sum of positions
 from pyspark.sql import functions as F
 
 from gleanery.functions import tokens as T
-from gleanery.functions.phonetic import lex_soundex
 from gleanery.operators import lexicon as L
 from gleanery.sources import readers as R
 

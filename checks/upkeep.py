@@ -9,7 +9,7 @@ from gleanery.session import scratch_path
 from gleanery.streaming import ChangeTable, StatisticsTable, stream_buffered_commit, stream_new_urls, stream_tag, stream_tail, stream_term_stats, stream_upsert_delete
 
 from .base import POSTINGS, check, index, table
-from .matching import DICT, PAGE_URL, TAGS, dictionary
+from .matching import PAGE_URL, TAGS, dictionary
 
 # Changes to the orders come from the events: user u changes order u, the event number is the arrival order.
 NEW = "up AS (SELECT user_id AS k, event_type AS status, value AS price, event_id AS seq FROM events)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .arrays import let, let_all
+from .arrays import let_all
 
 SPANS = "array<struct<start:int,end:int>>"
 

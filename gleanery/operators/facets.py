@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..joins import best_per_group, lookup_join, range_join, wide_rank
+from ..joins import best_per_group, wide_rank
 from .ranking import by_score
 
 

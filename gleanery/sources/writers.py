@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..joins import best_per_group, lookup_join
+from ..joins import best_per_group
 from ..operators.index import write_postings  # noqa: F401
 from ..operators.ranking import by_score, total_hits
 
