@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, gam, rules
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -16,3 +16,14 @@ def op10_byte_bpe(spark, sf):
     ids = bpe.encode(table(spark, sf, "documents"), RANKS, public_tokenizers.PATTERN)
     back = bpe.decode(ids, RANKS, public_tokenizers.PATTERN, ["doc_id", "n_tokens", "ids"])
     return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+@query("op3_quality_rules")
+def op3_quality_rules(spark, sf):
+    return rules.judge(table(spark, sf, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_quality")
+
+
+@query("op5_quality_gam")
+def op5_quality_gam(spark, sf):
+    return gam.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
