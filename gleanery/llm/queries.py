@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, gam, rules
+from . import bpe, gam, pii, rules
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -27,3 +27,10 @@ def op3_quality_rules(spark, sf):
 @query("op5_quality_gam")
 def op5_quality_gam(spark, sf):
     return gam.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op1_pii_spans")
+def op1_pii_spans(spark, sf):
+    found = pii.find(table(spark, sf, "documents"))
+    number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[number(k) for k in pii.BASE], F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"))

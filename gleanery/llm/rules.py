@@ -17,7 +17,8 @@ GOOD, BAD, NONE = 1, -1, 0
 
 @dataclass(frozen=True)
 class Rule:
-    """Votes BAD outside ``[low, high]``, GOOD inside ``[good_low, good_high]``, else abstains; abstains without words."""
+    """Votes BAD outside ``[low, high]``, GOOD inside ``[good_low, good_high]``, else abstains; abstains without words and where
+    the denominator is under ``least``."""
 
     name: str
     over: str
@@ -26,23 +27,24 @@ class Rule:
     high: float = math.inf
     good_low: float = -math.inf
     good_high: float = math.inf
+    least: int = 0
 
     def vote(self) -> Column:
         value = F.col(self.over) / F.greatest(F.col(self.under), F.lit(1))
         bad = (value < self.low) | (value > self.high)
         good = (value >= self.good_low) & (value <= self.good_high)
-        return F.when(F.col("n_words") == 0, NONE).when(bad, BAD).when(good, GOOD).otherwise(NONE)
+        return F.when((F.col("n_words") == 0) | (F.col(self.under) < self.least), NONE).when(bad, BAD).when(good, GOOD).otherwise(NONE)
 
 
 RULES = (
     Rule("symbols", "n_symbols", "n_words", high=0.1, good_high=0.01),
     Rule("bangs", "n_bangs", "n_words", high=0.1, good_high=0.05),
     Rule("capitals", "n_upper", "n_chars", high=0.3, good_high=0.1),
-    Rule("same_lines", "n_dup_lines", "n_lines", high=0.3, good_high=0.1),
+    Rule("same_lines", "n_dup_lines", "n_lines", high=0.5, good_high=0.1),
     Rule("repeats", "n_repeat_words", "n_words", high=0.3, good_high=0.1),
     Rule("word_length", "word_chars", "n_words", low=2.5, high=11, good_low=3, good_high=9),
     Rule("variety", "n_distinct_words", "n_words", low=0.15, good_low=0.3),
-    Rule("endings", "n_ended_lines", "n_lines", low=0.1, good_low=0.5),
+    Rule("endings", "n_ended_lines", "n_lines", low=0.1, good_low=0.5, least=3),
 )
 
 
