@@ -156,8 +156,12 @@ def held_out(key: str, folds: int = 5) -> F.Column:
 def train(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", max_rows: int = MAX_TRAIN_ROWS) -> Model:
     """Fit on the counts of labelled rows outside the held-out fold, at most ``max_rows`` of them (the sample's documented bound)."""
     known = only(labels, **{key: key, "_y": label}).filter(F.col("_y").isNotNull() & ~held_out(key)).distinct()
-    sample = (stats.join(known, key).orderBy(F.xxhash64(F.lit(7), F.col(quoted(key))), F.col(quoted(key)), "_y", *COUNTS).limit(max_rows)
-              .select("_y", *COUNTS).toPandas())
+    rows = stats.join(known, key)
+    total = rows.count()
+    place = F.pmod(F.xxhash64(F.lit(7), F.col(quoted(key))), F.lit(1 << 30))
+    if total > max_rows:  # before the limit, so that no task brings more than its share
+        rows = rows.filter(place < int((1 << 30) * max_rows / total))
+    sample = rows.orderBy(place, F.col(quoted(key)), "_y", *COUNTS).limit(max_rows).select("_y", *COUNTS).toPandas()
     return fit(features({c: sample[c].to_numpy() for c in COUNTS}), sample["_y"].to_numpy().astype(float))
 
 
