@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, gam, neardup, pii, rules
+from . import bpe, gam, neardup, pii, rules, topk
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -52,3 +52,18 @@ FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN reach ON node = doc_id
 @query("op2_minhash_neardup", OP2_SQL)
 def op2_minhash_neardup(spark, sf):
     return neardup.classes(table(spark, sf, "documents"))
+
+
+OP4_SQL = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM e q JOIN e c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+QUALIFY rank <= 20
+"""
+
+
+@query("op4_va_topk", OP4_SQL)
+def op4_va_topk(spark, sf):
+    return topk.search(table(spark, sf, "embeddings"), lambda i: i % 20 == 0)
