@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, gam, neardup, pii, rules, topk
+from . import bpe, gam, mixing, neardup, pii, rules, topk
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -67,3 +67,36 @@ QUALIFY rank <= 20
 @query("op4_va_topk", OP4_SQL)
 def op4_va_topk(spark, sf):
     return topk.search(table(spark, sf, "embeddings"), lambda i: i % 20 == 0)
+
+
+def _share_sql(name: str, source: str, parent: str, child: str) -> str:
+    """CTE ``name``: the children of ``source`` with their share ``given`` of the parent's ``budget``."""
+    by = f"(PARTITION BY {parent} ORDER BY cap::DOUBLE / weight, {child}"
+    return (f"{name}_a AS (SELECT *, greatest(0, budget - coalesce(sum(cap) OVER {by} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS rest, "
+            f"sum(weight) OVER {by} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w, row_number() OVER {by}) AS i FROM {source} WHERE weight > 0), "
+            f"{name}_b AS (SELECT *, cap * w <= rest * weight AS is_full FROM {name}_a), "
+            f"{name}_c AS (SELECT *, arg_min(rest, i) FILTER (NOT is_full) OVER (PARTITION BY {parent}) AS r0, arg_min(w, i) FILTER (NOT is_full) OVER (PARTITION BY {parent}) AS w0 FROM {name}_b), "
+            f"{name} AS (SELECT * EXCLUDE (budget), CASE WHEN is_full THEN cap ELSE least(cap, (weight * r0) // w0) END AS given FROM {name}_c)")
+
+
+OP8_SQL = (r"""
+WITH d AS (SELECT doc_id, CASE WHEN contains(coalesce(text, ''), ' | ') THEN 'tabular' ELSE 'prose' END AS domain, coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source,
+  len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS tokens FROM documents),
+leaf AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS tokens, sum(tokens)::BIGINT * 2 AS cap FROM d GROUP BY ALL),
+n1 AS (SELECT domain, sum(cap)::BIGINT AS cap, CASE domain WHEN 'prose' THEN 9 ELSE 1 END AS weight, 0 AS root, (SELECT sum(tokens)::BIGINT FROM leaf) AS budget FROM leaf GROUP BY domain),
+""" + _share_sql("s1", "n1", "root", "domain") + """,
+n2 AS (SELECT l.domain, lang, sum(l.cap)::BIGINT AS cap, CASE lang WHEN 'en' THEN 5 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END AS weight, any_value(given) AS budget FROM leaf l JOIN s1 USING (domain) GROUP BY l.domain, lang),
+""" + _share_sql("s2", "n2", "domain", "lang") + """,
+n3 AS (SELECT l.domain, l.lang, l.source, l.tokens, l.cap, 1 AS weight, given AS budget FROM leaf l JOIN s2 ON l.domain = s2.domain AND l.lang = s2.lang),
+""" + _share_sql("s3", "n3", "domain, lang", "source") + """,
+p AS (SELECT domain, lang, source, CASE WHEN tokens > 0 THEN given // tokens ELSE 2 END::BIGINT AS whole, (given - CASE WHEN tokens > 0 THEN given // tokens ELSE 2 END * tokens)::BIGINT AS rest FROM s3),
+j AS (SELECT doc_id, d.domain, d.lang, d.source, tokens, whole, rest FROM d JOIN p ON d.domain = p.domain AND d.lang = p.lang AND d.source = p.source),
+u AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('42:' || whole || ':' || doc_id)) AS used FROM j WHERE whole < 2 AND rest > 0)
+SELECT doc_id, domain, lang, source, tokens, unnest(range(whole))::INTEGER AS epoch FROM j
+UNION ALL SELECT doc_id, domain, lang, source, tokens, whole::INTEGER FROM u WHERE used <= rest
+""")
+
+
+@query("op8_mixing", OP8_SQL)
+def op8_mixing(spark, sf):
+    return mixing.select(table(spark, sf, "documents"))
