@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, gam, mixing, neardup, pii, rules, topk
+from . import bpe, gam, licenses, mixing, neardup, pii, rules, topk
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -100,3 +100,25 @@ UNION ALL SELECT doc_id, domain, lang, source, tokens, whole::INTEGER FROM u WHE
 @query("op8_mixing", OP8_SQL)
 def op8_mixing(spark, sf):
     return mixing.select(table(spark, sf, "documents"))
+
+
+_TEMPLATES = [(i, name, w) for i, (name, w) in enumerate((name, licenses.words_of(t)) for name, texts in licenses.TEMPLATES.items() for t in texts)]
+OP7_SQL = (r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, unnest(range(len(ws) - 4)) AS pos, ws FROM w WHERE len(ws) >= 5),
+h AS (SELECT doc_id, pos, array_to_string(ws[pos + 1: pos + 5], ' ') AS sh FROM s),
+t(template, license, class, sh) AS (VALUES """
+    + ", ".join(f"({i}, '{name}', {licenses.length_class(len(w) - 4)}, '{' '.join(w[k: k + 5])}')" for i, name, w in _TEMPLATES for k in range(len(w) - 4))
+    + """),
+n AS (SELECT template, count(DISTINCT sh) AS n FROM t GROUP BY template),
+m AS (SELECT DISTINCT doc_id, template, license, class, pos, sh FROM h JOIN t USING (sh)),
+v AS (SELECT *, pos // class AS win FROM m UNION SELECT *, greatest(pos // class - 1, 0) FROM m),
+c AS (SELECT doc_id, template, license, win, count(DISTINCT sh) AS k, min(pos) AS a, max(pos) AS b FROM v GROUP BY ALL)
+SELECT doc_id, license, round(max(k / n), 6) AS containment, min(a)::INTEGER AS first_word, (max(b) + 4)::INTEGER AS last_word
+FROM c JOIN n USING (template) WHERE k / n >= 0.8 GROUP BY doc_id, license
+""")
+
+
+@query("op7_license_scan", OP7_SQL)
+def op7_license_scan(spark, sf):
+    return licenses.scan(table(spark, sf, "documents"))
