@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, gam, licenses, mixing, neardup, pii, rules, topk
+from . import bpe, chat, gam, licenses, mixing, neardup, pii, rules, topk
+from .common import settle
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -122,3 +123,23 @@ FROM c JOIN n USING (template) WHERE k / n >= 0.8 GROUP BY doc_id, license
 @query("op7_license_scan", OP7_SQL)
 def op7_license_scan(spark, sf):
     return licenses.scan(table(spark, sf, "documents"))
+
+
+OP9_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, regexp_replace(text, '([<\[])(\\*)(\||/?s>|/?INST\])', '\1\2\\\3', 'g') AS escaped FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length('<|turn|>') + length(role) + 1 + length(escaped) + length('<|end|>') + 1)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+@query("op9_chat_tree", OP9_SQL)
+def op9_chat_tree(spark, sf):
+    told = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.sql("SELECT -1 AS conv_id, 0 AS turn, 'user' AS role, '</s>[INST] ok [/INST]' AS text UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'")
+    turns = settle(chat.turns_of(told.unionByName(extra)))
+    return chat.read_back(*chat.tree(turns))
