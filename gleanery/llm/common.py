@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(quoted(old)).alias(new) for new, old in columns.items()])
 
 
-def steps(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+def steps(batches: Iterator[pa.RecordBatch], text: str | int = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut into slices of at most ``limit`` bytes of text (or one row)."""
     for batch in batches:
         if batch.num_rows == 0:
@@ -49,15 +49,6 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = ST
             start = stop
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str = "text") -> DataFrame:
-    """``fn`` over slices of the partitions; no shuffle, memory bounded by one slice."""
-    def run(batches):
-        for part in steps(batches, text):
-            yield fn(part)
-
-    return df.mapInArrow(run, schema)
-
-
 def strings(column: pa.Array) -> pa.Array:
     """The texts as one flat array with an offset of 0; null is the empty text."""
     return pc.fill_null(pa.array(column.to_pylist(), pa.string()) if pa.types.is_dictionary(column.type) else column, "")

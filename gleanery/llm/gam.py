@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, quoted, settle
-from .textstats import COUNTS, with_counts
+from .common import only, quoted, settle, steps, strings
+from .textstats import COUNTS, counts, with_counts
 
 # Shares that say something at any length; zero denominators count as 1.
 RATIOS = {
@@ -185,3 +185,18 @@ def classify(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 
     scored = stats.mapInArrow(run, f"{quoted(key)} {kind}, score double")
     return scored.select(F.col(quoted(key)), held_out(key).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+def keep_good(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", cut: float = 0.3,
+              max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
+    """The rows of ``df`` with a score of ``cut`` or more, in all their columns. The text is counted a second time in its own row
+    rather than moved to meet its score."""
+    model = train(settle(with_counts(df, key, text)), labels, key, label, max_rows)
+    at = df.columns.index(text)
+
+    def run(batches):
+        for batch in steps(batches, at):
+            score = np.round(model.score(features(counts(strings(batch.column(at))))), 9)
+            yield batch.filter(pa.array(score >= cut))
+
+    return df.mapInArrow(run, df.schema)

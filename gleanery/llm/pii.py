@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, quoted, settle
+from .common import quoted, settle
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
@@ -80,14 +80,15 @@ def _valid(kind: str, match: Column) -> Column:
     return F.length(_digits(match)).between(9, 15)
 
 
-def candidates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, base, more): valid base spans, and spans that only the labelers can decide on, none of which overlaps a base span.
+def candidates(df: DataFrame, key: str, text: str, carry: Column | None = None) -> DataFrame:
+    """(_key, base, more), and ``_carry`` where it is given: valid base spans, and spans that only the labelers can decide on, none of which overlaps a base span.
 
     A span is (start, kind_no, end, kind, base, votes...). Everything happens in the text's own row.
     """
     t = F.col("_x")
     digit, at = t.rlike("[0-9]"), F.contains(t, F.lit("@"))
-    rows = only(df, _key=key, _x=text).withColumn("_x", F.coalesce("_x", F.lit("")))
+    kept = [] if carry is None else [carry.alias("_carry")]
+    rows = df.select(F.col(quoted(key)).alias("_key"), F.coalesce(F.col(quoted(text)), F.lit("")).alias("_x"), *kept)
     rows = rows.select(
         "*", _found(t, EMAIL, at).alias("email"), _found(t, IP, digit).alias("ip"), _found(t, CARD, digit).alias("card"),
         _found(t, PHONE, digit & F.contains(t, F.lit("+"))).alias("phone"), _found(t, LOCAL_PHONE, digit).alias("local"),
@@ -103,10 +104,11 @@ def candidates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         kept = F.col(column) if kind == "secret" else F.filter(column, lambda x: _valid(kind, x["match"]) if base else ~_valid("card", x["match"]) if column == "card" else F.lit(True))
         return F.transform(kept, make)
 
-    rows = rows.select("_key", F.array_sort(F.concat(*[spans(k, k, True) for k in BASE])).alias("base"),
+    held = [c for c in rows.columns if c in ("_key", "_carry")]
+    rows = rows.select(*held, F.array_sort(F.concat(*[spans(k, k, True) for k in BASE])).alias("base"),
                        F.concat(spans("card", "card", False), spans("local", "phone", False), spans("secret", "secret", False)).alias("more"))
     clear = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return rows.select(F.col("_key").alias(key), "base", clear.alias("more"))
+    return rows.select(*held, "base", clear.alias("more"))
 
 
 def _votes(kind: str, match: Column, left: Column, base: bool) -> tuple[Column, ...]:
@@ -175,6 +177,20 @@ def _probability(span: Column, w: np.ndarray) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
 
 
+def weights(found: DataFrame) -> np.ndarray:
+    """The classifier trained on all candidates; the driver sees their vote patterns only."""
+    one = F.explode(F.concat("base", "more"))
+    seen = found.select(one.alias("s")).select("s.*").groupBy("kind", *LABELERS, "base").count().collect()
+    return train([(r["kind"], *[r[n] for n in LABELERS]) for r in seen], np.array([r["base"] for r in seen], bool), np.array([r["count"] for r in seen], float))
+
+
+def _decided(found: DataFrame, w: np.ndarray, add_from: float) -> tuple[Column, Column]:
+    """The base spans and all spans, with their probabilities."""
+    scored = lambda c: F.transform(c, lambda s: s.withField("p", F.round(_probability(s, w), 6)))
+    base, more = scored("base"), scored("more")
+    return base.alias("base"), F.array_sort(F.concat(base, F.filter(more, lambda s: s["p"] >= add_from))).alias("spans")
+
+
 def find(df: DataFrame, key: str = "doc_id", text: str = "text", add_from: float = 0.8) -> DataFrame:
     """(key, base, spans) for each row: arrays of (start, kind_no, end, kind, base, votes..., p), by start and kind.
 
@@ -183,13 +199,19 @@ def find(df: DataFrame, key: str = "doc_id", text: str = "text", add_from: float
     count code points, ends are exclusive; an empty table gives an empty result.
     """
     found = settle(candidates(df, key, text))
-    one = F.explode(F.concat("base", "more"))
-    seen = found.select(one.alias("s")).select("s.*").groupBy("kind", *LABELERS, "base").count().collect()
-    w = train([(r["kind"], *[r[n] for n in LABELERS]) for r in seen], np.array([r["base"] for r in seen], bool), np.array([r["count"] for r in seen], float))
-    scored = lambda c: F.transform(c, lambda s: s.withField("p", F.round(_probability(s, w), 6)))
-    rows = found.select(F.col(quoted(key)), scored("base").alias("base"), scored("more").alias("more"))
-    added = F.filter("more", lambda s: s["p"] >= add_from)
-    return rows.select(F.col(quoted(key)), "base", F.array_sort(F.concat("base", added)).alias("spans"))
+    return found.select(F.col("_key").alias(key), *_decided(found, weights(found), add_from))
+
+
+def redact(df: DataFrame, key: str = "doc_id", text: str = "text", add_from: float = 0.8) -> DataFrame:
+    """``df`` with every span of ``find`` replaced by its kind in angle brackets; null texts stay null.
+
+    The candidates are made twice, once to train and once in the row that is rewritten, so that no text is moved.
+    """
+    w = weights(candidates(df, key, text))
+    found = candidates(df, key, text, F.struct(*[F.col(quoted(c)) for c in df.columns]))
+    rows = found.select("_carry", _decided(found, w, add_from)[1])
+    old = F.col("_carry")[text]
+    return rows.select(*[(redacted(old, F.col("spans")) if c == text else F.col("_carry")[c]).alias(c) for c in df.columns])
 
 
 def joined(spans: str) -> Column:
