@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chat, gam, licenses, mixing, neardup, pii, rules, topk
+from . import bpe, chat, gam, licenses, mixing, neardup, pii, repeats, rules, topk
 from .common import settle
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 
@@ -143,3 +143,8 @@ def op9_chat_tree(spark, sf):
     extra = spark.sql("SELECT -1 AS conv_id, 0 AS turn, 'user' AS role, '</s>[INST] ok [/INST]' AS text UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'")
     turns = settle(chat.turns_of(told.unionByName(extra)))
     return chat.read_back(*chat.tree(turns))
+
+
+@query("op6_repeated_bytes")
+def op6_repeated_bytes(spark, sf):
+    return repeats.digest(repeats.remove(table(spark, sf, "documents")))

@@ -15,7 +15,7 @@ CLASSES = {"n_symbols": b"#*$%&|<>", "n_upper": bytes(range(65, 91)), "n_lower":
 COUNTS = ["n_words", "word_chars", "n_chars", "n_lines", "n_ended_lines", "n_dup_lines", "n_repeat_words", "n_distinct_words", "n_short_words", *CLASSES]
 
 
-def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts and the places where each starts (with the end)."""
     raw = texts.cast(pa.large_binary())
     offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset: raw.offset + len(raw) + 1]
@@ -61,7 +61,7 @@ def counts(texts: pa.Array) -> dict[str, np.ndarray]:
     out["n_distinct_words"] = _per_row(np.unique(words.row * (len(words.names) + 1) + words.code) // (len(words.names) + 1), None, rows)
     out["n_short_words"] = _per_row(words.row[lengths <= 3], None, rows)
 
-    data, offsets = _bytes(texts)
+    data, offsets = bytes_of(texts)
     for name, members in CLASSES.items():
         table = np.zeros(256, bool)
         table[list(members)] = True
