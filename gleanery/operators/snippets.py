@@ -62,76 +62,95 @@ def snippet_sentence(text: Column, terms: Column, maxchars: int = 200, enders: s
     return F.filter(runs(rows, "no", sentence), lambda f: f.isNotNull())
 
 
+def _reach(widths: Column, at: Column, chars: Column | int, most: int) -> Column:
+    """The first token from ``at`` on where the widths of the tokens from ``at`` add up to ``chars``; the number of tokens if they
+    never do. ``widths[i]`` is the width of the tokens before i; every token has a character, so ``most`` of them are enough."""
+    ahead = F.slice(widths, at + 2, F.lit(most + 1))
+    short = F.size(F.filter(ahead, lambda w: w - F.get(widths, at) < chars))
+    return F.when(short < F.size(ahead), at + short).otherwise(F.size(widths) - 1)
+
+
 def snippet_context(text: Column, terms: Column, maxchars: int = 200, surround: int = 20) -> Column:
-    """Matches with ``surround`` characters of tokens on both sides, cut when a fragment passes ``maxchars``.
+    """Matches with ``surround`` characters of tokens on both sides, merged where they touch, cut where they pass ``maxchars``.
 
-    One fold over the tokens: ``back`` holds the starts of the tokens just before a match, ``left`` the characters still
-    to add after the last match (negative outside a fragment).
+    Every match has two bounds on the cumulative token widths: how far its own surroundings reach, and where a fragment that
+    opens with it is too long. A fragment opens with the first match beyond the last fragment's end; its left edge is the
+    farthest token within ``surround`` characters of the token before the match, and not inside the last fragment. Where there
+    is none, the first match reaches twice as far to the right. Surroundings that end exactly with a token also use up the next one. The widths of all tokens from the opening match on count as
+    length; the token that goes beyond still belongs to the fragment, but is no match of it.
     """
-    ints = "array<int>"
-    none = F.array().cast(f"array<{MATCH}>")
-    nothing = F.array().cast(ints)
-    begin = F.struct(
-        F.lit(None).cast("int").alias("first"), nothing.alias("back"), F.lit(-1).alias("left"), none.alias("hits"), F.lit(0).alias("used"),
-        F.lit(0).alias("last"), F.array().cast(FRAGMENTS).alias("out"))
-
-    def step(s: Column, t: Column) -> Column:
-        width = t["end"] - t["start"]
-        idle = (s["left"] < 0) & ~t["hit"]
-        full = ~idle & (s["used"] + width > maxchars)
-        hit = ~idle & ~full & t["hit"]
-        opening = hit & s["first"].isNull()
-        back = F.when(idle, F.filter(F.concat(s["back"], F.array(t["start"])), lambda b: t["end"] - b <= surround)).otherwise(s["back"])
-        first = F.when(opening, F.coalesce(F.get(s["back"], F.lit(0)), t["start"])).otherwise(s["first"])
-        extra = F.when(opening & (F.size(s["back"]) == 0), surround).otherwise(0)
-        left = F.when(full, F.lit(0)).when(hit, F.lit(surround) + extra).otherwise(s["left"])
-        hits = F.when(hit, F.concat(s["hits"], F.array(_match(t)))).otherwise(s["hits"])
-        inside = left >= 0
-        rest = F.when(inside, left - width).otherwise(left)
-        close = inside & (rest <= 0)
-        return let_all({"first": first, "hits": hits}, lambda v: F.struct(
-            F.when(~close, v["first"]).alias("first"), F.when(close, nothing).otherwise(back).alias("back"), rest.cast("int").alias("left"),
-            F.when(close, none).otherwise(v["hits"]).alias("hits"),
-            F.when(close, 0).when(inside, s["used"] + width).otherwise(s["used"]).cast("int").alias("used"), t["end"].cast("int").alias("last"),
-            F.when(close & (F.size(v["hits"]) > 0), F.concat(s["out"], F.array(_fragment(v["first"], t["end"], v["hits"])))).otherwise(s["out"]).alias("out")))
-
-    return F.aggregate(marked_tokens(text, terms), begin, step, lambda s: F.when(
-        F.size(s["hits"]) > 0, F.concat(s["out"], F.array(_fragment(s["first"], s["last"], s["hits"])))).otherwise(s["out"]))
+    none = F.array().cast("array<int>")
+    shape = "array<struct<first:int,reach:int,skip:int,cut:int,hits:array<int>>>"
+
+    def bounds(v: Column) -> Column:
+        tokens, widths = v["tokens"], v["widths"]
+
+        def one(h: Column) -> Column:
+            near = F.size(F.filter(F.slice(tokens, F.greatest(h - surround, F.lit(0)) + 1, F.least(h, F.lit(surround))),
+                                   lambda t: tokens[h - 1]["end"] - t["start"] <= surround))
+            def right(chars: int) -> Column:
+                return let(_reach(widths, h, F.lit(chars), chars), lambda r: F.struct(r.alias("reach"), F.coalesce((F.get(widths, r + 1) - widths[h] == chars).cast("int"), F.lit(0)).alias("skip")))
+
+            return F.struct(h.alias("at"), (h - F.when(h > 0, near).otherwise(0)).alias("left"), right(surround).alias("plain"), right(2 * surround).alias("wide"),
+                            _reach(widths, h, F.lit(maxchars + 1), maxchars + 1).alias("cut"))
+
+        hits = F.filter(indices(F.size(tokens)), lambda i: tokens[i]["hit"])
+        return F.transform(hits, one)
+
+    def gather(acc: Column, b: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        over = F.coalesce(F.least(last["reach"], last["cut"]), F.lit(-1))
+        free = over + 1 + F.when(last["reach"] < last["cut"], last["skip"]).otherwise(0)
+        left = F.least(F.greatest(b["left"], F.coalesce(free, F.lit(0))), b["at"])
+        side = F.when(left < b["at"], b["plain"]).otherwise(b["wide"])
+        opened = F.struct(left.alias("first"), side["reach"].alias("reach"), side["skip"].alias("skip"), b["cut"].alias("cut"),
+                          F.when(b["cut"] > b["at"], F.array(b["at"])).otherwise(none).alias("hits"))
+        longer = F.struct(last["first"].alias("first"), b["plain"]["reach"].alias("reach"), b["plain"]["skip"].alias("skip"), last["cut"].alias("cut"),
+                          F.concat(last["hits"], F.array(b["at"])).alias("hits"))
+        before = F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+        return F.when(b["at"] > over, F.concat(acc, F.array(opened))).when(b["at"] < last["cut"], F.concat(before, F.array(longer))).otherwise(acc).cast(shape)
+
+    def fragments(v: Column) -> Column:
+        tokens = v["tokens"]
+        found = F.aggregate(v["bounds"], F.array().cast(shape), gather)
+        return F.transform(F.filter(found, lambda f: F.size(f["hits"]) > 0), lambda f: _fragment(
+            tokens[f["first"]]["start"], tokens[F.least(f["reach"], f["cut"], F.size(tokens) - 1)]["end"], F.transform(f["hits"], lambda h: _match(tokens[h]))))
+
+    def measured(tokens: Column) -> Column:
+        widths = F.transform(tokens, lambda t: (t["end"] - t["start"]).cast("int"))
+        before = let(widths, lambda w: running_total(F.concat(w, F.array(F.lit(0)))))
+        return let_all({"tokens": tokens, "widths": before}, lambda v: let_all({"tokens": v["tokens"], "bounds": bounds(v)}, fragments))
+
+    return let(marked_tokens(text, terms), measured)
 
 
 def snippet_pinpoint(text: Column, terms: Column, maxchars: int = 200, surround: int = 20, autotrim: bool = False) -> Column:
-    """One fragment per match, taking in the following matches while each gap stays within ``surround``."""
-    def fragments(ms: Column) -> Column:
-        def grow(i: Column) -> Column:
-            m = ms[i]
-            start = F.struct(m["end"].alias("right"), (m["end"] - m["start"]).alias("used"), F.lit(1).alias("n"), F.lit(True).alias("open"))
-
-            def take(acc: Column, x: Column) -> Column:
-                fits = acc["open"] & (acc["used"] < maxchars) & (x["end"] - acc["right"] <= surround) & (x["end"] - m["start"] <= maxchars)
-                return F.struct(F.when(fits, x["end"]).otherwise(acc["right"]).alias("right"),
-                                F.when(fits, acc["used"] + x["end"] - x["start"]).otherwise(acc["used"]).alias("used"),
-                                F.when(fits, acc["n"] + 1).otherwise(acc["n"]).alias("n"), fits.alias("open"))
-
-            # Later matches can only fit within maxchars of this one, so that many are looked at.
-            later = F.slice(ms, i + 2, F.lit(maxchars))
-            done = F.aggregate(later, start, take)
-            return let(done, lambda d: _fragment(F.greatest(F.lit(0), m["start"] - surround), F.least(F.length(text), d["right"] + surround),
-                                                 F.slice(ms, i + 1, d["n"])))
-
-        return F.transform(indices(F.size(ms)), grow)
-
-    out = let(_matches(marked_tokens(text, terms)), fragments)
+    """One fragment per match, taking in the following matches up to the first that lies more than ``surround`` behind the one
+    before it, ends more than ``maxchars`` after the fragment's first match, or finds ``maxchars`` of matches in it already."""
+    def fragments(v: Column) -> Column:
+        ms, widths = v["ms"], v["widths"]
+
+        def one(m: Column, i: Column) -> Column:
+            # A match has a character at least, so that no more than maxchars of them can fit.
+            ahead = F.slice(indices(F.size(ms)), i + 2, F.lit(maxchars))
+            beyond = F.filter(ahead, lambda k: (ms[k]["end"] - ms[k - 1]["end"] > surround) | (ms[k]["end"] - m["start"] > maxchars) | (widths[k] - widths[i] >= maxchars))
+            n = F.coalesce(F.array_min(beyond), i + 1 + F.size(ahead)) - i
+            return _fragment(F.greatest(F.lit(0), m["start"] - surround), F.least(F.length(text), ms[i + n - 1]["end"] + surround), F.slice(ms, i + 1, n))
+
+        return F.transform(ms, one)
+
+    def measured(ms: Column) -> Column:
+        return let_all({"ms": ms, "widths": running_total(F.transform(ms, lambda m: m["end"] - m["start"]))}, fragments)
+
+    out = let(_matches(marked_tokens(text, terms)), measured)
     return F.transform(out, lambda f: _trim(text, f)) if autotrim else out
 
 
 def _trim(text: Column, f: Column) -> Column:
-    """Cut half words at both ends, but never into a match."""
+    """Without the words that the ends cut through, as far as no match is lost."""
     body = F.substring(text, f["start"] + 1, f["end"] - f["start"])
-    head = F.instr(body, " ")
-    tail = F.instr(F.reverse(body), " ")
-    start = F.when(head > 0, f["start"] + head).otherwise(f["start"])
-    end = F.when(tail > 0, f["end"] - tail).otherwise(f["end"])
-    return _fragment(F.least(start, f["matches"][0]["start"]), F.greatest(end, F.element_at(f["matches"], -1)["end"]), f["matches"])
+    head, tail = (F.length(F.regexp_extract(body, p, 0)) for p in ("^[^ ]* ", " [^ ]*$"))
+    return _fragment(F.least(f["start"] + head, f["matches"][0]["start"]), F.greatest(f["end"] - tail, F.element_at(f["matches"], -1)["end"]), f["matches"])
 
 
 # ---- rank and format ------------------------------------------------------------------------------------------------
