@@ -99,12 +99,6 @@ def doc_lengths(spark, sf):
     return I.doc_lengths(index(spark, sf)).filter("field = 'text'").select("field", "doc_id", F.col("length").cast("long").alias("length"))
 
 
-@check("doc_lengths_quantised", f"""WITH {POSTINGS}, codes AS (SELECT round((pow(1.033, i) - 1) * 27)::BIGINT AS v FROM range(256) t(i))
-SELECT 'text' AS field, doc_id, coalesce((SELECT min(v) FROM codes WHERE v >= doc_len), (SELECT max(v) FROM codes)) AS length FROM dl""")
-def doc_lengths_quantised(spark, sf):
-    return I.doc_lengths(index(spark, sf), quantise=True).filter("field = 'text'").select("field", "doc_id", F.col("length").cast("long").alias("length"))
-
-
 @check("field_stats", f"""WITH {POSTINGS} SELECT 'text' AS field, (SELECT count(*) FROM documents) AS n_docs, (SELECT count(*) FROM tok) AS total_len, min(doc_len) AS min_len, max(doc_len) AS max_len,
 round((SELECT avgl FROM fs), 6) AS avg_len FROM dl""")
 def field_stats(spark, sf):

@@ -241,13 +241,13 @@ def page_tag_match(spark, sf):
     pages = page_texts(spark, sf)
     # Of several pages with one address the first counts.
     first = pages.groupBy(Sv.canonical_url(pattern=PAGE_URL).alias("url")).agg(F.min_by("text", "page_id").alias("text")).filter("url IS NOT NULL")
-    tags = Sv.tag_pages(first, dictionary(spark, sf), "text", 5, PAGE_URL)
+    tags = Sv.tag_pages(first, dictionary(spark, sf), "text", 5, pattern=PAGE_URL)
     idx = SearchIndex.build(docs, [keyword_field("tags")]).save(scratch_path(spark, "tags"))
-    return Sv.page_tag_match(idx, pages, tags, 10, PAGE_URL, key="page_id")
+    return Sv.page_tag_match(idx, pages, tags, 10, pattern=PAGE_URL, key="page_id")
 
 
 @check("unseen_urls", f"WITH {CANON} SELECT DISTINCT curl AS url FROM ca WHERE curl IS NOT NULL AND curl NOT IN (SELECT curl FROM ca WHERE page_id % 2 = 0 AND curl IS NOT NULL)")
 def unseen_urls(spark, sf):
     pages = table(spark, sf, "pages")
     known = pages.filter("page_id % 2 = 0").select(Sv.canonical_url(pattern=PAGE_URL).alias("url")).filter("url IS NOT NULL").distinct()
-    return Sv.unseen_urls(pages, known, PAGE_URL)
+    return Sv.unseen_urls(pages, known, pattern=PAGE_URL)

@@ -9,7 +9,7 @@ from gleanery.functions import tokens as T
 from gleanery.operators import lexicon as L
 from gleanery.sources import readers as R
 
-from .base import PATTERN, STOP_SQL, STOPS, W, check, index, raw_tokens, std_tokens, table
+from .base import PATTERN, POSTINGS, STOP_SQL, STOPS, W, check, index, raw_tokens, std_tokens, table
 
 DELIM_SQL = r"""[-_\x27"()!@#$%^&*\[\]{}<>|;:,./?`~=+\\]"""
 
@@ -71,8 +71,8 @@ parts("f_reverse", digest_sql(listed("list_transform(string_split(p_name, ' '),
 docs("f_stop", digest_sql(std_tokens("tok", "documents")), T.chain(T.tok_regex, T.f_lower, T.f_stop()))
 docs("f_substitute", digest_sql(listed(rf"list_transform(regexp_extract_all(text, '{PATTERN}'), lambda x: regexp_replace(x, '[aeiou]+', '_', 'g'))")),
      T.chain(T.tok_regex, T.f_substitute("[aeiou]+", "_")))
-LIGATURE_SQL = "replace(replace(replace(replace(replace({x}, 'æ', 'ae'), 'œ', 'oe'), 'ß', 'ss'), 'þ', 'th'), 'ĳ', 'ij')"
-docs("f_fold_accents", digest_sql(listed("list_transform(regexp_extract_all(text, '" + PATTERN + "'), lambda x: " + LIGATURE_SQL.format(x=f"translate(lower(x), '{T.ACCENTED}', '{T.UNACCENTED}')") + ")")),
+LIGATURE_SQL = "replace(replace(replace(replace(strip_accents(lower(x)), 'æ', 'ae'), 'œ', 'oe'), 'ß', 'ss'), 'ø', 'o')"
+docs("f_fold_accents", digest_sql(listed("list_transform(regexp_extract_all(text, '" + PATTERN + "'), lambda x: " + LIGATURE_SQL + ")")),
      T.chain(T.tok_regex, T.f_fold_accents))
 docs("f_ngram", digest_sql(raw_tokens("r", "documents") + ", tok AS (SELECT doc_id, pos, s, substr(term, 1, s) AS term FROM r CROSS JOIN (SELECT unnest([2, 3, 4]) AS s) WHERE length(r.term) >= s)", order="pos, s"),
      T.chain(T.tok_regex, T.f_lower, T.f_ngram(2, 4, at="start")))
@@ -179,15 +179,23 @@ def expand_synonyms(spark, sf):
     return L.expand_synonyms(syn, syn.select("word").distinct())
 
 
-@check("f_compound")
+# A term is cut by what is left of it after each word, shortest word first; what cannot be used up is given up.
+@check("f_compound", f"""WITH {POSTINGS}, {std_tokens("bt", "benchmark", "item_id")}, dict AS (SELECT DISTINCT term AS w FROM bt), dl2 AS (SELECT DISTINCT length(w) AS n FROM dict),
+lex AS (SELECT DISTINCT term FROM p),
+spots AS (SELECT term, i AS k, n FROM lex, dl2, unnest(range(length(term))) u(i) WHERE i + n <= length(term) AND substr(term, i + 1, n) IN (SELECT w FROM dict)),
+good AS (WITH RECURSIVE g(term, k) AS (SELECT term, length(term)::BIGINT FROM lex UNION SELECT s.term, s.k FROM spots s JOIN g ON g.term = s.term AND s.k + s.n = g.k) SELECT * FROM g),
+nxt AS (SELECT s.term, s.k, min(s.n) AS n FROM spots s JOIN good g ON g.term = s.term AND g.k = s.k + s.n GROUP BY ALL),
+walk AS (WITH RECURSIVE w(term, k, n, no) AS (SELECT term, k, n, 1 FROM nxt WHERE k = 0 UNION ALL SELECT x.term, x.k, x.n, w.no + 1 FROM w JOIN nxt x ON x.term = w.term AND x.k = w.k + w.n) SELECT * FROM w),
+many AS (SELECT term FROM walk GROUP BY term HAVING count(*) > 1)
+SELECT term, no AS part_no, substr(term, k + 1, n) AS part FROM walk WHERE term IN (SELECT term FROM many) UNION ALL SELECT term, 0, term FROM many""")
 def f_compound(spark, sf):
-    small = table(spark, sf, "benchmark").select(F.explode(T.an_standard()(F.col("text"))).alias("t")).select("t.term").filter("length(term) <= 6").distinct()
-    terms = index(spark, sf).lexicon.filter("field = 'text' AND length(term) <= 40")
-    return L.f_compound(terms, small)
+    words = table(spark, sf, "benchmark").select(F.explode(T.an_standard()(F.col("text"))).alias("t")).select("t.term").distinct()
+    return L.f_compound(index(spark, sf).lexicon.filter("field = 'text'"), words)
 
 
-@check("block_profile", "WITH c AS (SELECT unicode(ch) AS u FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '') SELECT CASE "
-       + " ".join(f"WHEN u BETWEEN {a} AND {b} THEN '{n}'" for n, a, b in L.BLOCKS) + " END AS block, count(*) AS n FROM c GROUP BY 1")
+# Blocks that the texts' languages use, apart from the operator's own table.
+@check("block_profile", "WITH c AS (SELECT unicode(ch) AS u FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '') SELECT CASE WHEN u < 128 THEN 'Basic Latin' "
+       "WHEN u < 256 THEN 'Latin-1 Supplement' WHEN u < 384 THEN 'Latin Extended-A' WHEN u BETWEEN 8192 AND 8303 THEN 'General Punctuation' END AS block, count(*) AS n FROM c GROUP BY 1")
 def block_profile(spark, sf):
     return L.block_profile(table(spark, sf, "documents"))
 

@@ -6,7 +6,7 @@ from gleanery.functions import tokens as T
 from gleanery.operators import maintain as Mt
 from gleanery.operators.index import text_field
 from gleanery.session import scratch_path
-from gleanery.streaming import ChangeTable, StatisticsTable, stream_buffered_commit, stream_new_urls, stream_tag, stream_tail, stream_term_stats, stream_upsert_delete
+from gleanery.streaming import ChangeTable, SeenTable, StatisticsTable, stream_buffered_commit, stream_new_urls, stream_tag, stream_tail, stream_term_stats, stream_upsert_delete
 
 from .base import POSTINGS, check, index, table
 from .matching import PAGE_URL, TAGS, dictionary
@@ -116,11 +116,11 @@ def stream_upsert_delete_query(spark, sf):
     e = table(spark, sf, "events")
     op = F.when(F.col("event_type") == "error", "delete").otherwise("upsert")
     rows = e.select(F.col("user_id").alias("k"), F.col("event_type").alias("status"), F.col("value").alias("price"), op.alias("op"), F.col("event_id").alias("seq"))
-    rows.repartitionByRange(4, "seq").write.parquet(source)
+    # Several batches in no order of arrival: the newest change of a key may come in an early one.
+    rows.repartition(4, "price").write.parquet(source)
     schema = "k long, status string, price double, op string, seq long"
     target = ChangeTable(spark, scratch_path(spark, "table"), "k", "k long, status string, price double")
-    # Files may be read in any order across batches, so the arrival number decides.
-    run(stream_upsert_delete(stream_tail(spark, source, schema), target, scratch_path(spark, "cp")))
+    run(stream_upsert_delete(stream_tail(spark, source, schema, files_per_batch=1), target, scratch_path(spark, "cp")))
     target.compact()
     return target.current()
 
@@ -151,13 +151,16 @@ def stream_tag_query(spark, sf):
 @check("stream_new_urls", f"WITH ca AS (SELECT page_id, nullif(regexp_extract(url, '{PAGE_URL}', 1), '') AS curl FROM pages) SELECT DISTINCT curl AS url FROM ca WHERE curl IS NOT NULL AND curl NOT IN (SELECT curl FROM ca WHERE page_id % 2 = 0 AND curl IS NOT NULL)")
 def stream_new_urls_query(spark, sf):
     from gleanery.plans.service import canonical_url
-    source, out = scratch_path(spark, "visits"), scratch_path(spark, "new")
+    source = scratch_path(spark, "visits")
     pages = table(spark, sf, "pages")
-    pages.select("url", F.timestamp_seconds(F.col("page_id")).alias("ts")).repartitionByRange(3, "ts").write.parquet(source)
+    # Several batches, in which addresses come again, and come first in rows that are days late.
+    late = F.timestamp_seconds(F.col("page_id") * 86_400 * F.when(F.col("page_id") % 3 == 0, -1).otherwise(1))
+    visits = pages.select("url", late.alias("ts")).unionByName(pages.select("url", F.timestamp_seconds(F.col("page_id")).alias("ts")))
+    visits.repartition(4, "ts").write.parquet(source)
     known = pages.filter("page_id % 2 = 0").select(canonical_url(pattern=PAGE_URL).alias("url")).filter("url IS NOT NULL").distinct()
-    fresh = stream_new_urls(stream_tail(spark, source, "url string, ts timestamp"), known, pattern=PAGE_URL)
-    run(fresh.writeStream.format("parquet").option("checkpointLocation", scratch_path(spark, "cp")).trigger(availableNow=True).start(out))
-    return spark.read.parquet(out).select("url")
+    seen = SeenTable(spark, scratch_path(spark, "new"), "url")
+    run(stream_new_urls(stream_tail(spark, source, "url string, ts timestamp", files_per_batch=1), known, seen, scratch_path(spark, "cp"), PAGE_URL))
+    return seen.current()
 
 
 @check("stream_tail", "SELECT event_id, user_id FROM events")

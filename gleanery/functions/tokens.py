@@ -6,6 +6,7 @@ from a string column, filters map it to another list; nothing here shuffles.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
@@ -153,15 +154,28 @@ def f_substitute(pattern: str, replacement: str) -> Filter:
     return map_terms(lambda t: F.regexp_replace(t, pattern, replacement))
 
 
-# Base letters of the accented Latin letters, lower case; two-letter targets apart.
-ACCENTED = "àáâãäåçèéêëìíîïðñòóôõöøùúûüýÿāăąćĉċčďđēĕėęěĝğġģĥħĩīĭįıĵķĺļľŀłńņňōŏőŕŗřśŝşšţťŧũūŭůűųŵŷźżž"
-UNACCENTED = "aaaaaaceeeeiiiidnoooooouuuuyyaaaccccddeeeeegggghhiiiiijklllllnnnooorrrsssstttuuuuuuwyzzz"
+# Letters that Unicode does not decompose, and letters that stand for two.
+STROKED = {"ð": "d", "đ": "d", "ħ": "h", "ı": "i", "ĸ": "k", "ŀ": "l", "ł": "l", "ŋ": "n", "ø": "o", "ŧ": "t", "ƀ": "b", "ƒ": "f", "ɨ": "i", "ƶ": "z"}
 LIGATURES = (("æ", "ae"), ("œ", "oe"), ("ß", "ss"), ("þ", "th"), ("ĳ", "ij"))
 
 
+def _base_letters() -> tuple[str, str]:
+    """Every lower-case letter of the alphabets with accents (Latin, Greek, Cyrillic and their extensions) that Unicode decomposes into
+    one letter and marks, and that letter."""
+    found = dict(STROKED)
+    for code in (*range(0xC0, 0x530), *range(0x1E00, 0x2000)):
+        letters = [c for c in unicodedata.normalize("NFD", chr(code)) if not unicodedata.combining(c)]
+        if len(letters) == 1 and letters[0] != chr(code) and chr(code).lower() == chr(code):
+            found[chr(code)] = letters[0]
+    return "".join(found), "".join(found.values())
+
+
+ACCENTED, UNACCENTED = _base_letters()
+
+
 def fold_accents(text: Column) -> Column:
-    """Case and accent folding."""
-    out = F.translate(F.lower(text), ACCENTED, UNACCENTED)
+    """Case and accent folding; marks that stand apart from their letter go."""
+    out = F.regexp_replace(F.translate(F.lower(text), ACCENTED, UNACCENTED), "[\u0300-\u036F]+", "")
     for letter, pair in LIGATURES:
         out = F.replace(out, F.lit(letter), F.lit(pair))
     return out

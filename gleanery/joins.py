@@ -16,13 +16,19 @@ BROADCAST_ROWS = 2_000_000
 SALTS = 64
 
 
-def fits_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Measure ``df`` (one aggregate job over at most ``max_rows + 1`` rows)."""
+def measured(df: DataFrame, *also: Column, max_bytes: int = BROADCAST_BYTES, max_rows: int = BROADCAST_ROWS):
+    """Whether ``df`` fits a broadcast, and the row of further aggregates ``also``, complete where it fits. One job over at most
+    ``max_rows + 1`` rows."""
     width = sum((F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string")), F.lit(0)) if f.dataType.simpleString()
                  in ("string", "binary") else F.lit(16 if "array" not in f.dataType.simpleString() else 256)
                  for f in df.schema.fields), F.lit(0))
-    row = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("b")).first()
-    return row["n"] <= max_rows and (row["b"] or 0) <= max_bytes
+    row = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("b"), *also).first()
+    return row["n"] <= max_rows and (row["b"] or 0) <= max_bytes, row
+
+
+def fits_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Measure ``df`` (one aggregate job over at most ``max_rows + 1`` rows)."""
+    return measured(df, max_bytes=max_bytes, max_rows=max_rows)[0]
 
 
 def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner",

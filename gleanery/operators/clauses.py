@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from ..functions.distance import deletions, edit_distance_osa, segment_keys, segment_probes
 from ..functions.scoring import BM25, Model, Stats, frequency
 from ..functions.tokens import Filter
-from ..joins import fits_broadcast, lookup_join
+from ..joins import lookup_join, measured
 from ..session import settle, spread
-from .index import SearchIndex
+from .index import SearchIndex, term_bucket
 
 CLAUSE = ["query_id", "clause_id"]
 # A term found in more than 1/HOT_SHARE of the documents is spread over several tasks. At most (mean distinct terms
@@ -39,6 +39,13 @@ def hot_terms(index: SearchIndex) -> DataFrame:
             .filter(F.col("df") * HOT_SHARE > F.col("n_docs")).select("field", "term"))
 
 
+def _asked(index: SearchIndex, terms: DataFrame) -> tuple[bool, DataFrame]:
+    """Whether the query terms fit a broadcast, and the postings that can hold them: the job that measures them also returns their
+    buckets, which become a literal filter on the partitions to read. Terms too many to send to every task read all."""
+    fits, row = measured(terms, F.collect_set(term_bucket(F.col("term"), index.buckets)).alias("buckets"))
+    return fits, index.postings_of(row["buckets"] if fits else None)
+
+
 def match(index: SearchIndex, terms: DataFrame, model: Model | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Score every posting of every query term.
 
@@ -47,11 +54,12 @@ def match(index: SearchIndex, terms: DataFrame, model: Model | None = None, keep
     """
     model = model or BM25()
     terms = _with_boost(terms)
+    fits, stored = _asked(index, terms)
     stats = index.term_stats.select("field", "term", "df", "cf")
     fields = F.broadcast(index.field_stats.select("field", "n_docs", "avg_len", "total_len", "scorable"))
     extra = [c for c in terms.columns if c not in (*CLAUSE, "field", "term", "boost")]
-    postings = index.postings.select("field", "term", "doc_id", "weight", "doc_len", *(["positions"] if "positions" in keep or _wants_positions(model) else []))
-    if fits_broadcast(terms):
+    postings = stored.select("field", "term", "doc_id", "weight", "doc_len", *(["positions"] if "positions" in keep or _wants_positions(model) else []))
+    if fits:
         # The join keeps at most one row per query term, so the measured bound also holds for its result.
         weighed = stats.join(F.broadcast(terms), ["field", "term"]).join(fields, "field")
         joined = postings.join(F.broadcast(weighed), ["field", "term"])
@@ -75,9 +83,10 @@ def constant_hits(index: SearchIndex, terms: DataFrame) -> DataFrame:
     The expansion is settled first: it is measured and then used, and should be computed once.
     """
     terms = settle(_with_boost(terms))
-    postings = index.postings.select("field", "term", "doc_id")
-    hot = None if fits_broadcast(terms) else hot_terms(index)
-    return lookup_join(postings, terms, ["field", "term"], hot=hot) \
+    fits, stored = _asked(index, terms)
+    postings = stored.select("field", "term", "doc_id")
+    joined = postings.join(F.broadcast(terms), ["field", "term"]) if fits else lookup_join(postings, terms, ["field", "term"], hot=hot_terms(index))
+    return joined \
         .groupBy(*CLAUSE, "doc_id").agg(F.max("boost").alias("score"))
 
 

@@ -127,6 +127,14 @@ def field_statistics(forward: DataFrame) -> DataFrame:
         .withColumn("avg_len", F.when(F.col("total_len") > 0, F.col("total_len") / F.col("n_docs")).otherwise(F.lit(1.0)))
 
 
+# Partitions that the terms of saved postings are dealt into by hash: a query reads those of its terms only.
+TERM_BUCKETS = 32
+
+
+def term_bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
 @dataclass(frozen=True)
 class SearchIndex:
     """A corpus and its index. Build it lazily from a corpus, or save it once and load it for every later job."""
@@ -136,6 +144,7 @@ class SearchIndex:
     stored_postings: DataFrame | None = None
     stored_terms: DataFrame | None = None
     stored_fields: DataFrame | None = None
+    buckets: int = TERM_BUCKETS
 
     @classmethod
     def build(cls, corpus: DataFrame, fields: Sequence[Field], key: str = "doc_id") -> SearchIndex:
@@ -144,7 +153,13 @@ class SearchIndex:
 
     @cached_property
     def postings(self) -> DataFrame:
-        return self.stored_postings if self.stored_postings is not None else explode_postings(self.forward)
+        return self.stored_postings.drop("bucket") if self.stored_postings is not None else explode_postings(self.forward)
+
+    def postings_of(self, buckets: Sequence[int] | None) -> DataFrame:
+        """The postings; of saved ones, only the partitions that hold terms of these buckets (None: all) are listed and read."""
+        if self.stored_postings is None or buckets is None or "bucket" not in self.stored_postings.columns:
+            return self.postings
+        return self.stored_postings.filter(F.col("bucket").isin(sorted(buckets))).drop("bucket")
 
     @cached_property
     def term_stats(self) -> DataFrame:
@@ -167,30 +182,31 @@ class SearchIndex:
         return self.corpus.sparkSession
 
     def save(self, path: str, corpus_path: str | None = None) -> SearchIndex:
-        """Write the tables. Postings are range-partitioned by (field, term, doc), so a term held by most documents
-        is spread over many files and each file's footer bounds its terms."""
+        """Write the tables. Postings are partitioned by field and by a hash of the term, and inside that ranged by (term, doc), so
+        a term held by most documents is spread over many files."""
         if corpus_path is None:
             corpus_path = f"{path}/corpus"
             self.corpus.write.mode("overwrite").parquet(corpus_path)
         self.forward.write.mode("overwrite").parquet(f"{path}/forward")
         forward = self.spark.read.parquet(f"{path}/forward")
-        write_postings(explode_postings(forward), f"{path}/postings")
+        write_postings(explode_postings(forward), f"{path}/postings", self.buckets)
         postings = self.spark.read.parquet(f"{path}/postings")
         term_statistics(postings).repartitionByRange("field", "term").sortWithinPartitions("field", "term") \
             .write.mode("overwrite").parquet(f"{path}/term_stats")
         field_statistics(forward).coalesce(1).write.mode("overwrite").parquet(f"{path}/field_stats")
-        return self.load(self.spark, path, corpus_path)
+        return self.load(self.spark, path, corpus_path, self.buckets)
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, corpus_path: str | None = None) -> SearchIndex:
+    def load(cls, spark: SparkSession, path: str, corpus_path: str | None = None, buckets: int = TERM_BUCKETS) -> SearchIndex:
         read = spark.read.parquet
         return cls(read(corpus_path or f"{path}/corpus"), read(f"{path}/forward"), read(f"{path}/postings"),
-                   read(f"{path}/term_stats"), read(f"{path}/field_stats"))
+                   read(f"{path}/term_stats"), read(f"{path}/field_stats"), buckets)
 
 
-def write_postings(postings: DataFrame, path: str) -> None:
-    (postings.repartitionByRange("field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id")
-     .write.mode("overwrite").partitionBy("field").parquet(path))
+def write_postings(postings: DataFrame, path: str, buckets: int = TERM_BUCKETS) -> None:
+    (postings.withColumn("bucket", term_bucket(F.col("term"), buckets))
+     .repartitionByRange("field", "bucket", "term", "doc_id").sortWithinPartitions("field", "bucket", "term", "doc_id")
+     .write.mode("overwrite").partitionBy("field", "bucket").parquet(path))
 
 
 # ---- statistics operators -------------------------------------------------------------------------------------
@@ -201,26 +217,8 @@ def term_vector(index: SearchIndex, field: str) -> DataFrame:
     return index.forward.filter(F.col("field") == field).select("doc_id", F.map_from_entries(entries).alias("vector"))
 
 
-# Growth and scale of the one-byte length code.
-LENGTH_GROWTH = 1.033
-LENGTH_SCALE = 27
-
-
-def length_code_table() -> list[int]:
-    """The 256 lengths a one-byte code can hold, by rule."""
-    return [round((LENGTH_GROWTH ** code - 1) * LENGTH_SCALE) for code in range(256)]
-
-
-def quantise_length(length: Column) -> Column:
-    """Round a length up to the next value of the length code (values beyond the last stay at the last)."""
-    table = F.array(*[F.lit(v) for v in length_code_table()])
-    above = F.filter(table, lambda v: v >= length)
-    return F.when(F.size(above) > 0, F.array_min(above)).otherwise(F.array_max(table))
-
-
-def doc_lengths(index: SearchIndex, quantise: bool = False) -> DataFrame:
-    length = quantise_length(F.col("doc_len")) if quantise else F.col("doc_len")
-    return index.forward.filter("doc_len > 0").select("field", "doc_id", length.alias("length"))
+def doc_lengths(index: SearchIndex) -> DataFrame:
+    return index.forward.filter("doc_len > 0").select("field", "doc_id", F.col("doc_len").alias("length"))
 
 
 def doc_counts(index: SearchIndex) -> DataFrame:

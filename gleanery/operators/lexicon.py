@@ -5,7 +5,7 @@ Python runs here only, once per distinct term, in Arrow batches; results are joi
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -132,15 +132,17 @@ def expand_synonyms(synsets: DataFrame, words: DataFrame, word: str = "word") ->
         .filter(F.col("word") != F.col("synonym")).select("word", "synonym").distinct()
 
 
-def f_compound(lexicon: DataFrame, dictionary: DataFrame, keep_compound: bool = True, max_parts: int = 16) -> DataFrame:
+def f_compound(lexicon: DataFrame, dictionary: DataFrame, keep_compound: bool = True) -> DataFrame:
     """(term, part, part_no): terms fully covered by dictionary words, cut with the shortest first word that works out.
 
     Per term, the dictionary words found at each start come from an equality join on substrings; the cut is then
     chosen from the end backwards inside the row: a start is good if one of its words ends at the end or at a good start.
     """
     words = dictionary.select(F.col("term").alias("piece")).distinct()
-    pieces = lexicon.select("term").distinct().withColumn("at", F.explode(F.sequence(F.lit(0), F.length("term") - 1))) \
-        .withColumn("len", F.explode(F.sequence(F.lit(1), F.length("term") - F.col("at")))) \
+    # No piece longer than the longest word: the pieces of a term are its length times that bound.
+    longest = words.agg(F.max(F.length("piece"))).first()[0] or 1
+    pieces = lexicon.select("term").filter("term <> ''").distinct().withColumn("at", F.explode(F.sequence(F.lit(0), F.length("term") - 1))) \
+        .withColumn("len", F.explode(F.sequence(F.lit(1), F.least(F.length("term") - F.col("at"), F.lit(longest))))) \
         .withColumn("piece", F.substring("term", F.col("at") + 1, F.col("len")))
     found = lookup_join(pieces, words, ["piece"])
     # The list per term is bounded by the term's own length.
@@ -181,28 +183,19 @@ def compound_tokens(tokens: DataFrame, splits: DataFrame, keep: str = "term") ->
 
 # ---- block profile ----------------------------------------------------------------------------------------------
 
-# The first Unicode blocks (name, first, last code point).
-BLOCKS: Sequence[tuple[str, int, int]] = (
-    ("Basic Latin", 0x0000, 0x007F), ("Latin-1 Supplement", 0x0080, 0x00FF), ("Latin Extended-A", 0x0100, 0x017F),
-    ("Latin Extended-B", 0x0180, 0x024F), ("IPA Extensions", 0x0250, 0x02AF), ("Spacing Modifier Letters", 0x02B0, 0x02FF),
-    ("Combining Diacritical Marks", 0x0300, 0x036F), ("Greek and Coptic", 0x0370, 0x03FF), ("Cyrillic", 0x0400, 0x04FF),
-    ("Hebrew", 0x0590, 0x05FF), ("Arabic", 0x0600, 0x06FF), ("Devanagari", 0x0900, 0x097F), ("Thai", 0x0E00, 0x0E7F),
-    ("General Punctuation", 0x2000, 0x206F), ("Currency Symbols", 0x20A0, 0x20CF), ("CJK Symbols and Punctuation", 0x3000, 0x303F),
-    ("Hiragana", 0x3040, 0x309F), ("Katakana", 0x30A0, 0x30FF), ("CJK Unified Ideographs", 0x4E00, 0x9FFF),
-    ("Hangul Syllables", 0xAC00, 0xD7AF), ("Private Use Area", 0xE000, 0xF8FF), ("Halfwidth and Fullwidth Forms", 0xFF00, 0xFFEF),
-)
-
-
-def block_of(code: Column, blocks: Sequence[tuple[str, int, int]] = BLOCKS) -> Column:
-    name = F.lit(None).cast("string")
-    for label, lo, hi in reversed(blocks):
-        name = F.when(code.between(lo, hi), F.lit(label)).otherwise(name)
-    return name
+def block_of(code: Column) -> Column:
+    """The Unicode block of a code point, by the virtual machine's own table of all blocks, in the standard's spelling; null outside
+    of any block."""
+    name = F.java_method(F.lit("java.lang.Character$UnicodeBlock"), F.lit("of"), code.cast("int"))
+    words = F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))
+    for pattern, spelled in ((r"^Latin 1 ", "Latin-1 "), (r" (Extended|Forms) ([A-J])\b", " $1-$2"), (r"\bAnd\b", "and")):
+        words = F.regexp_replace(words, pattern, spelled)
+    return F.when(name != "null", words)
 
 
-def block_profile(corpus: DataFrame, text: str = "text", blocks: Sequence[tuple[str, int, int]] = BLOCKS) -> DataFrame:
+def block_profile(corpus: DataFrame, text: str = "text") -> DataFrame:
     """Characters per block. Counts per distinct character come first, so blocks are looked up for a few hundred
-    characters instead of for every one. ``blocks`` may be any list of (name, first, last)."""
+    characters instead of for every one."""
     chars = corpus.select(F.explode(F.split(F.col(text), "")).alias("ch")).filter("ch <> ''").groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
     code = F.conv(F.hex(F.encode("ch", "UTF-32")), 16, 10).cast("long")
-    return chars.withColumn("block", block_of(code, blocks)).groupBy("block").agg(F.sum("n").alias("n"))
+    return chars.withColumn("block", block_of(code)).groupBy("block").agg(F.sum("n").alias("n"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -29,18 +30,17 @@ def build_session(app: str = "gleanery", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``. Only a local master may fall back to a temporary folder."""
+    """The checkpoint folder of the session, which every executor reaches: the context's own, else ``spark.checkpoint.dir``. Where
+    neither is set, a single-process session (as in tests) uses a temporary folder; any other master is refused."""
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if current is None:
+    if sc.getCheckpointDir() is None:
+        configured = spark.conf.get("spark.checkpoint.dir", None)
         if configured is None:
-            if not sc.master.startswith("local"):
+            if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", sc.master):
                 raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
             configured = tempfile.mkdtemp(prefix="gleanery-")
         sc.setCheckpointDir(configured)
-        current = sc.getCheckpointDir()
-    return configured or current
+    return sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

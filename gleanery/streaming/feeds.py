@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.dictionary import tag_documents
-from ..plans.service import ARTICLE_URL, canonical_url
-from .tables import ChangeTable
+from ..plans.service import canonical_url
+from .tables import ChangeTable, SeenTable
 
 
 def stream_tail(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -29,11 +29,17 @@ def stream_tag(documents: DataFrame, dictionary: DataFrame, table: ChangeTable,
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
-def stream_new_urls(visits: DataFrame, known: DataFrame, time: str = "ts", delay: str = "1 day", pattern: str = ARTICLE_URL) -> DataFrame:
-    """Each recognised address once, unless it is known already. ``delay`` bounds the state kept for duplicates."""
-    urls = visits.withColumn("url", canonical_url(pattern=pattern)).filter("url IS NOT NULL")
-    fresh = urls.join(known.select("url").distinct(), "url", "left_anti")
-    return fresh.withWatermark(time, delay).dropDuplicatesWithinWatermark(["url"]).select("url", time)
+def stream_new_urls(visits: DataFrame, known: DataFrame, table: SeenTable, checkpoint: str, pattern: str, **trigger) -> StreamingQuery:
+    """Each recognised address once, unless it is known already, however late or often it is visited.
+
+    ``table`` holds the addresses met so far, as a keyed store would; a batch is held against it and against ``known``.
+    """
+    def write(batch: DataFrame, epoch: int) -> None:
+        urls = batch.select(canonical_url(pattern=pattern).alias("url")).filter("url IS NOT NULL").distinct()
+        table.apply(urls.join(known.select("url"), "url", "left_anti"), epoch)
+
+    return (visits.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start())
 
 
 def stream_buffered_commit(changes: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, period: str | None = "60 seconds") -> StreamingQuery:

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.index import Field, explode_postings, forward_index
 from ..operators.maintain import last_per_key
+from ..session import settle
 
 
 def _folders(spark: SparkSession, path: str, prefix: str) -> list[int]:
@@ -60,30 +61,61 @@ class ChangeTable:
         df = self.spark.read.schema(self.schema + ", op string, seq long, epoch long").option("basePath", f"{self.path}/changes").parquet(*paths)
         return df.select(*empty.columns)
 
-    def current(self) -> DataFrame:
-        """Base rows whose key has not changed since, and the last change of every changed key that is not a delete."""
+    def _latest(self) -> DataFrame:
+        """The last change of every key, deletes included, by arrival number and then batch: a change that comes late in a later
+        batch does not undo a newer one. The base keeps arrival numbers and deletes for that; only keys that changed are compared,
+        so that a base of any size stays where it is."""
         bases = _folders(self.spark, f"{self.path}/base", "upto")
         upto = bases[-1] if bases else -1
-        last = last_per_key(self.changes(upto), self.key, ["epoch", "seq"])
-        columns = [c.strip().split(" ")[0] for c in self.schema.split(", ")]
-        live = last.filter("op <> 'delete'").select(*columns)
+        last = last_per_key(self.changes(upto), self.key, ["seq", "epoch"]).drop("epoch")
         if not bases:
-            return live
-        base = self._read(f"{self.path}/base/upto={upto}")
-        return base.join(last.select(self.key), self.key, "left_anti").select(*columns).unionByName(live)
+            return last
+        base = self._read(f"{self.path}/base/upto={upto}", ", op string, seq long")
+        newer = base.join(last.select(self.key, F.col("seq").alias("_seq")), self.key).filter(F.col("seq") > F.col("_seq")).select(self.key)
+        won = settle(last.join(newer, self.key, "left_anti"))
+        return base.join(won.select(self.key), self.key, "left_anti").unionByName(won.select(*base.columns))
+
+    def current(self) -> DataFrame:
+        """The rows whose last change is not a delete."""
+        columns = [c.strip().split(" ")[0] for c in self.schema.split(", ")]
+        return self._latest().filter("op <> 'delete'").select(*columns)
 
     def compact(self) -> None:
+        """Fold all changes so far into a new base."""
         epochs = _folders(self.spark, f"{self.path}/changes", "epoch")
         if epochs:
-            self.current().write.mode("overwrite").parquet(f"{self.path}/base/upto={epochs[-1]}")
+            self._latest().write.mode("overwrite").parquet(f"{self.path}/base/upto={epochs[-1]}")
 
 
 def stream_upsert_delete(changes: DataFrame, table: ChangeTable, checkpoint: str, **trigger) -> StreamingQuery:
-    """Apply a stream of changes in arrival order by key."""
+    """Apply a stream of changes; each key keeps the one with the highest arrival number, whatever batch it comes in."""
     return (changes.writeStream.foreachBatch(lambda df, epoch: table.apply(df, epoch))
             .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
 
 
+@dataclass(frozen=True)
+class SeenTable:
+    """Values met by a stream, each written once, in the batch that met it first."""
+
+    spark: SparkSession
+    path: str
+    column: str
+
+    def apply(self, batch: DataFrame, epoch: int) -> None:
+        """Add the batch's values that no earlier batch holds. A batch that is run again replaces its own folder."""
+        new = batch.select(self.column).distinct().join(self._read(epoch), self.column, "left_anti")
+        new.write.mode("overwrite").parquet(f"{self.path}/epoch={epoch}")
+
+    def _read(self, before: int | None = None) -> DataFrame:
+        epochs = [e for e in _folders(self.spark, self.path, "epoch") if before is None or e < before]
+        if not epochs:
+            return self.spark.createDataFrame([], f"{self.column} string")
+        return self.spark.read.schema(f"{self.column} string").parquet(*[f"{self.path}/epoch={e}" for e in epochs])
+
+    def current(self) -> DataFrame:
+        return self._read()
+
+
 @dataclass(frozen=True)
 class StatisticsTable:
     """Term statistics as partial sums per batch, added up on read."""
