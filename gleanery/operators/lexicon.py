@@ -188,7 +188,7 @@ def block_of(code: Column) -> Column:
     of any block."""
     name = F.java_method(F.lit("java.lang.Character$UnicodeBlock"), F.lit("of"), code.cast("int"))
     words = F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))
-    for pattern, spelled in ((r"^Latin 1 ", "Latin-1 "), (r" (Extended|Forms) ([A-J])\b", " $1-$2"), (r"\bAnd\b", "and")):
+    for pattern, spelled in ((r"^Latin 1 ", "Latin-1 "), (r" (Extended|Forms) ([A-J])\b", " $1-$2"), (r"\bAnd\b", "and"), (r"\bCjk\b", "CJK"), (r"\bIpa\b", "IPA")):
         words = F.regexp_replace(words, pattern, spelled)
     return F.when(name != "null", words)
 

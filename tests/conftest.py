@@ -10,7 +10,7 @@ from gleanery.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build_session("tests", "local[8]", spark__sql__shuffle__partitions="4", spark__driver__memory="4g")
+    s = build_session("tests", "local[8]", spark__sql__shuffle__partitions="4", spark__driver__memory="4g", spark__ui__showConsoleProgress="false")
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

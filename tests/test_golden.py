@@ -238,3 +238,58 @@ def test_stream_replay(spark, tmp_path, files):
     table.compact()
     table.apply(spark.createDataFrame([(5, "five", "upsert", 8), (1, None, "delete", 9)], schema), 1000)
     assert sorted(map(tuple, table.current().collect())) == [(3, "java"), (4, "new"), (5, "five")]
+
+
+# Names with their codes as the published algorithm gives them.
+NAMES = {
+    "maurice": ("MRS", None), "aubrey": ("APR", None), "cambrillo": ("KMPRL", "KMPR"), "heidi": ("HT", None), "katherine": ("K0RN", "KTRN"),
+    "catherine": ("K0RN", "KTRN"), "richard": ("RXRT", "RKRT"), "bob": ("PP", None), "eric": ("ARK", None), "geoff": ("JF", "KF"),
+    "Through": ("0R", "TR"), "Schwein": ("XN", "XFN"), "dave": ("TF", None), "ray": ("R", None), "steven": ("STFN", None), "bryce": ("PRS", None),
+    "randy": ("RNT", None), "bryan": ("PRN", None), "Rapelje": ("RPL", None), "brian": ("PRN", None), "otto": ("AT", None), "auto": ("AT", None),
+    "Dallas": ("TLS", None), "maisey": ("MS", None), "zhang": ("JNK", None), "Chile": ("XL", None), "Jose": ("HS", None), "Arnow": ("ARN", "ARNF"),
+    "solilijs": ("SLLS", None), "Parachute": ("PRKT", None), "Nowhere": ("NR", None), "Tux": ("TKS", None), "zone": ("SN", None), "hochmeier": ("HKMR", None),
+}
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_double_metaphone(name):
+    assert double_metaphone(name) == NAMES[name]
+
+
+def test_highlight_keeps_places_of_letters_that_grow(spark):
+    docs = spark.createDataFrame([(1, "İİ apple pie, Apple")], "doc_id long, text string")
+    words = spark.createDataFrame([("apple",)], "term string")
+    assert Di.highlight_terms(docs, words).first()["marked"] == "İİ <b>apple</b> pie, <b>Apple</b>"
+
+
+def test_fold_accents_of_whole_alphabets(spark):
+    assert terms(spark, T.chain(T.tok_space, T.f_fold_accents), "Tiếng Việt Łódź Ærø ñandú groß") == ["tieng", "viet", "lodz", "aero", "nandu", "gross"]
+
+
+def test_block_profile_names_every_block(spark):
+    docs = spark.createDataFrame([("aé ქ ế ア — 漢",)], "text string")
+    got = {r["block"]: r["n"] for r in L.block_profile(docs).collect()}
+    assert got == {"Basic Latin": 6, "Latin-1 Supplement": 1, "Georgian": 1, "Latin Extended Additional": 1, "Katakana": 1, "General Punctuation": 1, "CJK Unified Ideographs": 1}
+
+
+def test_terms_prune_the_partitions_that_are_read(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"common word{i} other{i}") for i in range(200)], "doc_id long, text string")
+    saved = SearchIndex.build(docs, [Field("text", "text", T.an_standard())]).save(str(tmp_path / "index"))
+    asked = spark.createDataFrame([(0, 0, "text", "word7")], "query_id long, clause_id int, field string, term string")
+    hits = C.match(saved, asked)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    read = C._asked(saved, asked)[1]
+    assert 0 < len(read.inputFiles()) < len(saved.postings.inputFiles())
+    assert [r["doc_id"] for r in hits.collect()] == [7]
+
+
+def test_late_change_does_not_undo_a_newer_one(spark, tmp_path):
+    schema = "id long, tags string, op string, seq long"
+    table = ChangeTable(spark, str(tmp_path / "table"), "id", "id long, tags string")
+    table.apply(spark.createDataFrame([(1, "new", "upsert", 9), (2, "gone", "delete", 9)], schema), 0)
+    table.apply(spark.createDataFrame([(1, "stale", "upsert", 2)], schema), 1)
+    assert [tuple(r) for r in table.current().collect()] == [(1, "new")]
+    table.compact()
+    table.apply(spark.createDataFrame([(1, "older", "upsert", 5), (2, "older", "upsert", 5), (3, "three", "upsert", 1)], schema), 2)
+    assert sorted(tuple(r) for r in table.current().collect()) == [(1, "new"), (3, "three")]
