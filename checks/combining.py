@@ -10,19 +10,31 @@ from gleanery.operators import ranking as Rk
 from .base import POSTINGS, QUERY_TERMS, check, index, r6, scored, table
 from .clauses import benchmark_terms
 
-ORDERED = QUERY_TERMS + ", qo AS (SELECT item_id AS query_id, term, row_number() OVER (PARTITION BY item_id ORDER BY min(pos)) - 1 AS clause_id FROM qtok GROUP BY item_id, term)"
+# Queries of n operands: the words of every benchmark text in order, n by n, until all are used.
+QUERY_STEP = 100_000
+
+
+def ordered(n: int = 1) -> str:
+    """CTE qo(query_id, term, clause_id): the words dealt out by :func:`operand_terms`."""
+    return (QUERY_TERMS + f", q0 AS (SELECT item_id, term, row_number() OVER (PARTITION BY item_id ORDER BY min(pos)) - 1 AS i FROM qtok GROUP BY item_id, term), "
+            f"qo AS (SELECT item_id * {QUERY_STEP} + i // {n} AS query_id, term, i % {n} AS clause_id FROM q0)")
+
+
+def operand_terms(spark, sf, n: int):
+    t = benchmark_terms(spark, sf)
+    return t.withColumn("query_id", F.col("query_id") * QUERY_STEP + F.floor(F.col("clause_id") / n)).withColumn("clause_id", F.col("clause_id") % n)
 
 
 def cl(*ids):
     return ", ".join(f"h{i} AS (SELECT query_id, doc_id, s AS score FROM qo JOIN sc USING (term) WHERE clause_id = {i})" for i in ids)
 
 
-def hits(spark, sf, i):
-    t = benchmark_terms(spark, sf).filter(F.col("clause_id") == i)
-    return C.match(index(spark, sf), t).select("query_id", "doc_id", "score")
+def hits(spark, sf, i, n):
+    return C.match(index(spark, sf), operand_terms(spark, sf, n).filter(F.col("clause_id") == i)).select("query_id", "doc_id", "score")
 
 
-BASE = f"WITH {scored()}, {ORDERED}, "
+def base(n: int) -> str:
+    return f"WITH {scored()}, {ordered(n)}, "
 
 
 def out(df):
@@ -30,9 +42,9 @@ def out(df):
 
 
 def reg(name, ids, sql, fn):
-    @check(name, BASE + cl(*ids) + " " + sql)
+    @check(name, base(len(ids)) + cl(*ids) + " " + sql)
     def run(spark, sf):
-        return out(fn(spark, sf, *[hits(spark, sf, i) for i in ids]))
+        return out(fn(spark, sf, *[hits(spark, sf, i, len(ids)) for i in ids]))
 
 
 UNION3 = "u AS (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2)"
@@ -40,7 +52,7 @@ reg("h_and", (0, 1), "SELECT query_id, doc_id, round(h0.score + h1.score, 6) AS
 reg("h_or", (0, 1, 2), f", {UNION3} SELECT query_id, doc_id, round(sum(score), 6) AS score FROM u GROUP BY ALL HAVING count(*) >= 2", lambda s, f, a, b, c: H.h_or(a, b, c, minmatch=2))
 reg("h_dismax", (0, 1, 2), f", {UNION3} SELECT query_id, doc_id, round(max(score) + 0.3 * (sum(score) - max(score)), 6) AS score FROM u GROUP BY query_id, doc_id", lambda s, f, a, b, c: H.h_dismax(a, b, c, tiebreak=0.3))
 reg("h_not", (0,), "SELECT query_id, doc_id, 1.0::DOUBLE AS score FROM (SELECT DISTINCT query_id FROM qo), documents WHERE (query_id, doc_id) NOT IN (SELECT query_id, doc_id FROM h0)",
-    lambda s, f, a: H.h_not(index(s, f).doc_ids, a, table(s, f, "benchmark").select(F.col("item_id").alias("query_id"))))
+    lambda s, f, a: H.h_not(index(s, f).doc_ids, a, operand_terms(s, f, 1).select("query_id").distinct()))
 reg("h_and_not", (0, 1), "SELECT query_id, doc_id, round(score, 6) AS score FROM h0 ANTI JOIN h1 USING (query_id, doc_id)", lambda s, f, a, b: H.h_and_not(a, b))
 reg("h_and_maybe", (0, 1), "SELECT h0.query_id, h0.doc_id, round(h0.score + coalesce(h1.score, 0), 6) AS score FROM h0 LEFT JOIN h1 USING (query_id, doc_id)", lambda s, f, a, b: H.h_and_maybe(a, b))
 reg("h_require", (0, 1), "SELECT query_id, doc_id, round(score, 6) AS score FROM h0 SEMI JOIN h1 USING (query_id, doc_id)", lambda s, f, a, b: H.h_require(a, b))
@@ -50,13 +62,13 @@ reg("h_boolean", (0, 1, 2), "SELECT h0.query_id, h0.doc_id, round(h0.score + coa
     lambda s, f, a, b, c: H.h_boolean([a], [b], [c]))
 
 # Words asked of two fields: every document is searched in its text and in its language code.
-MULTI = f"""WITH {scored()}, {ORDERED}, w AS (SELECT query_id, term, clause_id FROM qo WHERE clause_id < 3 UNION ALL SELECT DISTINCT item_id, 'en', 3 FROM benchmark),
+MULTI = f"""WITH {scored()}, {ordered(3)}, w AS (SELECT query_id, term, clause_id FROM qo UNION ALL SELECT DISTINCT query_id, 'en', 3 FROM qo),
 b AS (SELECT query_id, doc_id, clause_id, s * 2.0 AS score FROM w JOIN sc USING (term) UNION ALL SELECT query_id, doc_id, clause_id, 0.5 FROM w JOIN documents ON lang = term), """
 
 
 def multi_words(spark, sf):
-    t = benchmark_terms(spark, sf).filter("clause_id < 3").select("query_id", "clause_id", "term")
-    en = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.lit(3).alias("clause_id"), F.lit("en").alias("term"))
+    t = operand_terms(spark, sf, 3).select("query_id", "clause_id", "term")
+    en = t.select("query_id").distinct().select("query_id", F.lit(3).alias("clause_id"), F.lit("en").alias("term"))
     return t.union(en)
 
 
@@ -123,9 +135,9 @@ def ranks(*ids):
 
 
 def alg(name, tail, fn):
-    @check(name, BASE + cl(0, 1) + ", " + ranks(0, 1) + ", " + tail)
+    @check(name, base(2) + cl(0, 1) + ", " + ranks(0, 1) + ", " + tail)
     def run(spark, sf):
-        a, b = Rk.rank_all(hits(spark, sf, 0)), Rk.rank_all(hits(spark, sf, 1))
+        a, b = Rk.rank_all(hits(spark, sf, 0, 2)), Rk.rank_all(hits(spark, sf, 1, 2))
         return fn(a, b).select("query_id", "doc_id", r6(), "rank")
 
 

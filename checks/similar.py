@@ -150,7 +150,7 @@ def similarity_relative(spark, sf):
 
 
 # Misspellings: the first word of every benchmark text without its second letter.
-WORDS = f"{QUERY_TERMS}, ms AS (SELECT DISTINCT term[1] || substr(term, 3) AS text FROM (SELECT arg_min(term, pos) AS term FROM qtok GROUP BY item_id))"
+WORDS = f"{QUERY_TERMS}, ms AS (SELECT DISTINCT term[1] || substr(term, 3) AS text FROM qt)"
 MISSPELT = WORDS
 def osa2(a: str, b: str) -> str:
     """SQL for the optimal string alignment distance up to 2, from columns da (unrestricted) and dl (Levenshtein): one
@@ -174,7 +174,7 @@ SUGGEST = (", " + candidates("ts", "cf AS freq, ") + ", "
 
 
 def misspelt(spark, sf):
-    t = benchmark_terms(spark, sf).filter("clause_id = 0")
+    t = benchmark_terms(spark, sf)
     return t.select(F.lit("text").alias("field"), F.concat(F.substring("term", 1, 1), F.substring(F.col("term"), F.lit(3), F.length("term"))).alias("text")).distinct()
 
 

@@ -1,4 +1,4 @@
-"""Positional operators. Spans come from the first words of every benchmark text; results are span rows."""
+"""Positional operators. Spans come from all words of every benchmark text, as many to a query as the operator takes; results are span rows."""
 
 from pyspark.sql import functions as F
 
@@ -8,16 +8,18 @@ from gleanery.functions.scoring import frequency
 from gleanery.operators import positional as P
 
 from .base import POSTINGS, check, index, r6, scored, std_tokens, table
-from .clauses import benchmark_terms
-from .combining import ORDERED
+from .combining import operand_terms, ordered
+
+def base(n: int) -> str:
+    return f"WITH {POSTINGS}, {ordered(n)}, " + ", ".join(
+        f"s{i} AS (SELECT query_id, doc_id, pos AS a, pos AS b FROM qo JOIN tok USING (term) WHERE clause_id = {i})" for i in range(n)) + ", "
+
 
-BASE = f"WITH {POSTINGS}, {ORDERED}, " + ", ".join(
-    f"s{i} AS (SELECT query_id, doc_id, pos AS a, pos AS b FROM qo JOIN tok USING (term) WHERE clause_id = {i})" for i in (0, 1, 2)) + ", "
 ROWS = "SELECT DISTINCT query_id, doc_id, a AS start, b AS \"end\" FROM "
 
 
-def spans(spark, sf, i):
-    t = benchmark_terms(spark, sf).filter(F.col("clause_id") == i)
+def spans(spark, sf, i, n):
+    t = operand_terms(spark, sf, n).filter(F.col("clause_id") == i)
     return P.term_spans(index(spark, sf), t, frequency).select(*P.COLUMNS)
 
 
@@ -26,9 +28,9 @@ def rows(df):
 
 
 def reg(name, sql, fn, ids=(0, 1)):
-    @check(name, BASE + sql)
+    @check(name, base(len(ids)) + sql)
     def run(spark, sf):
-        return rows(fn(*[spans(spark, sf, i) for i in ids]))
+        return rows(fn(*[spans(spark, sf, i, len(ids)) for i in ids]))
 
 
 NEAR = "n AS (SELECT x.query_id, x.doc_id, least(x.a, y.a) AS a, greatest(x.b, y.b) AS b FROM s0 x JOIN s1 y USING (query_id, doc_id) WHERE abs(y.a - x.a) BETWEEN 1 AND {slop} {order})"
@@ -55,9 +57,9 @@ DIST = """m AS (SELECT x.query_id, x.doc_id, x.a AS xa, y.a AS ya FROM (SELECT q
 SELECT query_id, doc_id, abs(xa - ya)::BIGINT AS distance, xa < ya AS before, xa > ya AS after, abs(xa - ya) = 1 AS touches, least(xa, ya)::BIGINT AS start, greatest(xa, ya)::BIGINT AS "end" FROM m"""
 
 
-@check("s_distance", BASE + DIST)
+@check("s_distance", base(2) + DIST)
 def s_distance(spark, sf):
-    a, b = (spans(spark, sf, i).select("query_id", "doc_id", F.col("spans")[0].alias(n)) for i, n in ((0, "x"), (1, "y")))
+    a, b = (spans(spark, sf, i, 2).select("query_id", "doc_id", F.col("spans")[0].alias(n)) for i, n in ((0, "x"), (1, "y")))
     x, y = F.col("x"), F.col("y")
     both = S.to(x, y)
     return a.join(b, ["query_id", "doc_id"]).select("query_id", "doc_id", S.distance_to(x, y).cast("long").alias("distance"), S.is_before(x, y).alias("before"), S.is_after(x, y).alias("after"),
