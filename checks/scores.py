@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from gleanery.functions import scoring as Sc
-from gleanery.functions.sortkeys import natural_key
 from gleanery.operators import clauses as C
 from gleanery.operators import combine as H
 from gleanery.operators import ranking as Rk
@@ -90,43 +89,37 @@ def long_rank(df, name="rank"):
 
 @check("all_hits", HITS + " SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM h")
 def all_hits(spark, sf):
-    return Rk.rank_all(Rk.all_hits(hits(spark, sf))).select("query_id", "doc_id", r6(), "rank")
+    return Rk.all_hits(hits(spark, sf)).select("query_id", "doc_id", r6(), "rank")
 
 
 @check("sort_by_field", "SELECT p_partkey, row_number() OVER (ORDER BY CASE WHEN p_size > 10 THEN p_size END DESC NULLS FIRST, p_partkey) AS place FROM part")
 def sort_by_field(spark, sf):
-    from gleanery.functions.sortkeys import missing_aware
-    from gleanery.joins import wide_rank
-    p = table(spark, sf, "part").withColumn("size", F.when(F.col("p_size") > 10, F.col("p_size"))).withColumn("g", F.lit(0))
-    rows = Rk.sort_by_field(p, "size", reverse=True, key="p_partkey")
-    return wide_rank(rows, ["g"], [*missing_aware(p, "size", True), F.col("p_partkey").asc()], "place").select("p_partkey", "place")
+    p = table(spark, sf, "part").select("p_partkey", F.when(F.col("p_size") > 10, F.col("p_size")).alias("size"))
+    return Rk.sort_by_field(p, "size", reverse=True, key="p_partkey").select("p_partkey", "place")
 
 
 @check("sort_multi", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) AS place FROM orders")
 def sort_multi(spark, sf):
-    rows = Rk.sort_multi(table(spark, sf, "orders"), [("o_orderpriority", False), ("o_totalprice", True)], "o_orderkey").withColumn("g", F.lit(0))
-    order = [F.col("o_orderpriority").asc_nulls_last(), F.col("o_totalprice").desc_nulls_first(), F.col("o_orderkey").asc()]
-    return Rk.wide_rank(rows, ["g"], order, "place").select("o_orderkey", "place")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return Rk.sort_multi(orders, [("o_orderpriority", False), ("o_totalprice", True)], "o_orderkey").select("o_orderkey", "place")
 
 
 @check("sort_by_score_within", HITS + " SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY lang, round(score, 9) DESC, doc_id) AS place FROM h JOIN documents USING (doc_id)")
 def sort_by_score_within(spark, sf):
     rows = hits(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
-    return Rk.wide_rank(Rk.sort_by_score_within(rows, "lang"), ["query_id"], [F.col("lang").asc_nulls_last(), *Rk.by_score()], "place").select("query_id", "doc_id", "place")
+    return Rk.sort_by_score_within(rows, "lang").select("query_id", "doc_id", "place")
 
 
 @check("sort_by_function", "SELECT doc_id, row_number() OVER (ORDER BY length(text) % 100, doc_id) AS place FROM documents")
 def sort_by_function(spark, sf):
-    key = F.length("text") % 100
-    rows = Rk.sort_by_function(table(spark, sf, "documents").withColumn("g", F.lit(0)), key)
-    return Rk.wide_rank(rows.select("doc_id", "g", key.alias("k")), ["g"], [F.col("k").asc(), F.col("doc_id").asc()], "place").select("doc_id", "place")
+    sizes = table(spark, sf, "documents").select("doc_id", F.length("text").alias("size"))
+    return Rk.sort_by_function(sizes, F.col("size") % 100).select("doc_id", "place")
 
 
 @check("sort_natural", "SELECT c_custkey, row_number() OVER (ORDER BY lower(c_mktsegment), (c_custkey * 7919) % 1000, c_custkey) AS place FROM customer")
 def sort_natural(spark, sf):
-    c = table(spark, sf, "customer").withColumn("name", F.concat("c_mktsegment", (F.col("c_custkey") * 7919) % 1000)).withColumn("g", F.lit(0))
-    rows = Rk.sort_natural(c, "name", "c_custkey").withColumn("k", natural_key(F.col("name")))
-    return Rk.wide_rank(rows, ["g"], [F.col("k").asc(), F.col("c_custkey").asc()], "place").select("c_custkey", "place")
+    c = table(spark, sf, "customer").select("c_custkey", F.concat("c_mktsegment", (F.col("c_custkey") * 7919) % 1000).alias("name"))
+    return Rk.sort_natural(c, "name", "c_custkey").select("c_custkey", "place")
 
 
 @check("page", HITS + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank, count(*) OVER (PARTITION BY query_id) AS total FROM h) "

@@ -22,38 +22,40 @@ def top_k(hits: DataFrame, k: int = 10, order: Sequence[Column] | None = None) -
     return best_per_group(hits, ["query_id"], order or by_score(), k, "rank")
 
 
-def all_hits(hits: DataFrame, reverse: bool = False) -> DataFrame:
-    """Every hit, sorted inside its query; ``reverse`` flips both keys."""
-    keys = [F.round("score", 9).asc(), F.desc("doc_id")] if reverse else by_score()
-    return hits.orderBy("query_id", *keys)
-
-
 def rank_all(hits: DataFrame, order: Sequence[Column] | None = None) -> DataFrame:
     """Every hit with its rank, for result sets of any size."""
     return wide_rank(hits, ["query_id"], order or by_score())
 
 
-def sort_by_field(rows: DataFrame, column: str, reverse: bool = False, key: str = "doc_id") -> DataFrame:
-    return rows.orderBy(*missing_aware(rows, column, reverse), key)
+def all_hits(hits: DataFrame, reverse: bool = False) -> DataFrame:
+    """Every hit with its rank inside its query; ``reverse`` flips both keys."""
+    return rank_all(hits, [F.round("score", 9).asc(), F.desc("doc_id")] if reverse else None)
+
+
+# The sorts add a row's ``place``: a number holds in any later step, the order of a DataFrame's rows does not. Places are counted by
+# ranges of the order, inside the groups ``by`` if there are any.
+
+def sort_by_field(rows: DataFrame, column: str, reverse: bool = False, key: str = "doc_id", by: Sequence[str] = ()) -> DataFrame:
+    return sort_multi(rows, [(column, reverse)], key, by)
 
 
-def sort_multi(rows: DataFrame, columns: Sequence[tuple[str, bool]], key: str = "doc_id") -> DataFrame:
+def sort_multi(rows: DataFrame, columns: Sequence[tuple[str, bool]], key: str = "doc_id", by: Sequence[str] = ()) -> DataFrame:
     keys: list[Column] = []
     for column, reverse in columns:
         keys += missing_aware(rows, column, reverse)
-    return rows.orderBy(*keys, key)
+    return wide_rank(rows, by, [*keys, F.col(key).asc()], "place")
 
 
-def sort_by_score_within(rows: DataFrame, column: str) -> DataFrame:
-    return rows.orderBy(F.col(column).asc_nulls_last(), F.col("score").desc(), "doc_id")
+def sort_by_score_within(rows: DataFrame, column: str, by: Sequence[str] = ("query_id",)) -> DataFrame:
+    return wide_rank(rows, by, [F.col(column).asc_nulls_last(), *by_score()], "place")
 
 
-def sort_by_function(rows: DataFrame, expr: Column, key: str = "doc_id") -> DataFrame:
-    return rows.orderBy(expr, key)
+def sort_by_function(rows: DataFrame, expr: Column, key: str = "doc_id", by: Sequence[str] = ()) -> DataFrame:
+    return wide_rank(rows, by, [expr.asc(), F.col(key).asc()], "place")
 
 
-def sort_natural(rows: DataFrame, column: str, key: str = "doc_id") -> DataFrame:
-    return rows.orderBy(natural_key(F.col(column)), key)
+def sort_natural(rows: DataFrame, column: str, key: str = "doc_id", by: Sequence[str] = ()) -> DataFrame:
+    return wide_rank(rows, by, [natural_key(F.col(column)).asc(), F.col(key).asc()], "place")
 
 
 def total_hits(hits: DataFrame) -> DataFrame:
