@@ -155,15 +155,38 @@ def snippet_whole(spark, sf):
     return out.select("query_id", "doc_id", F.col("f.end").cast("long").alias("end"), F.size("f.matches").cast("long").alias("matches")).filter("matches > 0")
 
 
-def rows_only(name, fragmenter):
-    @check(name)
+# Tokens of a text with the widths of those before them, and for each match how far given numbers of characters reach.
+SPOTS = (PIECES + ", tok2 AS (SELECT query_id, doc_id, i - 1 AS k, e - w AS a, e AS b, w, hit, length(text) AS size, cnt AS n, sum(w) OVER (PARTITION BY query_id, doc_id ORDER BY i) - w AS before FROM tn), "
+         "ms AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY k) AS m FROM tok2 WHERE hit), ")
+BOUNDS = ("rc AS (SELECT h.query_id, h.doc_id, h.m, coalesce(min(t.k) FILTER (t.before + t.w - h.before >= 20), any_value(h.n)) AS plain, coalesce(min(t.k) FILTER (t.before + t.w - h.before >= 40), any_value(h.n)) AS wide, "
+          "coalesce(min(t.k) FILTER (t.before + t.w - h.before > 200), any_value(h.n)) AS cut, bool_or(t.before + t.w - h.before = 20) AS plain_skip, bool_or(t.before + t.w - h.before = 40) AS wide_skip "
+          "FROM ms h JOIN tok2 t ON t.query_id = h.query_id AND t.doc_id = h.doc_id AND t.k BETWEEN h.k AND h.k + 201 GROUP BY h.query_id, h.doc_id, h.m), "
+          "lf AS (SELECT h.query_id, h.doc_id, h.m, h.k, h.k - count(t.k) FILTER (p.b - t.a <= 20) AS far FROM ms h LEFT JOIN tok2 p ON p.query_id = h.query_id AND p.doc_id = h.doc_id AND p.k = h.k - 1 "
+          "LEFT JOIN tok2 t ON t.query_id = h.query_id AND t.doc_id = h.doc_id AND t.k BETWEEN h.k - 20 AND h.k - 1 GROUP BY h.query_id, h.doc_id, h.m, h.k), "
+          "bd AS (SELECT * FROM lf JOIN rc USING (query_id, doc_id, m)), "
+          "st AS (WITH RECURSIVE s(query_id, doc_id, m, frag, first, reach, skip, cut, counted) AS ("
+          "SELECT query_id, doc_id, m, 1, far, CASE WHEN far < k THEN plain ELSE wide END, CASE WHEN far < k THEN plain_skip ELSE wide_skip END, cut, cut > k FROM bd WHERE m = 1 UNION ALL "
+          "SELECT query_id, doc_id, m, CASE WHEN fresh THEN frag + 1 ELSE frag END, CASE WHEN fresh THEN lft ELSE first END, "
+          "CASE WHEN NOT fresh AND k >= cut THEN reach WHEN fresh AND lft = k THEN wide ELSE plain END, CASE WHEN NOT fresh AND k >= cut THEN skip WHEN fresh AND lft = k THEN wide_skip ELSE plain_skip END, "
+          "CASE WHEN fresh THEN own_cut ELSE cut END, CASE WHEN fresh THEN own_cut > k ELSE k < cut END FROM ("
+          "SELECT b.query_id, b.doc_id, b.m, b.k, frag, first, reach, skip, s.cut, b.cut AS own_cut, plain, wide, plain_skip, wide_skip, b.k > least(reach, s.cut) AS fresh, "
+          "least(greatest(far, least(reach, s.cut) + 1 + CASE WHEN reach < s.cut AND skip THEN 1 ELSE 0 END), b.k) AS lft FROM s JOIN bd b ON b.query_id = s.query_id AND b.doc_id = s.doc_id AND b.m = s.m + 1)) SELECT * FROM s), "
+          "fg AS (SELECT query_id, doc_id, frag, min(first) AS first, least(arg_max(reach, m), min(cut)) AS last, count(*) FILTER (counted) AS matches FROM st GROUP BY ALL) ")
+
+
+def fragment_rows(name, fragmenter, sql):
+    @check(name, BEST + ", " + SPOTS + sql)
     def run(spark, sf):
         out = hit_rows(spark, sf).select("query_id", "doc_id", F.posexplode(fragmenter(F.col("text"), F.col("terms"))).alias("n", "f"))
-        return out.select("query_id", "doc_id", "n", "f.start", "f.end", F.size("f.matches").alias("matches"))
+        return out.select("query_id", "doc_id", *[c.cast("long").alias(n) for n, c in (("n", F.col("n")), ("start", F.col("f.start")), ("end", F.col("f.end")), ("matches", F.size("f.matches")))])
 
 
-rows_only("snippet_context", Sn.snippet_context)
-rows_only("snippet_pinpoint", Sn.snippet_pinpoint)
+fragment_rows("snippet_context", Sn.snippet_context, BOUNDS + 'SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY frag) - 1 AS n, x.a::BIGINT AS start, y.b::BIGINT AS "end", matches FROM fg '
+              "JOIN tok2 x USING (query_id, doc_id) JOIN tok2 y USING (query_id, doc_id) WHERE matches > 0 AND x.k = first AND y.k = least(last, x.n - 1)")
+fragment_rows("snippet_pinpoint", Sn.snippet_pinpoint, "mw AS (SELECT *, sum(w) OVER v - w AS wide, lag(b) OVER v AS prev, count(*) OVER (PARTITION BY query_id, doc_id) AS total FROM ms WINDOW v AS (PARTITION BY query_id, doc_id ORDER BY m)), "
+              "bad AS (SELECT x.query_id, x.doc_id, x.m, min(y.m) AS stop FROM mw x JOIN mw y ON x.query_id = y.query_id AND x.doc_id = y.doc_id AND y.m > x.m WHERE y.b - y.prev > 20 OR y.b - x.a > 200 OR y.wide - x.wide >= 200 GROUP BY ALL), "
+              "fi AS (SELECT x.*, coalesce(stop, total + 1) - x.m AS matches FROM mw x LEFT JOIN bad USING (query_id, doc_id, m)) "
+              'SELECT f.query_id, f.doc_id, f.m - 1 AS n, greatest(0, f.a - 20)::BIGINT AS start, least(f.size, l.b + 20)::BIGINT AS "end", f.matches::BIGINT AS matches FROM fi f JOIN mw l ON l.query_id = f.query_id AND l.doc_id = f.doc_id AND l.m = f.m + f.matches - 1')
 
 
 @check("snippet_format")
