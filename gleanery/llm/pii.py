@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.functions.arrays import let, let_all, running_total
+
 from .common import quoted, settle
 
 BASE = ("email", "ip", "card", "phone")
@@ -45,16 +47,15 @@ def _found(text: Column, pattern: str, gate: Column) -> Column:
     Matches and the gaps between them add up to the text, so their lengths give every place.
     """
     none = F.array().cast("array<struct<start:int,end:int,match:string>>")
-    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    gaps, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-    def step(acc, x):
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.coalesce(F.length(x["match"]), F.lit(0))
-        one = F.struct(begin.alias("start"), end.alias("end"), x["match"].alias("match"))
-        return F.struct(end.alias("at"), F.when(x["match"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(one))).alias("out"))
+    def placed(v: Column) -> Column:
+        # Gap and match lengths in turn: what comes before each, added up in blocks.
+        lengths = F.flatten(F.transform(v["matches"], lambda m, i: F.array(F.length(F.get(v["gaps"], i)), F.length(m))))
+        return let(running_total(lengths), lambda before: F.transform(v["matches"], lambda m, i: F.struct(
+            before[2 * i + 1].alias("start"), (before[2 * i + 1] + F.length(m)).alias("end"), m.alias("match"))))
 
-    return F.when(gate & text.rlike(pattern), F.aggregate(zipped, start, step, lambda acc: acc["out"])).otherwise(none)
+    return F.when(gate & text.rlike(pattern), let_all({"gaps": gaps, "matches": matches}, placed)).otherwise(none)
 
 
 def luhn(digits: Column) -> Column:
