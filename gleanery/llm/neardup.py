@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from .common import Words, mix, only, quoted, settle, steps, strings
 
 WIDTH, ROWS = 12, 3
+# Longs of a set's parity bits: where two sets differ in d bits, their symmetric difference has d members or more.
+PARITY = 16
 
 
 def shingle_hashes(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,7 +50,7 @@ def _starts(row: np.ndarray) -> np.ndarray:
 
 
 def sketches(df: DataFrame, key: str, text: str, size: int, width: int, rows: int) -> DataFrame:
-    """(_id, n, set_a, set_b, left, right): the size of each row's shingle set, 128 bits that name the set, and its half keys."""
+    """(_id, n, set_a, set_b, left, right, o0...): the size of each row's shingle set, 128 bits that name the set, its half keys, its parity bits."""
     picked = only(df, _id=key, _x=text)
     kind = picked.schema["_id"].dataType.simpleString()
     seeds = mix(np.arange(1, 2 * width * rows + 1, dtype=np.uint64))
@@ -71,11 +73,14 @@ def sketches(df: DataFrame, key: str, text: str, size: int, width: int, rows: in
                         low = np.minimum.reduceat((value ^ seed) * (seed | np.uint64(1)) ^ (value >> np.uint64(29)), at)
                         acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + low)
                     half[j, some] = acc
+            bit = (mix(value ^ np.uint64(0xE7037ED1A0B428DB)) >> np.uint64(54)).astype(np.int64)
+            odd = (np.bincount(row * 1024 + bit, minlength=total * 1024) & 1).astype(np.uint8).reshape(total, 1024)
+            parity = np.ascontiguousarray(np.packbits(odd, axis=1).view(np.int64).T)
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(h.T).reshape(-1).view(np.int64)), width).cast(pa.list_(pa.int64())) for h in (half[:width], half[width:])]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(count), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), *lists],
-                                             names=["_id", "n", "set_a", "set_b", "left", "right"])
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(count), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), *lists, *map(pa.array, parity)],
+                                             names=["_id", "n", "set_a", "set_b", "left", "right", *(f"o{i}" for i in range(PARITY))])
 
-    return picked.mapInArrow(run, f"_id {kind}, n bigint, set_a bigint, set_b bigint, left array<bigint>, right array<bigint>")
+    return picked.mapInArrow(run, f"_id {kind}, n bigint, set_a bigint, set_b bigint, left array<bigint>, right array<bigint>, " + ", ".join(f"o{i} bigint" for i in range(PARITY)))
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -101,31 +106,43 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     return both.mapInArrow(run, f"a {kind}, b {kind}")
 
 
+# Links to a task of the component rounds: they are few columns wide, and fewer tasks than rows allow leave fewer files.
+LINKS_PER_TASK = 100_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): for each node of the (a, b) links the smallest node it reaches. Large-star and small-star rounds until
-    nothing changes; each round keeps at most one link for each node and neighbour, and is settled."""
-    links = settle(edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).filter("u <> v").distinct())
+    nothing changes; each round keeps at most one link for each node and neighbour, and is settled. The tasks follow the number of
+    links, which a sum over them tells."""
+    def held(links: DataFrame) -> tuple[DataFrame, tuple]:
+        links = settle(links)
+        state = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        return links.coalesce(1 + state[0] // LINKS_PER_TASK), state
+
+    links, state = held(edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).filter("u <> v").distinct())
     while True:
-        both = links.union(links.select(F.col("u").alias("v"), F.col("v").alias("u")))       # u sees v
+        both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))       # u sees v
+        both = both.coalesce(1 + 2 * state[0] // LINKS_PER_TASK)
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
-        new = settle(small.select("v", "u"))
-        same = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() == links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        links = new
-        if same:
+        links, new = held(small)
+        if new == state:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        state = new
 
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 2, percent: int = 80, width: int = WIDTH, rows: int = ROWS) -> DataFrame:
     """(key, n_shingles, component_id, kept) for each row.
 
     Texts with equal shingle sets are one class and only its smallest key goes on. Where a table's bucket holds several classes,
-    each is first held against one of them that a hash of the table picks (a star, so a large group of near copies makes
-    links in proportion to its size); what these links leave in separate components is then compared in full, bucket by
-    bucket, as one more link there may still join two components.
+    each is first held against a few others: the one with the least hash, and the one before it in the order of another half key.
+    What stays outside the bucket's largest component is then held against a member of that. So a large group of near copies makes
+    pairs in proportion to its size. What these links leave apart is compared in full, bucket by bucket, all but the
+    largest component against everything, as one more link there may still join two components. Before the texts of a pair
+    are read, its sizes and parity bits must allow the similarity.
 
     Null, empty and blank texts have no shingles and stay alone; rows that repeat a key are one node; rows with a null key are
     nodes without links; an empty table gives an empty result. Sets are compared by 64-bit shingle hashes.
@@ -133,25 +150,58 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     rows_in = settle(sketches(df, key, text, size, width, rows))
     full = rows_in.filter("n > 0 AND _id IS NOT NULL")
     reps = full.groupBy("set_a", "set_b").agg(F.min("_id").alias("rep"))
-    heads = full.join(reps.select(F.col("rep").alias("_id"), "set_a", "set_b"), ["_id", "set_a", "set_b"]).dropDuplicates(["_id"])
-    pair_key = F.explode(F.flatten(F.transform("left", lambda x, i: F.transform(F.col("right"), lambda y, j: F.xxhash64(x, y, i, j)))))
-    # Sets whose sizes alone keep them under the bound never form a pair; buckets are ordered by a hash of table and document.
-    keyed = heads.select("_id", "n", pair_key.alias("bucket"))
-    by_bucket = Window.partitionBy("bucket")
-    buckets = settle(keyed.withColumn("_c", F.count("*").over(by_bucket)).filter("_c > 1").withColumn("star", F.min(F.struct(F.xxhash64("bucket", "_id"), F.col("_id"), F.col("n"))).over(by_bucket)).select("bucket", "_id", "n", F.col("star._id").alias("star"), F.col("star.n").alias("star_n")))
-    fits = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
-    texts = only(df, _id=key, _x=text).join(heads.select("_id"), "_id", "left_semi").dropDuplicates(["_id"])
-    pairs = buckets.filter("_id <> star").filter(fits(F.col("n"), F.col("star_n"))).select(F.least("_id", "star").alias("a"), F.greatest("_id", "star").alias("b")).distinct()
-    first = settle(_confirmed(pairs, texts, size, percent))
-    roots = components(first)
-    named = buckets.join(roots.withColumnRenamed("node", "_id"), "_id", "left").select("bucket", "_id", "n", "star", F.coalesce("root", "_id").alias("root"))
-    mixed = named.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
-    open_ = named.join(mixed, "bucket")
-    other = open_.select("bucket", F.col("_id").alias("_b"), F.col("n").alias("_bn"), F.col("root").alias("_broot"), F.col("star").alias("_bstar"))
-    rest = (open_.join(other, "bucket").filter((F.col("_id") < F.col("_b")) & (F.col("root") != F.col("_broot")) & (F.col("_id") != F.col("star")) & (F.col("_b") != F.col("star")) & fits(F.col("n"), F.col("_bn")))
-            .select(F.col("_id").alias("a"), F.col("_b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
-    second = settle(_confirmed(rest, texts, size, percent))
-    roots = components(first.union(second)) if second.limit(1).count() else roots
+    heads = settle(full.join(reps.select(F.col("rep").alias("_id"), "set_a", "set_b"), ["_id", "set_a", "set_b"]).dropDuplicates(["_id"]))
+    # The neighbour before a class is looked up in one table of each left half key: the others order nearly the same classes.
+    tables = F.explode(F.flatten(F.transform("left", lambda x, i: F.transform(F.col("right"), lambda y, j: F.struct(
+        F.xxhash64(x, y, i, j).alias("bucket"), F.when(i == j, F.get(F.col("left"), (i + 1) % width)).alias("near"))))))
+    keyed = heads.select("_id", tables.alias("t")).select("_id", "t.*")
+    whole, along = Window.partitionBy("bucket"), Window.partitionBy("bucket").orderBy("near", "_id")
+    buckets = settle(keyed.select("bucket", "_id", F.count("*").over(whole).alias("_c"), F.min(F.struct(F.xxhash64("_id"), F.col("_id"))).over(whole)["_id"].alias("star"), F.when(F.col("near").isNotNull(), F.lag("_id").over(along)).alias("prev"))
+                     .filter("_c > 1").drop("_c"))
+    bits = heads.select("_id", "n", *[f"o{i}" for i in range(PARITY)])
+
+    def named(prefix: str) -> DataFrame:
+        return bits.select(*[F.col(c).alias(prefix + c) for c in bits.columns])
+
+    def possible(a: str, b: str):
+        """Sizes and parity bits allow the similarity: an exact test that drops only pairs below it."""
+        apart = sum((F.bit_count(F.col(f"{a}o{i}").bitwiseXOR(F.col(f"{b}o{i}"))) for i in range(PARITY)), F.lit(0))
+        total = F.col(f"{a}n") + F.col(f"{b}n")
+        return (100 * F.least(f"{a}n", f"{b}n") >= percent * F.greatest(f"{a}n", f"{b}n")) & ((100 + percent) * apart <= (100 - percent) * total)
+
+    every_text = only(df, _id=key, _x=text)
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        used = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+        return settle(_confirmed(pairs, every_text.join(used, "_id", "left_semi").dropDuplicates(["_id"]), size, percent))
+
+    def worth(pairs: DataFrame) -> DataFrame:
+        """Distinct (a, b) of (_id, other) that sizes and parity bits allow."""
+        pairs = pairs.filter("_id <> other").select(F.least("_id", "other").alias("a"), F.greatest("_id", "other").alias("b")).distinct()
+        return pairs.join(named("a_").withColumnRenamed("a__id", "a"), "a").join(named("b_").withColumnRenamed("b__id", "b"), "b").filter(possible("a_", "b_")).select("a", "b")
+
+    def still_open(roots: DataFrame) -> DataFrame:
+        """(bucket, _id, root, main) of the buckets that hold several components; ``main`` is the largest one there."""
+        rooted = buckets.select("bucket", "_id").join(roots.withColumnRenamed("node", "_id"), "_id", "left").select("bucket", "_id", F.coalesce("root", "_id").alias("root"))
+        main = rooted.groupBy("bucket", "root").count().groupBy("bucket").agg(F.count("*").alias("_k"), F.max_by("root", F.struct("count", "root")).alias("main")).filter("_k > 1").drop("_k")
+        return settle(rooted.join(main, "bucket"))
+
+    tried = settle(worth(buckets.select("_id", F.explode(F.array("star", "prev")).alias("other")).filter("other IS NOT NULL")))
+    links = confirmed(tried)
+    apart = still_open(settle(components(links)))
+    stars = apart.filter("root = main").groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "_id"), F.col("_id")))["_id"].alias("other"))
+    again = settle(worth(apart.filter("root <> main").join(stars, "bucket").select("_id", "other")).join(tried, ["a", "b"], "left_anti"))
+    links = links.unionByName(confirmed(again))
+    roots = settle(components(links))
+    apart = still_open(roots)
+    a_side = apart.filter("root <> main").select("bucket", F.col("_id").alias("a__id"), F.col("root").alias("a_root"), "main").join(named("a_"), "a__id")
+    b_side = apart.select("bucket", F.col("_id").alias("b__id"), F.col("root").alias("b_root")).join(named("b_"), "b__id")
+    once = (F.col("b_root") == F.col("main")) | (F.col("a__id") < F.col("b__id"))
+    rest = a_side.join(b_side, "bucket").filter((F.col("a_root") != F.col("b_root")) & once & possible("a_", "b_")).select(F.least("a__id", "b__id").alias("a"), F.greatest("a__id", "b__id").alias("b"))
+    rest = settle(rest.distinct().join(tried.unionByName(again), ["a", "b"], "left_anti"))
+    last = confirmed(rest)
+    if not last.isEmpty():
+        roots = components(links.unionByName(last))
     of_set = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("root", "rep").alias("_root"))
     out = rows_in.join(of_set, ["set_a", "set_b"], "left")
     alone = (F.col("n") == 0) | F.col("_id").isNull()
