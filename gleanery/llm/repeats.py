@@ -22,7 +22,7 @@ LENGTH, GRAM = 200, 50
 BLOCK = 15          # windows of a block of the second level
 # Odd, so that it has an inverse modulo 2 ** 64.
 _BASE = 0x9E3779B97F4A7C15
-_PART = 1 << 22     # bytes handled at once; below 2 ** 24, so that a place fits beside its hash
+_PART = 1 << 20     # bytes handled at once (some 100 MB of arrays); below 2 ** 24, so that a place fits beside its hash
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
