@@ -16,8 +16,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
-    gone = neardup.classes(docs).filter("NOT kept").select("doc_id")
+    """One document of each group of near copies (0.8 of their 5-word shingles in common): the one with the smallest id."""
+    gone = neardup.classes(docs, size=5).filter("NOT kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
