@@ -82,7 +82,8 @@ def _valid(kind: str, match: Column) -> Column:
 
 
 def candidates(df: DataFrame, key: str, text: str, carry: Column | None = None) -> DataFrame:
-    """(_key, base, more), and ``_carry`` where it is given: valid base spans, and spans that only the labelers can decide on, none of which overlaps a base span.
+    """(_key, base, more), and ``_carry`` where it is given: valid base spans, and spans that only the labelers can decide on, which may overlap base spans.
+    Only a local number inside a base phone span is no candidate: it is the same number, and covered under the same kind.
 
     A span is (start, kind_no, end, kind, base, votes...). Everything happens in the text's own row.
     """
@@ -108,8 +109,8 @@ def candidates(df: DataFrame, key: str, text: str, carry: Column | None = None)
     held = [c for c in rows.columns if c in ("_key", "_carry")]
     rows = rows.select(*held, F.array_sort(F.concat(*[spans(k, k, True) for k in BASE])).alias("base"),
                        F.concat(spans("card", "card", False), spans("local", "phone", False), spans("secret", "secret", False)).alias("more"))
-    clear = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return rows.select(*held, "base", clear.alias("more"))
+    told = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["kind_no"] == m["kind_no"]) & (b["start"] <= m["start"]) & (m["end"] <= b["end"])))
+    return rows.select(*held, "base", told.alias("more"))
 
 
 def _votes(kind: str, match: Column, left: Column, base: bool) -> tuple[Column, ...]:
