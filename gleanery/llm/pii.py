@@ -24,7 +24,7 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 LOCAL_PHONE = r"(?<![0-9+.(-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])"
-SECRET = r"(?i)(?<![a-z0-9_])(?:api_?key|access_?key|token|secret|password|passwd)\x20{0,3}[=:]\x20{0,3}[\"']?[A-Za-z0-9+/_=.-]{8,200}+"
+SECRET = r"(?i)(?<![a-z0-9_])(?:api_?key|access_?key|token|secret|password|passwd)\x20{0,3}[=:]\x20{0,3}[\"']?[A-Za-z0-9+/_=.-]{8,}+"
 
 # Issuer prefixes of payment cards, frequent country codes, endings of addresses, reserved networks.
 CARD_PREFIX = r"^(?:4|5[1-5]|2[2-7]|3[47]|35|36|38|6011|65|62)"

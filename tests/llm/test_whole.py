@@ -68,3 +68,12 @@ def test_secrets_around_base_spans_vanish_whole(make):
     assert got[1][0] == ["phone:20:33"] and {"phone:20:33", f"secret:5:{len(based)}"} <= set(got[1][1]) and got[1][2] == "auth <SECRET>"
     assert [s for s in got[2][1] if s.startswith("phone")] == ["phone:5:22", "phone:26:38"] and got[2][2] == "call <PHONE> or <PHONE>"
     assert got[3][0] == ["email:4:13"] and "secret:8:36" in got[3][1] and got[3][2] == "see <EMAIL> now"
+
+
+def test_long_secrets_vanish_whole(make):
+    r = random.Random(4)
+    value = "".join(r.choice("ABCDEFGHabcdefgh0123456789+/_.-") for _ in range(1000))
+    huge = "token=" + "aB3/" * 250_000
+    got = found_spans(make, [f'config token = "{value}" end', f"secret:{value[:200]}", huge])
+    assert f"secret:7:{7 + len('token = ') + 1 + 1000}" in got[0][1] and got[0][2] == 'config <SECRET>" end'
+    assert got[1][2] == "<SECRET>" and f"secret:0:{len(huge)}" in got[2][1]
