@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chat, gam, licenses, mixing, neardup, pii, repeats, rules, topk
+from . import bpe, chat, gam, licenses, merkle, mixing, neardup, pii, repeats, rules, topk
 from .common import settle
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 
@@ -148,3 +148,65 @@ def op9_chat_tree(spark, sf):
 @query("op6_repeated_bytes")
 def op6_repeated_bytes(spark, sf):
     return repeats.digest(repeats.remove(table(spark, sf, "documents")))
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text, byte by byte and bit by bit."""
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: CAST(ascii(substr({text}, i, 1)) AS BIGINT))"
+    byte = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce({codes}, lambda c, b: {byte}, CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+def _levels_sql(name: str, base: str, tree: str, levels: int) -> str:
+    """CTEs ``name``0 .. of a forest's levels (tree, j, d, n: nodes of that level) and the runs of 16 that each closes. A tree of one node stays."""
+    out = [f"{name}0 AS (SELECT {tree} AS tree, row_number() OVER (PARTITION BY {tree} ORDER BY o1 NULLS FIRST, d) - 1 AS j, d, count(*) OVER (PARTITION BY {tree}) AS n FROM {base})"]
+    for k in range(levels):
+        out.append(f"{name}{k}r AS (SELECT tree, j // 16 AS j, list(d ORDER BY j) AS run, any_value(n) AS n FROM {name}{k} GROUP BY tree, j // 16)")
+        out.append(f"{name}{k + 1} AS (SELECT tree, j, CASE WHEN n = 1 THEN run[1] ELSE sha256(array_to_string(run, '')) END AS d, (n + 15) // 16 AS n FROM {name}{k}r)")
+    return ", ".join(out)
+
+
+def _climb_sql(name: str, start: str, level: str, levels: int) -> str:
+    """CTEs ``name``0 .. that carry (place, f, proof) of each row of ``start`` up the levels named ``level``."""
+    out = [f"{name}0 AS ({start})"]
+    for k in range(levels):
+        left = f"CASE WHEN r.n = 1 THEN '' ELSE array_to_string(r.run[:s.place % 16], '') END"
+        right = f"CASE WHEN r.n = 1 THEN '' ELSE array_to_string(r.run[s.place % 16 + 2:], '') END"
+        out.append(f"{name}{k}s AS (SELECT s.* EXCLUDE (place), s.place // 16 AS place, r.n AS rn, {left} AS l, {right} AS r FROM {name}{k} s JOIN {level}{k}r r ON r.tree = s.tree AND r.j = s.place // 16)")
+        out.append(f"{name}{k + 1} AS (SELECT * EXCLUDE (rn, l, r) REPLACE (CASE WHEN rn = 1 THEN f ELSE sha256(l || f || r) END AS f, proof || l || r AS proof) FROM {name}{k}s)")
+    return ", ".join(out)
+
+
+# Six levels hold 16 million rows of a source, and as many sources.
+_SOURCE_LEVELS, _TOP_LEVELS = 6, 6
+_LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _leaf_sql(text: str) -> str:
+    parts = [f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode(CAST({c} AS VARCHAR)))::VARCHAR || ':' || CAST({c} AS VARCHAR) END" for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(parts)})"
+
+
+OP11_SQL = f"""
+WITH doc AS (SELECT doc_id, doc_id AS o1, CASE WHEN source IS NULL THEN '-' ELSE ':' || source END AS name, {_leaf_sql('text')} AS d,
+  CASE WHEN {_crc32_sql('CAST(doc_id AS VARCHAR)')} % 5 = 0 THEN {_leaf_sql(_LOW)} END AS changed FROM documents),
+{_levels_sql('a', 'doc', 'name', _SOURCE_LEVELS)},
+sub AS (SELECT tree AS name, tree AS o1, d FROM a{_SOURCE_LEVELS}),
+{_levels_sql('b', "(SELECT '' AS t0, * FROM sub)", 't0', _TOP_LEVELS)},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY doc_id NULLS FIRST, d) - 1 AS place FROM doc),
+{_climb_sql('c', "SELECT doc_id, name AS tree, d AS leaf, place, place AS position, coalesce(changed, d) AS f, '' AS proof FROM ranked", 'a', _SOURCE_LEVELS)},
+lifted AS (SELECT c.* EXCLUDE (tree, place), '' AS tree, s.d AS subroot, s.place FROM c{_SOURCE_LEVELS} c JOIN (SELECT *, row_number() OVER (ORDER BY name) - 1 AS place FROM sub) s ON s.name = c.tree),
+{_climb_sql('e', "SELECT * FROM lifted", 'b', _TOP_LEVELS)}
+SELECT doc_id, leaf, subroot, t.d AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = t.d AS verified,
+  CAST(position + {' + '.join(f'position // {16 ** k}' for k in range(1, 9))} AS BIGINT) AS position
+FROM e{_TOP_LEVELS} JOIN b{_TOP_LEVELS} t ON true
+"""
+
+
+@query("op11_merkle_log", OP11_SQL)
+def op11_merkle_log(spark, sf):
+    docs = table(spark, sf, "documents").select(*merkle.FIELDS)
+    text = F.col(f"c{merkle.FIELDS.index('text')}")
+    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    changes = F.crc32(F.col(f"c{merkle.FIELDS.index('doc_id')}").cast("string").cast("binary")) % 5 == 0
+    return merkle.verify(merkle.manifest(docs, {"text": low}, changes))
