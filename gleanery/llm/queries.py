@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chat, gam, licenses, merkle, mixing, neardup, pii, repeats, rules, topk
+from . import bpe, chat, gam, langid, licenses, merkle, mixing, neardup, pii, repeats, rules, topk
 from .common import settle
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 
@@ -210,3 +210,26 @@ def op11_merkle_log(spark, sf):
     low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     changes = F.crc32(F.col(f"c{merkle.FIELDS.index('doc_id')}").cast("string").cast("binary")) % 5 == 0
     return merkle.verify(merkle.manifest(docs, {"text": low}, changes))
+
+
+OP12_SQL = rf"""
+WITH d AS (SELECT doc_id, lang, {_crc32_sql('CAST(doc_id AS VARCHAR)')} % 4 = 2 AS held_out, regexp_matches(coalesce(text, ''), '\p{{L}}') AS lettered,
+  ' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}]+', ' ', 'g'), ' ') || ' ' AS t FROM documents),
+p AS (SELECT doc_id, lang, held_out, t, unnest(range(1, length(t) + 1)) AS i FROM d WHERE lettered),
+g AS (SELECT doc_id, lang, held_out, substr(t, i, 1) AS gram FROM p WHERE substr(t, i, 1) <> ' '
+  UNION ALL SELECT doc_id, lang, held_out, substr(t, i, 2) FROM p WHERE i < length(t)
+  UNION ALL SELECT doc_id, lang, held_out, substr(t, i, 3) FROM p WHERE i < length(t) - 1 AND substr(t, i + 1, 1) <> ' '),
+n AS (SELECT doc_id, any_value(lang) AS lang, any_value(held_out) AS held_out, gram, count(*) AS n FROM g GROUP BY doc_id, gram),
+l AS (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, length(gram), gram) - 1 AS r FROM n WHERE NOT held_out AND lang IS NOT NULL GROUP BY lang, gram QUALIFY r < {langid.PROFILE}),
+langs AS (SELECT DISTINCT lang FROM d WHERE NOT held_out AND lang IS NOT NULL),
+o AS (SELECT doc_id, gram, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, length(gram), gram) - 1 AS r FROM n QUALIFY r < {langid.PROFILE}),
+s AS (SELECT doc_id, langs.lang, sum(coalesce(abs(o.r - l.r), {langid.PROFILE}))::BIGINT AS off, count(*) * {langid.PROFILE} AS most FROM o CROSS JOIN langs LEFT JOIN l ON l.lang = langs.lang AND l.gram = o.gram GROUP BY ALL),
+b AS (SELECT doc_id, lang, off, lead(off, 1, most) OVER w AS next, row_number() OVER w AS k FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY off, lang))
+SELECT doc_id, d.held_out, coalesce(b.lang, '{langid.UNKNOWN}') AS lang_pred, coalesce((next - off) / greatest(next, 1), 0)::DOUBLE AS score
+FROM d LEFT JOIN b USING (doc_id) WHERE k IS NULL OR k = 1
+"""
+
+
+@query("op12_language_id", OP12_SQL)
+def op12_language_id(spark, sf):
+    return langid.identify(table(spark, sf, "documents"))
