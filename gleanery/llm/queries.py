@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chat, gam, langid, licenses, merkle, mixing, neardup, pii, repeats, rules, topk
+from . import bpe, chat, gam, langid, licenses, merkle, mixing, neardup, pii, repeats, rules, topk, whitening
 from .common import settle
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 
@@ -233,3 +233,8 @@ FROM d LEFT JOIN b USING (doc_id) WHERE k IS NULL OR k = 1
 @query("op12_language_id", OP12_SQL)
 def op12_language_id(spark, sf):
     return langid.identify(table(spark, sf, "documents"))
+
+
+@query("op13_whitening")
+def op13_whitening(spark, sf):
+    return whitening.whiten(table(spark, sf, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
