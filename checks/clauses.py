@@ -5,12 +5,14 @@ from pyspark.sql import functions as F
 from gleanery.functions import dates as D
 from gleanery.functions import tokens as T
 from gleanery.functions.scoring import tf_idf
-from gleanery.joins import range_join
+from gleanery.joins import lookup_join, range_join
 from gleanery.operators import clauses as C
 from gleanery.operators import combine as H
+from gleanery.operators.groups import q_multitoken as multitoken_of
+from gleanery.operators.groups import word_tokens
 from gleanery.operators.index import Field, SearchIndex
 
-from .base import POSTINGS, QUERY_TERMS, ascii, check, index, r6, scored, table
+from .base import POSTINGS, QUERY_TERMS, ascii, check, index, r6, scored, std_tokens, table
 
 CLAUSE_SCHEMA = "query_id long, clause_id int, field string, text string"
 
@@ -167,13 +169,56 @@ def estimate_hits(spark, sf):
     return C.estimate_hits(index(spark, sf), benchmark_terms(spark, sf))
 
 
-@check("q_multitoken", f"""WITH {POSTINGS}, q AS (SELECT item_id AS query_id, regexp_extract_all(text, '[^ \\t\\r\\n]+')[1] AS w FROM benchmark), t AS (SELECT query_id, unnest(regexp_extract_all(lower(w), '[a-zé]+')) AS term, generate_subscripts(regexp_extract_all(lower(w), '[a-zé]+'), 1) AS i FROM q)
-SELECT query_id, doc_id, tf FROM t JOIN p USING (term) WHERE i = 1""")
-def q_multitoken(spark, sf):
-    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.regexp_extract_all("text", F.lit(r"([^ \t\r\n]+)"), F.lit(1))[0].alias("w"))
-    tok = b.select("query_id", F.lit(0).alias("word_id"), F.lit("text").alias("field"), F.explode(T.tok_regex(F.lower("w"), "[a-zé]+")).alias("t")).select("query_id", "word_id", "field", "t.pos", "t.term")
-    first = C.q_multitoken(tok, "first").withColumn("clause_id", F.col("word_id"))
-    return C.match(index(spark, sf), first.drop("word_id", "pos", "group_rule"), lambda s: s.tf).select("query_id", "doc_id", F.col("score").cast("long").alias("tf"))
+# Words of several tokens: every second blank of every benchmark text becomes a hyphen, which the analyzer cuts at.
+GLUED = r"([^ \t\r\n]+)[ \t\r\n]+([^ \t\r\n]+)"
+PAIRS = (f"gw AS (SELECT item_id AS query_id, unnest(regexp_extract_all(regexp_replace(text, '{GLUED}', '\\1-\\2', 'g'), '[^ \\t\\r\\n]+')) AS w, "
+         f"generate_subscripts(regexp_extract_all(regexp_replace(text, '{GLUED}', '\\1-\\2', 'g'), '[^ \\t\\r\\n]+'), 1) - 1 AS clause_id FROM benchmark), "
+         + std_tokens("gt", "(SELECT query_id * 100000 + clause_id AS wid, w FROM gw)", "wid", "w")
+         + ", g1 AS (SELECT wid, term, row_number() OVER (PARTITION BY wid ORDER BY pos) AS i, count(*) OVER (PARTITION BY wid) AS n FROM gt)"
+         ", g AS (SELECT wid // 100000 AS query_id, wid % 100000 AS clause_id, term, i, n FROM g1)"
+         ", gh AS (SELECT query_id, clause_id, doc_id, sum(s) AS s, count(*) AS got, any_value(n) AS n, bool_or(i = 1) AS has_first, sum(s) FILTER (i = 1) AS s1 FROM g JOIN sc USING (term) GROUP BY ALL)")
+NEXT = ("nx AS (SELECT a.query_id, a.clause_id, x.doc_id FROM g a JOIN g b ON a.query_id = b.query_id AND a.clause_id = b.clause_id AND a.i = 1 AND b.i = 2 AND a.n = 2 "
+        "JOIN tok x ON x.term = a.term JOIN tok y ON y.doc_id = x.doc_id AND y.term = b.term AND y.pos = x.pos + 1 GROUP BY ALL)")
+WORD_HITS = {
+    "first": "SELECT query_id, clause_id, doc_id, s1 AS s FROM gh WHERE has_first",
+    "and": "SELECT query_id, clause_id, doc_id, s FROM gh WHERE got = n",
+    "or": "SELECT query_id, clause_id, doc_id, s FROM gh",
+    "phrase": "SELECT query_id, clause_id, doc_id, s FROM gh WHERE n = 1 OR (query_id, clause_id, doc_id) IN (SELECT query_id, clause_id, doc_id FROM nx)",
+}
+
+
+def glued_words(spark, sf, rule):
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.regexp_replace("text", GLUED, "$1-$2").alias("text"))
+    return word_tokens(b, T.an_standard(), "text", rule)
+
+
+def multitoken(name, rule):
+    extra = f", {NEXT}" if rule == "phrase" else ""
+
+    @check(name, f"WITH {scored()}, {PAIRS}{extra}, h AS ({WORD_HITS[rule]}) SELECT query_id, doc_id, count(*) AS words, round(sum(s), 6) AS score FROM h GROUP BY ALL")
+    def run(spark, sf):
+        hits = multitoken_of(index(spark, sf), glued_words(spark, sf, rule))
+        return hits.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("words"), r6_sum())
+
+
+def r6_sum():
+    return F.round(F.sum("score"), 6).alias("score")
+
+
+multitoken("q_multitoken", "first")
+multitoken("q_multitoken_and", "and")
+multitoken("q_multitoken_or", "or")
+multitoken("q_multitoken_phrase", "phrase")
+
+
+# The rule of the queries themselves: all tokens of a word, and then all words of a text.
+@check("q_multitoken_default", f"WITH {scored()}, {PAIRS}, h AS ({WORD_HITS['and']}), need AS (SELECT query_id, count(DISTINCT clause_id) AS need FROM g GROUP BY query_id) "
+       "SELECT query_id, doc_id, round(sum(s), 6) AS score FROM h JOIN need USING (query_id) GROUP BY query_id, doc_id, need HAVING count(*) = need")
+def q_multitoken_default(spark, sf):
+    words = glued_words(spark, sf, "default")
+    hits = multitoken_of(index(spark, sf), words, group="and")
+    n = words.groupBy("query_id").agg(F.count_distinct("clause_id").alias("n_clauses"))
+    return H.all_of(lookup_join(hits, n, ["query_id"])).select("query_id", "doc_id", r6())
 
 
 @check("q_field_alias", f"WITH {POSTINGS}, {QUERY_TERMS} SELECT query_id, doc_id, count(*) AS n FROM qt JOIN p USING (term) GROUP BY ALL")

@@ -6,6 +6,8 @@ from gleanery.functions import spans as S
 from gleanery.functions import tokens as T
 from gleanery.functions.scoring import frequency
 from gleanery.operators import positional as P
+from gleanery.operators.phrases import phrase_words
+from gleanery.operators.phrases import s_phrase as s_phrase_of
 
 from .base import POSTINGS, check, index, r6, scored, std_tokens, table
 from .combining import operand_terms, ordered
@@ -66,14 +68,31 @@ def s_distance(spark, sf):
                                                     S.touches(x, y).alias("touches"), both["start"].cast("long").alias("start"), both["end"].cast("long").alias("end"))
 
 
-# Phrases: every pair of neighbouring words in the benchmark texts, each pair once.
-@check("s_phrase", f"""WITH {scored()}, {std_tokens('bt', 'benchmark', 'item_id')}, ph AS (SELECT DISTINCT a.term AS t0, b.term AS t1 FROM bt a JOIN bt b ON a.item_id = b.item_id AND b.pos = a.pos + 1),
-bg AS (SELECT doc_id, pos AS start, term AS t0, lead(term) OVER (PARTITION BY doc_id ORDER BY pos) AS t1 FROM tok),
-m AS (SELECT bg.* FROM bg SEMI JOIN ph USING (t0, t1))
-SELECT t0 || ' ' || t1 AS query_id, m.doc_id, m.start, m.start + 1 AS "end", round(s0.s + s1.s, 6) AS score FROM m JOIN sc s0 ON s0.term = t0 AND s0.doc_id = m.doc_id JOIN sc s1 ON s1.term = t1 AND s1.doc_id = m.doc_id""")
-def s_phrase(spark, sf):
-    pairs = T.chain(T.an_standard(), T.f_shingle(2, " "))(F.col("text"))
-    texts = table(spark, sf, "benchmark").select(F.explode(pairs).alias("p")).select(F.col("p.term").alias("query_id")).distinct()
-    phrases = P.phrase_terms(texts.withColumn("text", F.col("query_id")), T.tok_space, "text").filter("n_words = 2")
-    out = P.span_rows(P.s_phrase(index(spark, sf), phrases))
+# Phrases: every run of two to five neighbouring words in the benchmark texts, each run once.
+SIZES = (2, 3, 4, 5)
+RUNS = std_tokens("bt", "benchmark", "item_id") + ", ph AS (" + " UNION ".join(
+    f"SELECT ws FROM (SELECT list(term) OVER (PARTITION BY item_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING) AS ws FROM bt) WHERE len(ws) = {n}" for n in SIZES) + ")"
+# Word by word: the places that each word can take after the one before it.
+CHAIN = (f"WITH {scored()}, {RUNS}, r1 AS (SELECT ws, doc_id, pos AS start, pos AS stop FROM ph JOIN tok ON term = ws[1]), "
+         + ", ".join(f"r{n} AS (SELECT DISTINCT ws, doc_id, start, tok.pos AS stop FROM r{n - 1} JOIN tok USING (doc_id) WHERE tok.term = ws[{n}] AND tok.pos BETWEEN stop + 1 AND stop + {{slop}})" for n in SIZES)
+         + ", m AS (" + " UNION ALL ".join(f"SELECT * FROM r{n} WHERE len(ws) = {n}" for n in SIZES) + "), "
+         "w AS (SELECT ws, term, count(*) AS times FROM (SELECT ws, unnest(ws) AS term FROM ph) GROUP BY ALL), "
+         "s AS (SELECT ws, doc_id, sum(s * times) AS s FROM (SELECT DISTINCT ws, doc_id FROM m) JOIN w USING (ws) JOIN sc USING (term, doc_id) GROUP BY ALL) "
+         "SELECT array_to_string(ws, ' ') AS query_id, doc_id, start, stop AS \"end\", round(s, 6) AS score FROM m JOIN s USING (ws, doc_id)")
+
+
+def phrase_rows(spark, sf, slop):
+    runs = F.flatten(F.array(*[T.chain(T.an_standard(), T.f_shingle(n, " "))(F.col("text"))["term"] for n in SIZES]))
+    texts = table(spark, sf, "benchmark").select(F.explode(runs).alias("query_id")).distinct().withColumn("text", F.col("query_id"))
+    out = P.span_rows(s_phrase_of(index(spark, sf), phrase_words(texts, T.tok_space, "text", slop=slop)))
     return out.select("query_id", "doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), r6())
+
+
+@check("s_phrase", CHAIN.replace("{slop}", "1"))
+def s_phrase(spark, sf):
+    return phrase_rows(spark, sf, 1)
+
+
+@check("s_phrase_slop", CHAIN.replace("{slop}", "3"))
+def s_phrase_slop(spark, sf):
+    return phrase_rows(spark, sf, 3)

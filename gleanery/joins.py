@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .session import settle
 
@@ -16,13 +17,28 @@ BROADCAST_ROWS = 2_000_000
 SALTS = 64
 
 
+def _width(value: Column, kind: T.DataType) -> Column:
+    """Bytes of a value, to within the rounding of its container."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 8
+    if isinstance(kind, T.StructType):
+        return sum((_width(value.getField(f.name), f.dataType) for f in kind.fields), F.lit(16))
+    if isinstance(kind, T.MapType):
+        return _width(F.map_entries(value), T.ArrayType(T.StructType([T.StructField("key", kind.keyType), T.StructField("value", kind.valueType)])))
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.StructType, T.MapType, T.ArrayType)):
+            inside = F.aggregate(value, F.lit(0).cast("long"), lambda total, x: total + _width(x, kind.elementType))
+        else:
+            inside = F.size(value) * 8
+        return F.coalesce(inside.cast("long"), F.lit(0).cast("long")) + 16
+    return F.lit(16)
+
+
 def measured(df: DataFrame, *also: Column, max_bytes: int = BROADCAST_BYTES, max_rows: int = BROADCAST_ROWS):
     """Whether ``df`` fits a broadcast, and the row of further aggregates ``also``, complete where it fits. One job over at most
     ``max_rows + 1`` rows."""
-    width = sum((F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string")), F.lit(0)) if f.dataType.simpleString()
-                 in ("string", "binary") else F.lit(16 if "array" not in f.dataType.simpleString() else 256)
-                 for f in df.schema.fields), F.lit(0))
-    row = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("b"), *also).first()
+    width = sum((_width(F.col("`" + f.name.replace("`", "``") + "`"), f.dataType) for f in df.schema.fields), F.lit(0))
+    row = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(width.cast("long")).alias("b"), *also).first()
     return row["n"] <= max_rows and (row["b"] or 0) <= max_bytes, row
 
 

@@ -292,13 +292,3 @@ def q_copy_field(terms: DataFrame, copies: dict[str, str], mirror: bool = False)
     extra = F.array(*[F.struct(F.lit(a).alias("source"), F.lit(b).alias("target")) for a, b in pairs])
     targets = F.transform(F.filter(extra, lambda p: p["source"] == F.col("field")), lambda p: p["target"])
     return terms.withColumn("field", F.explode(F.concat(F.array("field"), targets)))
-
-
-def q_multitoken(tokens: DataFrame, rule: str) -> DataFrame:
-    """How a query word that analyzes into several tokens is combined.
-
-    ``tokens`` has (query_id, word_id, pos, field, term); the result adds ``clause_id`` and ``group_rule``:
-    ``first`` keeps token 0, ``and`` / ``or`` / ``phrase`` group the word's tokens that way.
-    """
-    out = tokens.filter(F.col("pos") == 0) if rule == "first" else tokens
-    return out.withColumn("clause_id", F.struct("word_id", "pos")).withColumn("group_rule", F.lit(rule))
