@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.operators.index import SearchIndex, id_field, text_field
+from gleanery.functions.tokens import an_simple
+from gleanery.operators.index import Field, SearchIndex, id_field, keyword_field, text_field
 from gleanery.session import scratch_path, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,17 +38,19 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 FIELDS = (text_field("text"), id_field("lang"), id_field("source"))
+# All words of a text with their numbers, as the service's job pages are tagged.
+TAG_FIELDS = (keyword_field("text", an_simple(), name="tags"),)
 
 
-_PATHS: dict[tuple[str, str], str] = {}
+_PATHS: dict[tuple, str] = {}
 
 
-def index(spark: SparkSession, sf: str) -> SearchIndex:
-    """The index over ``documents``, written once per session to the shared folder and read by every query."""
-    key = (spark.sparkContext.applicationId, sf)
+def index(spark: SparkSession, sf: str, fields: tuple[Field, ...] = FIELDS) -> SearchIndex:
+    """The index of these fields of ``documents``, written once per session to the shared folder and read by every query."""
+    key = (spark.sparkContext.applicationId, sf, *(f.field for f in fields))
     if key not in _PATHS:
         path = scratch_path(spark, "index")
-        SearchIndex.build(table(spark, sf, "documents"), FIELDS).save(path, f"{sf}/documents.parquet")
+        SearchIndex.build(table(spark, sf, "documents"), fields).save(path, f"{sf}/documents.parquet")
         _PATHS[key] = path
     return SearchIndex.load(spark, _PATHS[key], f"{sf}/documents.parquet")
 

@@ -5,12 +5,10 @@ from pyspark.sql import functions as F
 from gleanery.functions import tokens as T
 from gleanery.operators import dictionary as Di
 from gleanery.operators import snippets as Sn
-from gleanery.operators.index import SearchIndex, keyword_field
 from gleanery.plans import service as Sv
-from gleanery.session import scratch_path
 from gleanery.sources.readers import html_to_text
 
-from .base import check, raw_tokens, table
+from .base import TAG_FIELDS, check, index, raw_tokens, table
 from .clauses import benchmark_terms
 from .scores import HITS, hits
 
@@ -261,13 +259,11 @@ CANON = f"ca AS (SELECT page_id, nullif(regexp_extract(url, '{PAGE_URL}', 1), ''
        "hh AS (SELECT page_id, doc_id, sum(tf) AS score FROM ca JOIN pt USING (curl) JOIN df USING (term) GROUP BY ALL), "
        "rr AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, doc_id) AS rank FROM hh) SELECT page_id AS query_id, rank, doc_id, score FROM rr WHERE rank <= 10")
 def page_tag_match(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.transform(T.an_simple()(F.col("text")), lambda t: t["term"]).alias("tags"))
     pages = page_texts(spark, sf)
     # Of several pages with one address the first counts.
     first = pages.groupBy(Sv.canonical_url(pattern=PAGE_URL).alias("url")).agg(F.min_by("text", "page_id").alias("text")).filter("url IS NOT NULL")
     tags = Sv.tag_pages(first, dictionary(spark, sf), "text", 5, pattern=PAGE_URL)
-    idx = SearchIndex.build(docs, [keyword_field("tags")]).save(scratch_path(spark, "tags"))
-    return Sv.page_tag_match(idx, pages, tags, 10, pattern=PAGE_URL, key="page_id")
+    return Sv.page_tag_match(index(spark, sf, TAG_FIELDS), pages, tags, 10, pattern=PAGE_URL, key="page_id")
 
 
 @check("unseen_urls", f"WITH {CANON} SELECT DISTINCT curl AS url FROM ca WHERE curl IS NOT NULL AND curl NOT IN (SELECT curl FROM ca WHERE page_id % 2 = 0 AND curl IS NOT NULL)")

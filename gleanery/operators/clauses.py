@@ -41,9 +41,9 @@ def hot_terms(index: SearchIndex) -> DataFrame:
 
 def _asked(index: SearchIndex, terms: DataFrame) -> tuple[bool, DataFrame]:
     """Whether the query terms fit a broadcast, and the postings that can hold them: the job that measures them also returns their
-    buckets, which become a literal filter on the partitions to read. Terms too many to send to every task read all."""
-    fits, row = measured(terms, F.collect_set(term_bucket(F.col("term"), index.buckets)).alias("buckets"))
-    return fits, index.postings_of(row["buckets"] if fits else None)
+    buckets and fields, which become a literal filter on the partitions to read. Terms too many to send to every task read all."""
+    fits, row = measured(terms, F.collect_set(term_bucket(F.col("term"), index.buckets)).alias("buckets"), F.collect_set("field").alias("fields"))
+    return fits, index.postings_of(row["buckets"], row["fields"]) if fits else index.postings_of(None)
 
 
 def match(index: SearchIndex, terms: DataFrame, model: Model | None = None, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -155,11 +155,12 @@ class SearchIndex:
     def postings(self) -> DataFrame:
         return self.stored_postings.drop("bucket") if self.stored_postings is not None else explode_postings(self.forward)
 
-    def postings_of(self, buckets: Sequence[int] | None) -> DataFrame:
-        """The postings; of saved ones, only the partitions that hold terms of these buckets (None: all) are listed and read."""
+    def postings_of(self, buckets: Sequence[int] | None, fields: Sequence[str] | None = None) -> DataFrame:
+        """The postings; of saved ones, only the partitions that hold terms of these buckets and fields (None: all) are listed and read."""
         if self.stored_postings is None or buckets is None or "bucket" not in self.stored_postings.columns:
             return self.postings
-        return self.stored_postings.filter(F.col("bucket").isin(sorted(buckets))).drop("bucket")
+        kept = self.stored_postings.filter(F.col("bucket").isin(sorted(buckets)))
+        return (kept if fields is None else kept.filter(F.col("field").isin(sorted(fields)))).drop("bucket")
 
     @cached_property
     def term_stats(self) -> DataFrame:
