@@ -58,6 +58,25 @@ def q_regex(spark, sf):
     return const(C.q_regex(index(spark, sf), words(spark, sf, lambda t: F.concat(F.substring(t, 1, 2), F.lit("[aeiou]+n")))))
 
 
+# Patterns that start with anything, of all words: their last three letters, their second letter.
+OPEN = "x AS (SELECT DISTINCT query_id, ts.term FROM f1 JOIN ts ON {on})"
+
+
+@check("q_wildcard_end", f"WITH {POSTINGS}, {FIRST}, {OPEN.format(on='ends_with(ts.term, right(f1.term, 3))')} {CONST}")
+def q_wildcard_end(spark, sf):
+    return const(C.q_wildcard(index(spark, sf), words(spark, sf, lambda t: F.concat(F.lit("*"), F.right(t, F.lit(3))))))
+
+
+@check("q_wildcard_second", f"WITH {POSTINGS}, {FIRST}, {OPEN.format(on='substr(ts.term, 2, 1) = substr(f1.term, 2, 1)')} {CONST}")
+def q_wildcard_second(spark, sf):
+    return const(C.q_wildcard(index(spark, sf), words(spark, sf, lambda t: F.concat(F.lit("?"), F.substring(t, 2, 1), F.lit("*")))))
+
+
+@check("q_regex_end", f"WITH {POSTINGS}, {FIRST}, {OPEN.format(on='contains(ts.term, right(f1.term, 4))')} {CONST}")
+def q_regex_end(spark, sf):
+    return const(C.q_regex(index(spark, sf), words(spark, sf, lambda t: F.concat(F.lit(".*"), F.right(t, F.lit(4))))))
+
+
 @check("q_fuzzy", f"""WITH {POSTINGS}, {FIRST}, x AS (SELECT query_id, ts.term FROM f1 JOIN ts ON substr(ts.term, 1, 1) = substr(f1.term, 1, 1)
 AND abs(length(ts.term) - length(f1.term)) <= 1 AND damerau_levenshtein({ascii('ts.term')}, {ascii('f1.term')}) <= 1) {CONST}""")
 def q_fuzzy(spark, sf):

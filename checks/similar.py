@@ -181,7 +181,7 @@ def misspelt(spark, sf):
 @check("suggest", f"WITH {POSTINGS}, {MISSPELT}{SUGGEST} SELECT text, suggestion, distance, freq, rank FROM k WHERE rank <= 5")
 def suggest(spark, sf):
     words = index(spark, sf).term_stats.filter("field = 'text'").select("field", "term", F.col("cf").alias("freq"))
-    return M.suggest(misspelt(spark, sf), words).select("text", "suggestion", F.col("distance").cast("long").alias("distance"), "freq", F.col("rank").cast("long").alias("rank"))
+    return M.suggest(misspelt(spark, sf), words, keys=index(spark, sf).close_keys).select("text", "suggestion", F.col("distance").cast("long").alias("distance"), "freq", F.col("rank").cast("long").alias("rank"))
 
 
 @check("suggest_from_list", f"WITH {WORDS}, l AS (SELECT DISTINCT term FROM qt UNION SELECT DISTINCT unnest(string_split(p_name, ' ')) FROM part), "

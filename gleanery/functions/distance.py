@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .arrays import indices, let, let_all
 
+# Pairs whose tables are worked out side by side.
+STEP_PAIRS = 4096
+
 
 def edit_distance(a: Column, b: Column, limit: int | None = None) -> Column:
     """Levenshtein distance; with ``limit``, anything beyond it is ``limit + 1``."""
@@ -41,15 +48,63 @@ def edit_distance_osa(a: Column, b: Column) -> Column:
 
     chars = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
 
-    def swappable(i: Column) -> Column:
-        pair = F.substring(a, i, F.lit(2))
-        return (F.reverse(pair) != pair) & F.contains(b, F.reverse(pair))
-
-    # The table is only needed where a swap can pay off: from Levenshtein distance 2 on, and if some pair of neighbours
-    # of one word stands the other way round in the other.
-    pays = F.when(F.length(a) < 2, F.lit(False)).otherwise(F.exists(F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1))), swappable))
+    # The table is only needed where a swap can pay off. A swap saves one edit and keeps the letters: with distance d, at most d - 2 other edits
+    # are left beside it, each of which moves the sorted letters by at most 2.
     plain = F.levenshtein(a, b)
-    return F.when((plain <= 1) | ~pays, plain).otherwise(let_all({"a": chars(a), "b": chars(b)}, table))
+    letters = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
+    pays = (plain >= 2) & (F.levenshtein(letters(a), letters(b)) <= 2 * (plain - 2))
+    return F.when(~pays, plain).otherwise(let_all({"a": chars(a), "b": chars(b)}, table))
+
+
+def _osa_side_by_side(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray, limit: int) -> np.ndarray:
+    """Optimal string alignment of the rows of two matrices of characters (0 beyond each word), ``limit + 1`` for anything beyond ``limit``: a step for each
+    cell of the table near its diagonal, for all pairs at once."""
+    far = limit + 1
+    rows, width = len(a), b.shape[1]
+    above2 = np.full((rows, width + 1), far, np.int32)
+    above = np.minimum(np.broadcast_to(np.arange(width + 1, dtype=np.int32), (rows, width + 1)), far).copy()
+    out = np.where(la == 0, np.minimum(lb, far), far).astype(np.int32)
+    for i in range(1, a.shape[1] + 1):
+        here = np.full((rows, width + 1), far, np.int32)
+        if i <= limit:
+            here[:, 0] = i
+        for j in range(max(1, i - limit), min(width, i + limit) + 1):
+            cost = (a[:, i - 1] != b[:, j - 1]).astype(np.int32)
+            best = np.minimum(np.minimum(here[:, j - 1], above[:, j]) + 1, above[:, j - 1] + cost)
+            if i > 1 and j > 1:
+                swap = (a[:, i - 1] == b[:, j - 2]) & (a[:, i - 2] == b[:, j - 1])
+                best = np.where(swap, np.minimum(best, above2[:, j - 2] + 1), best)
+            here[:, j] = np.minimum(best, far)
+        above2, above = above, here
+        done = la == i
+        out[done] = here[done, lb[done]]
+    return out
+
+
+def osa_of_pairs(a: pd.Series, b: pd.Series, limit: int) -> pd.Series:
+    la, lb = a.str.len().to_numpy(np.int64), b.str.len().to_numpy(np.int64)
+    out = np.full(len(a), limit + 1, np.int32)
+    order = np.lexsort((lb, la))
+    order = order[np.abs(la - lb)[order] <= limit]
+
+    def points(words: pd.Series) -> np.ndarray:
+        return np.array(words.tolist(), dtype=np.str_)[:, None].view(np.uint32).reshape(len(words), -1)
+
+    for at in range(0, len(order), STEP_PAIRS):
+        some = order[at: at + STEP_PAIRS]
+        x, y = points(a.iloc[some]), points(b.iloc[some])
+        # numpy gives words without letters one character; what lies beyond a word is never read as part of it.
+        out[some] = _osa_side_by_side(x[:, : la[some].max()], y[:, : lb[some].max()], la[some], lb[some], limit)
+    return pd.Series(out)
+
+
+def osa_within(limit: int) -> Callable[[Column, Column], Column]:
+    """A function of two columns: their optimal string alignment distance if it is at most ``limit``, else ``limit + 1``; whole batches at a time."""
+    @F.pandas_udf("int")
+    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
+        return osa_of_pairs(a, b, limit)
+
+    return distance
 
 
 def similarity_relative(a: Column, b: Column) -> Column:
@@ -69,34 +124,3 @@ def deletions(word: Column, k: int) -> Column:
     for _ in range(k):
         out = let(out, lambda ws: F.array_distinct(F.concat(ws, once(ws))))
     return out
-
-
-def _bounds(length: Column, i: Column, n: int) -> tuple[Column, Column]:
-    start = F.floor(i * length / n).cast("int")
-    return start, (F.floor((i + 1) * length / n).cast("int") - start)
-
-
-def segment_keys(word: Column, k: int) -> Column:
-    """The word cut into 2k + 1 even segments, each with the word's length and the segment's number."""
-    n = 2 * k + 1
-
-    def key(i: Column) -> Column:
-        start, width = _bounds(F.length(word), i, n)
-        return F.struct(F.length(word).alias("len"), i.alias("part"), F.substring(word, start + 1, width).alias("text"))
-
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), key)
-
-
-def segment_probes(word: Column, k: int) -> Column:
-    """Every piece of ``word`` that could equal a segment of a word within ``k`` edits of it."""
-    n = 2 * k + 1
-    shifts = F.sequence(F.lit(-2 * k), F.lit(2 * k))
-
-    def at(length: Column, i: Column) -> Column:
-        start, width = _bounds(length, i, n)
-        return F.transform(F.filter(shifts, lambda s: (start + s >= 0) & (start + s + width <= F.length(word))),
-                           lambda s: F.struct(length.alias("len"), i.alias("part"), F.substring(word, start + s + 1, width).alias("text")))
-
-    lengths = F.sequence(F.length(word) - k, F.length(word) + k)
-    parts = F.sequence(F.lit(0), F.lit(n - 1))
-    return F.array_distinct(F.flatten(F.transform(lengths, lambda m: F.flatten(F.transform(parts, lambda i: at(m, i))))))

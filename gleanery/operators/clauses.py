@@ -6,14 +6,17 @@ A table of clauses has (query_id, clause_id, field, text[, boost]); its expansio
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.distance import deletions, edit_distance_osa, segment_keys, segment_probes
+from ..functions.distance import osa_within
 from ..functions.scoring import BM25, Model, Stats, frequency
 from ..functions.tokens import Filter
 from ..joins import lookup_join, measured
-from ..session import settle, spread
+from ..session import settle
+from . import lexkeys as K
 from .index import SearchIndex, term_bucket
 
 CLAUSE = ["query_id", "clause_id"]
@@ -96,24 +99,24 @@ def q_term(index: SearchIndex, clauses: DataFrame, model: Model | None = None) -
 
 # ---- clauses that stand for several terms -------------------------------------------------------------------------
 
-def _prefixes(terms: DataFrame, longest: int) -> DataFrame:
-    """Every prefix of every term as a join key, from the empty one up to the longest one asked for."""
-    sizes = F.sequence(F.lit(0), F.least(F.length("term"), F.lit(longest)))
-    return terms.withColumn("_key", F.explode(F.transform(sizes, lambda n: F.substring("term", F.lit(1), n))))
-
-
-def _by_prefix(index: SearchIndex, clauses: DataFrame, literal: Column, test: Column | None) -> DataFrame:
-    """Join clauses to the lexicon by the clause's literal prefix (an equality on prefixes), then test the rest."""
-    keyed = _with_boost(clauses).withColumn("_key", literal)
-    longest = keyed.agg(F.max(F.length("_key"))).first()[0] or 0
-    out = lookup_join(_prefixes(index.lexicon, longest), keyed, ["field", "_key"])
-    if test is not None:
-        out = out.filter(test)
-    return out.select(*CLAUSE, "field", "term", "boost")
+def _by_grams(index: SearchIndex, clauses: DataFrame, shape: Column, test: Column, place: Column | None = None) -> DataFrame:
+    """Patterns to terms: each distinct pattern meets the terms of the rarest thing it asks for, and ``test`` decides. A pattern that asks for
+    what no term has, has no terms; one that asks for nothing meets all of them, one key for each three first letters.
+    """
+    clauses = _with_boost(clauses)
+    asked = settle(clauses.select("field", "text").distinct().withColumn("_keys", K.asked_keys(shape, place)))
+    wanted = asked.select("field", "text", F.size("_keys").alias("_need"), F.explode("_keys").alias("key"))
+    known = lookup_join(K.gram_keys(index.gram_stats), wanted, ["field", "key"])
+    each = known.groupBy("field", "text", "key", "_need").agg(F.sum("n").alias("n"), F.collect_list("gram").alias("grams"))
+    rarest = each.groupBy("field", "text", "_need").agg(F.min_by("grams", F.struct("n", "key")).alias("grams"), F.count(F.lit(1)).alias("_n")).filter("_n = _need")
+    chosen = settle(rarest.select("field", "text", F.explode("grams").alias("gram")))
+    hot = index.gram_stats.join(F.broadcast(index.term_counts), "field").filter(F.col("n") * HOT_SHARE > F.col("n_terms")).select("field", "gram")
+    pairs = lookup_join(index.grams, chosen, ["field", "gram"], hot=hot).filter(test).select("field", "text", "term").distinct()
+    return lookup_join(pairs, clauses, ["field", "text"]).select(*CLAUSE, "field", "term", "boost")
 
 
 def expand_prefix(index: SearchIndex, clauses: DataFrame) -> DataFrame:
-    return _by_prefix(index, clauses, F.col("text"), None)
+    return _by_grams(index, clauses, K.prefix_shape(F.col("text")), F.col("term").startswith(F.col("text")))
 
 
 def glob_regex(glob: Column) -> Column:
@@ -124,15 +127,14 @@ def glob_regex(glob: Column) -> Column:
 
 
 def expand_wildcard(index: SearchIndex, clauses: DataFrame) -> DataFrame:
-    literal = F.regexp_extract("text", r"^([^*?\[]*)", 1)
-    return _by_prefix(index, clauses.withColumn("_re", glob_regex(F.col("text"))), literal, F.regexp_like(F.col("term"), F.col("_re")))
+    glob = F.col("text")
+    return _by_grams(index, clauses, K.glob_shape(glob), F.regexp_like(F.col("term"), glob_regex(glob)), K.glob_place(glob))
 
 
 def expand_regex(index: SearchIndex, clauses: DataFrame) -> DataFrame:
-    """Anchored at the start only. A plain-letter prefix (not followed by a quantifier) narrows the join."""
-    plain = F.when(F.col("text").contains("|"), F.lit("")).otherwise(F.regexp_extract("text", r"^([\p{L}\p{N}_]*)(?![?*+{])", 1))
+    """Anchored at the start only."""
     anchored = F.concat(F.lit("^(?:"), F.col("text"), F.lit(")"))
-    return _by_prefix(index, clauses.withColumn("_re", anchored), plain, F.regexp_like(F.col("term"), F.col("_re")))
+    return _by_grams(index, clauses, K.regex_shape(F.col("text")), F.regexp_like(F.col("term"), anchored))
 
 
 def expand_range(index: SearchIndex, clauses: DataFrame) -> DataFrame:
@@ -150,58 +152,54 @@ def expand_range(index: SearchIndex, clauses: DataFrame) -> DataFrame:
     return lookup_join(terms, keyed, ["field", "_key"]).filter(low & high).select(*CLAUSE, "field", "term", "boost")
 
 
-# Words up to this length are matched through their deletions, longer ones through equal segments.
-SHORT_WORD = 20
-
-
-def within_distance(words: DataFrame, terms: DataFrame, maxdist: int, prefix: int = 0) -> DataFrame:
+def within_distance(words: DataFrame, terms: DataFrame, maxdist: int, prefix: int = 0, keys: DataFrame | None = None) -> DataFrame:
     """(words x terms) pairs within ``maxdist`` (optimal string alignment), found by equality joins only.
 
-    ``words`` has (field, text), ``terms`` has (field, term). Two words within k edits share a string left after at most
-    k deletions from each; words too long for that share one of 2k + 1 segments, up to a shift of 2k. Both are exact: no
-    partner is missed, and a key's group is bounded by the alphabet and the word length, not by the data.
+    ``words`` has (field, text), ``terms`` has (field, term). Words of any length meet by what deletions leave of their heads, which misses no
+    pair (see :mod:`.lexkeys`). ``keys`` are the terms' stored keys (field, key, term); they serve up to CLOSE_EDITS edits, and
+    beyond that, or without them, the same keys are made here.
     """
     probe = words.select("field", "text").distinct()
-    terms = spread(terms.select("field", "term"), "term")
-    close = F.abs(F.length("term") - F.length("text")) <= maxdist
-    head = lambda c: F.substring(c, F.lit(1), F.lit(prefix))
-    tail = lambda c: F.substring(c, F.lit(prefix + 1), F.length(c))
-    longest = SHORT_WORD + maxdist
-    pieces = []
-    short_words = probe.filter(F.length("text") <= SHORT_WORD)
-    short_terms = terms.select("field", "term").filter(F.length("term") <= longest)
-    left = short_words.withColumn("_head", head(F.col("text"))).withColumn("_key", F.explode(deletions(tail(F.col("text")), maxdist)))
-    right = short_terms.withColumn("_head", head(F.col("term"))).withColumn("_key", F.explode(deletions(tail(F.col("term")), maxdist)))
-    pieces.append(lookup_join(right, left, ["field", "_head", "_key"]).filter(close))
-    long_words = probe.filter(F.length("text") > SHORT_WORD)
-    long_terms = terms.select("field", "term").filter(F.length("term") > SHORT_WORD - maxdist)
-    left = long_words.withColumn("_key", F.explode(segment_probes(F.col("text"), maxdist)))
-    right = long_terms.withColumn("_key", F.explode(segment_keys(F.col("term"), maxdist)))
-    pieces.append(lookup_join(right, left, ["field", "_key"]).filter(close & (head(F.col("term")) == head(F.col("text")))))
-    pairs = pieces[0].select("field", "text", "term").union(pieces[1].select("field", "text", "term")).distinct()
-    return pairs.filter(F.levenshtein("text", "term", 2 * maxdist) >= 0) \
-        .withColumn("distance", edit_distance_osa(F.col("text"), F.col("term"))).filter(F.col("distance") <= maxdist)
+    made = keys if keys is not None and maxdist <= K.CLOSE_EDITS else K.close_keys(terms.select("field", "term"), maxdist)
+    # Keys made for more edits than asked: those with more letters gone are of no use.
+    gone = F.least(F.length("term"), F.lit(K.HEAD)) - F.length("key")
+    asked = probe.withColumn("key", F.explode(K.close_strings(F.col("text"), maxdist)))
+    close = (F.abs(F.length("term") - F.length("text")) <= maxdist) & (F.substring("term", 1, prefix) == F.substring("text", 1, prefix))
+    met = lookup_join(made.filter(gone <= maxdist), asked, ["field", "key"]).filter(close)
+    # A swap counts as two edits of the plain distance, which sorts most pairs out before any leaves the JVM.
+    likely = met.filter(F.levenshtein("text", "term", 2 * maxdist) >= 0)
+    near = likely.select("field", "text", "term", osa_within(maxdist)("text", "term").alias("distance")).filter(F.col("distance") <= maxdist)
+    return near.distinct()
 
 
 def expand_fuzzy(index: SearchIndex, clauses: DataFrame, maxdist: int = 1, prefixlength: int = 1) -> DataFrame:
-    pairs = within_distance(clauses, index.lexicon, maxdist, prefixlength)
+    pairs = within_distance(clauses, index.lexicon, maxdist, prefixlength, index.close_keys)
     return lookup_join(pairs, _with_boost(clauses), ["field", "text"]).select(*CLAUSE, "field", "term", "boost")
 
 
+def _each_once(index: SearchIndex, clauses: DataFrame, expand: Callable[[SearchIndex, DataFrame], DataFrame]) -> DataFrame:
+    """Hits of clauses that stand for several terms: equal texts are looked up once, whichever clauses they belong to."""
+    clauses = _with_boost(clauses)
+    asked = settle(clauses.select("field", "text").distinct().withColumn("query_id", F.monotonically_increasing_id()))
+    hits = constant_hits(index, expand(index, asked.withColumn("clause_id", F.lit(0)))).select(F.col("query_id").alias("_asked"), "doc_id")
+    whose = clauses.join(asked.withColumnRenamed("query_id", "_asked"), ["field", "text"]).select(*CLAUSE, "_asked", F.col("boost").alias("score"))
+    return lookup_join(hits, whose, ["_asked"]).select(*CLAUSE, "doc_id", "score")
+
+
 def q_prefix(index: SearchIndex, clauses: DataFrame) -> DataFrame:
-    return constant_hits(index, expand_prefix(index, clauses))
+    return _each_once(index, clauses, expand_prefix)
 
 
 def q_wildcard(index: SearchIndex, clauses: DataFrame) -> DataFrame:
-    return constant_hits(index, expand_wildcard(index, clauses))
+    return _each_once(index, clauses, expand_wildcard)
 
 
 def q_regex(index: SearchIndex, clauses: DataFrame) -> DataFrame:
-    return constant_hits(index, expand_regex(index, clauses))
+    return _each_once(index, clauses, expand_regex)
 
 
 def q_fuzzy(index: SearchIndex, clauses: DataFrame, maxdist: int = 1, prefixlength: int = 1) -> DataFrame:
-    return constant_hits(index, expand_fuzzy(index, clauses, maxdist, prefixlength))
+    return _each_once(index, clauses, lambda i, c: expand_fuzzy(i, c, maxdist, prefixlength))
 
 
 def q_term_range(index: SearchIndex, clauses: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@
 ``postings``    (field, term, doc_id, tf, weight, positions, doc_len)
 ``term_stats``  (field, term, df, cf, freq, min_len, max_len, max_weight, min_id, max_id)
 ``field_stats`` (field, n_docs, total_len, min_len, max_len, avg_len, scorable)
+and the join keys of the lexicon, see :mod:`.lexkeys`
 
 Postings are made inside each document's row, so building ``forward`` and ``postings`` shuffles nothing. The document
 length rides on every posting, so scoring needs no join with a length table.
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import runs
 from ..functions.tokens import Filter, an_id, an_standard, number
 from ..session import spread
+from . import lexkeys
 
 
 @dataclass(frozen=True)
@@ -145,6 +147,9 @@ class SearchIndex:
     stored_terms: DataFrame | None = None
     stored_fields: DataFrame | None = None
     buckets: int = TERM_BUCKETS
+    stored_grams: DataFrame | None = None
+    stored_gram_stats: DataFrame | None = None
+    stored_close_keys: DataFrame | None = None
 
     @classmethod
     def build(cls, corpus: DataFrame, fields: Sequence[Field], key: str = "doc_id") -> SearchIndex:
@@ -170,6 +175,23 @@ class SearchIndex:
     def field_stats(self) -> DataFrame:
         return self.stored_fields if self.stored_fields is not None else field_statistics(self.forward)
 
+    @cached_property
+    def grams(self) -> DataFrame:
+        return self.stored_grams if self.stored_grams is not None else lexkeys.grams(self.lexicon)
+
+    @cached_property
+    def gram_stats(self) -> DataFrame:
+        return self.stored_gram_stats if self.stored_gram_stats is not None else lexkeys.gram_stats(self.grams)
+
+    @cached_property
+    def close_keys(self) -> DataFrame:
+        return self.stored_close_keys if self.stored_close_keys is not None else lexkeys.close_keys(self.lexicon)
+
+    @property
+    def term_counts(self) -> DataFrame:
+        """(field, n_terms): a row for each field."""
+        return self.gram_stats.filter(F.col("gram").startswith(lexkeys.START)).groupBy("field").agg(F.sum("n").alias("n_terms"))
+
     @property
     def doc_ids(self) -> DataFrame:
         return self.corpus.select("doc_id")
@@ -195,13 +217,18 @@ class SearchIndex:
         term_statistics(postings).repartitionByRange("field", "term").sortWithinPartitions("field", "term") \
             .write.mode("overwrite").parquet(f"{path}/term_stats")
         field_statistics(forward).coalesce(1).write.mode("overwrite").parquet(f"{path}/field_stats")
+        lexicon = self.spark.read.parquet(f"{path}/term_stats").select("field", "term")
+        lexkeys.grams(lexicon).write.mode("overwrite").parquet(f"{path}/grams")
+        lexkeys.gram_stats(lexkeys.grams(lexicon)).write.mode("overwrite").parquet(f"{path}/gram_stats")
+        lexkeys.close_keys(lexicon).write.mode("overwrite").parquet(f"{path}/close_keys")
         return self.load(self.spark, path, corpus_path, self.buckets)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, corpus_path: str | None = None, buckets: int = TERM_BUCKETS) -> SearchIndex:
         read = spark.read.parquet
         return cls(read(corpus_path or f"{path}/corpus"), read(f"{path}/forward"), read(f"{path}/postings"),
-                   read(f"{path}/term_stats"), read(f"{path}/field_stats"), buckets)
+                   read(f"{path}/term_stats"), read(f"{path}/field_stats"), buckets,
+                   read(f"{path}/grams"), read(f"{path}/gram_stats"), read(f"{path}/close_keys"))
 
 
 def write_postings(postings: DataFrame, path: str, buckets: int = TERM_BUCKETS) -> None:

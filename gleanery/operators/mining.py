@@ -270,13 +270,13 @@ def sliding_clusters(data: DataFrame, column: str, size: float) -> DataFrame:
 
 # ---- similar strings and corrections ------------------------------------------------------------------------------
 
-def suggest(words: DataFrame, dictionary: DataFrame, limit: int = 5, maxdist: int = 2, prefix: int = 0) -> DataFrame:
+def suggest(words: DataFrame, dictionary: DataFrame, limit: int = 5, maxdist: int = 2, prefix: int = 0, keys: DataFrame | None = None) -> DataFrame:
     """Corrections for a table of words: (field, text, suggestion, distance, freq, rank).
 
     ``words`` is (field, text); ``dictionary`` is (field, term, freq). Nearer first, then more frequent, then by word; the
-    word itself is left out.
+    word itself is left out. ``keys`` are the dictionary's stored keys (:attr:`SearchIndex.close_keys`).
     """
-    pairs = settle(within_distance(words, dictionary, maxdist, prefix).filter(F.col("text") != F.col("term")))
+    pairs = settle(within_distance(words, dictionary, maxdist, prefix, keys).filter(F.col("text") != F.col("term")))
     found = lookup_join(dictionary.select("field", "term", "freq"), pairs, ["field", "term"])
     best = best_per_group(found, ["field", "text"], [F.asc("distance"), F.desc("freq"), F.asc("term")], limit, "rank")
     return best.select("field", "text", F.col("term").alias("suggestion"), "distance", "freq", "rank")
@@ -331,5 +331,5 @@ def correct_queries(index: SearchIndex, terms: DataFrame, maxdist: int = 2, pref
     """Query terms with ``corrected``: a term missing from the lexicon becomes its best suggestion, if there is one."""
     missing = settle(existing_terms(index, terms, reverse=True).select("field", F.col("term").alias("text")).distinct())
     words = index.term_stats.select("field", "term", F.col("cf").alias("freq"))
-    best = settle(suggest(missing, words, 1, maxdist, prefix).select("field", F.col("text").alias("term"), "suggestion"))
+    best = settle(suggest(missing, words, 1, maxdist, prefix, index.close_keys).select("field", F.col("text").alias("term"), "suggestion"))
     return lookup_join(terms, best, ["field", "term"], "left").withColumn("corrected", F.coalesce("suggestion", "term")).drop("suggestion")
