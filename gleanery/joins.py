@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .functions.arrays import let_all
 from .session import settle
 
 # A table is only ever broadcast after its size was measured against this bound.
@@ -69,29 +70,57 @@ def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str =
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
-def range_join(points: DataFrame, value: str, ranges: DataFrame, lo: str, hi: str, condition: Column,
-               buckets: int = 1024) -> DataFrame:
+# Range joins cut the axis into 16 ** CELL_LEVELS cells; a cell of each level holds 16 of the one below it.
+CELL_LEVELS = 6
+
+
+def _cells_of(first: Column, last: Column, level: int = 0) -> Column:
+    """Aligned cells [level, number] that together make up the cells ``first`` to ``last`` of this level: at most 30 of each level, however long the range."""
+    run = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
+    if level == CELL_LEVELS:
+        return let_all({"a": first, "b": last}, lambda v: F.transform(run(v["a"], v["b"]), _numbered(level)))
+
+    def split(v: Column) -> Column:
+        # What is left of and right of the next level's cells that lie wholly inside stays on this one; without any, an empty range goes on.
+        whole = v["inner"] <= v["outer"]
+        left = run(v["a"], F.when(whole, v["inner"] * 16 - 1).otherwise(v["b"]))
+        right = F.when(whole, run((v["outer"] + 1) * 16, v["b"])).otherwise(F.array().cast("array<bigint>"))
+        rest = _cells_of(F.when(whole, v["inner"]).otherwise(F.lit(1).cast("long")), F.when(whole, v["outer"]).otherwise(F.lit(0).cast("long")), level + 1)
+        return F.concat(F.transform(F.concat(left, right), _numbered(level)), rest)
+
+    inside = lambda v: {"a": v["a"], "b": v["b"], "inner": F.floor((v["a"] + 15) / 16).cast("long"), "outer": (F.floor((v["b"] + 1) / 16) - 1).cast("long")}
+    return let_all({"a": first, "b": last}, lambda v: let_all(inside(v), split))
+
+
+def _numbered(level: int) -> Callable[[Column], Column]:
+    return lambda n: F.struct(F.lit(level).alias("level"), n.alias("n"))
+
+
+def range_join(points: DataFrame, value: str, ranges: DataFrame, lo: str, hi: str, condition: Column) -> DataFrame:
     """Pair every point with the ranges that hold it; ``condition`` decides the exact ends.
 
-    Few ranges are broadcast. Many ranges are cut into buckets of the value axis and joined by bucket, so no
-    point is ever copied. ``value``, ``lo`` and ``hi`` must be numeric; a null end is open.
+    A range is a few aligned cells of the axis, at most 30 of each size; a point has one cell of each size, and brings those sizes that any range uses. So
+    the join is an equality, each pair meets in one cell only, and long and short ranges cost alike. ``value``, ``lo`` and ``hi`` must be numeric; a null
+    end is open, a null point is in no range.
     """
-    if fits_broadcast(ranges, max_rows=10_000):
-        return points.join(F.broadcast(ranges), condition)
     ends = points.agg(F.min(value).cast("double").alias("a"), F.max(value).cast("double").alias("b")).first()
     a, b = ends["a"] or 0.0, ends["b"] or 0.0
-    step = ((b - a) / buckets) or 1.0
-
-    def slot(col: Column) -> Column:
-        # greatest() and least() pass over nulls, so an open end has to be kept apart.
-        return F.when(col.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(buckets), F.floor((col.cast("double") - F.lit(a)) / F.lit(step)))).cast("int"))
-
-    first = F.coalesce(slot(F.col(lo)), F.lit(0))
-    last = F.coalesce(slot(F.col(hi)), F.lit(buckets))
-    cut = (ranges.withColumn("_a", first).withColumn("_b", last).filter("_a <= _b")
-           .withColumn("_bucket", F.explode(F.sequence("_a", "_b"))).drop("_a", "_b"))
-    left = points.withColumn("_bucket", slot(F.col(value)))
-    return left.join(cut, left["_bucket"] == cut["_bucket"]).filter(condition).drop("_bucket")
+    count = 16 ** CELL_LEVELS
+    step = ((b - a) / count) or 1.0
+
+    def cell(col: Column) -> Column:
+        place = F.floor((col.cast("double") - F.lit(a)) / F.lit(step))
+        return F.greatest(F.lit(0), F.least(F.lit(count - 1), place)).cast("long")
+
+    meets = F.coalesce(F.col(lo).cast("double") <= F.lit(b), F.lit(True)) & F.coalesce(F.col(hi).cast("double") >= F.lit(a), F.lit(True)) \
+        & F.coalesce(F.col(lo).cast("double") <= F.col(hi).cast("double"), F.lit(True))
+    first = F.when(F.col(lo).isNull(), F.lit(0).cast("long")).otherwise(cell(F.col(lo)))
+    last = F.when(F.col(hi).isNull(), F.lit(count - 1).cast("long")).otherwise(cell(F.col(hi)))
+    cut = settle(ranges.filter(meets).withColumn("_a", first).withColumn("_b", last).withColumn("_cell", F.explode(_cells_of(F.col("_a"), F.col("_b")))).drop("_a", "_b"))
+    used = sorted(r[0] for r in cut.select("_cell.level").distinct().collect())
+    own = F.array(*[F.struct(F.lit(k).alias("level"), F.floor(cell(F.col(value)) / 16 ** k).cast("long").alias("n")) for k in used]) if used else F.array().cast("array<struct<level:int,n:bigint>>")
+    left = points.filter(F.col(value).isNotNull()).withColumn("_cell", F.explode(own))
+    return lookup_join(left, cut, ["_cell"]).filter(condition).drop("_cell")
 
 
 def wide_running(df: DataFrame, by: Sequence[str], order: Sequence[Column], sums: dict[str, Column]) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..joins import best_per_group, wide_rank
+from ..joins import best_per_group, range_join, wide_rank
 from .ranking import by_score
 
 
@@ -55,29 +55,42 @@ def range_buckets(start, end, gaps: Sequence, hardend: bool = False) -> list[tup
 
 
 def facet_range(rows: DataFrame, column: str, start, end, gaps: Sequence, hardend: bool = False) -> DataFrame:
-    """Adds ``lo`` and ``hi`` of the bucket; values outside every bucket get nulls. Arithmetic only for one gap."""
+    """Adds ``lo`` and ``hi`` of the bucket; values outside every bucket get nulls. The gaps but the last give a bucket each; the last one goes on to
+    the end, by arithmetic."""
     v = F.col(column)
-    if len(gaps) == 1:
-        lo = F.lit(start) + F.floor((v - F.lit(start)) / F.lit(gaps[0])) * F.lit(gaps[0])
-        last = range_buckets(start, end, gaps, hardend)[-1][1]
-        hi = F.least(lo + F.lit(gaps[0]), F.lit(end)) if hardend else lo + F.lit(gaps[0])
-        inside = (v >= F.lit(start)) & (v < F.lit(last))
-        return rows.withColumn("lo", F.when(inside, lo).cast("double")).withColumn("hi", F.when(inside, hi).cast("double"))
-    spans = range_buckets(start, end, gaps, hardend)
-    lo = hi = F.lit(None).cast("double")
-    for a, b in reversed(spans):
-        hit = (v >= F.lit(a)) & (v < F.lit(b))
-        lo, hi = F.when(hit, F.lit(float(a))).otherwise(lo), F.when(hit, F.lit(float(b))).otherwise(hi)
-    return rows.withColumn("lo", lo).withColumn("hi", hi)
+    listed, rest = [], start
+    for g in gaps[:-1]:
+        if rest >= end:
+            break
+        listed.append((rest, min(rest + g, end) if hardend else rest + g))
+        rest = listed[-1][1]
+    gap = gaps[-1]
+    last = end if hardend else rest + -(-(end - rest) // gap) * gap
+    low = F.lit(rest) + F.floor((v - F.lit(rest)) / F.lit(gap)) * F.lit(gap)
+    high = F.least(low + F.lit(gap), F.lit(end)) if hardend else low + F.lit(gap)
+    tail = (v >= F.lit(rest)) & (v < F.lit(last))
+    lo, hi = F.when(tail, low), F.when(tail, high)
+    if listed:
+        ends = F.array(*[F.lit(float(a)) for a, _ in listed], F.lit(float(rest)))
+        at = F.size(F.filter(ends, lambda e: e <= v))
+        inside = (v >= F.lit(start)) & (v < F.lit(rest))
+        lo, hi = F.when(inside, F.get(ends, at - 1)).otherwise(lo), F.when(inside, F.get(ends, at)).otherwise(hi)
+    return rows.withColumn("lo", lo.cast("double")).withColumn("hi", hi.cast("double"))
+
+
+def _micros(moment: Column) -> Column:
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), moment.cast("timestamp_ntz"))
 
 
 def facet_date_range(rows: DataFrame, column: str, start: str, end: str, step: str, hardend: bool = False) -> DataFrame:
-    """Date buckets of one step. The bucket table comes from ``sequence``; its size is set by the arguments."""
+    """Date buckets of one step, months and other uneven ones too. Rows meet the buckets by equality on cells of the time axis, however many there are."""
     first, last = F.expr(f"timestamp_ntz'{start}'"), F.expr(f"timestamp_ntz'{end}'")
     grid = rows.sparkSession.range(1).select(F.explode(F.sequence(first, last, F.expr(f"interval {step}"))).alias("lo")).filter(F.col("lo") < last)
     upper = F.col("lo") + F.expr(f"interval {step}")
     grid = grid.withColumn("hi", F.least(upper, last) if hardend else upper)
-    return rows.join(F.broadcast(grid), (F.col(column) >= F.col("lo")) & (F.col(column) < F.col("hi")))
+    grid = grid.withColumn("_lo", _micros(F.col("lo"))).withColumn("_hi", _micros(F.col("hi")))
+    points = rows.withColumn("_at", _micros(F.col(column)))
+    return range_join(points, "_at", grid, "_lo", "_hi", (F.col("_at") >= F.col("_lo")) & (F.col("_at") < F.col("_hi"))).drop("_at", "_lo", "_hi")
 
 
 def facets_many(rows: DataFrame, columns: Sequence[str]) -> DataFrame:

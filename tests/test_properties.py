@@ -10,6 +10,7 @@ from gleanery import joins
 from gleanery.functions import tokens as T
 from gleanery.operators import clauses as C
 from gleanery.operators import combine as H
+from gleanery.operators import facets as Fa
 from gleanery.operators import mining as M
 from gleanery.operators import ranking as Rk
 from gleanery.operators.index import SearchIndex, text_field
@@ -109,11 +110,42 @@ def test_wide_rank_of_one_big_group(spark):
     assert [r["rank"] for r in rows] == list(range(1, 5001))
 
 
-def test_range_join_many(spark, monkeypatch):
-    points = spark.range(200).selectExpr("id AS p", "CAST(id AS double) AS x")
-    ranges = spark.createDataFrame([(i, i * 3.0, i * 3.0 + 5) for i in range(60)] + [(99, None, 4.0)], "r int, lo double, hi double")
-    cond = (F.col("lo").isNull() | (F.col("x") >= F.col("lo"))) & (F.col("x") <= F.col("hi"))
-    few = {(r.p, r.r) for r in joins.range_join(points, "x", ranges, "lo", "hi", cond).collect()}
-    monkeypatch.setattr(joins, "fits_broadcast", lambda *a, **k: False)
-    many = [(r.p, r.r) for r in joins.range_join(points, "x", ranges, "lo", "hi", cond, buckets=16).collect()]
-    assert len(many) == len(set(many)) and set(many) == few
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_range_join(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(joins, "fits_broadcast", lambda *a, **k: False)
+    rnd = random.Random(2)
+    points = [(i, x) for i, x in enumerate([0.0, 0.0, 1e-9, 1e9, None, *(rnd.uniform(-5, 700) for _ in range(300)), *(float(rnd.randrange(0, 600)) for _ in range(100))])]
+    ranges = [(i, i * 3.0, i * 3.0 + 5) for i in range(60)] + [(99, None, 4.0), (100, 650.0, None), (101, None, None), (102, 5.0, 4.0), (103, -1e12, 1e12), (104, 2e9, 3e9), (105, 7.0, 7.0), (106, 0.0, 0.0)]
+    ranges += [(200 + i, a, a + rnd.choice([0.1, 1, 30, 400])) for i, a in enumerate(rnd.uniform(-10, 700) for _ in range(80))]
+    p, r = spark.createDataFrame(points, "p int, x double"), spark.createDataFrame(ranges, "r int, lo double, hi double")
+    cond = (F.col("lo").isNull() | (F.col("x") >= F.col("lo"))) & (F.col("hi").isNull() | (F.col("x") <= F.col("hi")))
+    got = [(z.p, z.r) for z in joins.range_join(p, "x", r, "lo", "hi", cond).collect()]
+    want = {(i, k) for i, x in points if x is not None for k, lo, hi in ranges if (lo is None or x >= lo) and (hi is None or x <= hi)}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert joins.range_join(p.filter("p < 0"), "x", r, "lo", "hi", cond).count() == 0 and joins.range_join(p, "x", r.filter("r < 0"), "lo", "hi", cond).count() == 0
+
+
+def test_cells_cover_a_range_once(spark):
+    rnd = random.Random(8)
+    pairs = [(0, 16 ** 6 - 1), (0, 0), (15, 16), (16, 31), (1, 16 ** 5), (17, 16 ** 6 - 2)] + [tuple(sorted((rnd.randrange(16 ** 6), rnd.randrange(16 ** 6)))) for _ in range(100)] + [(a, a + rnd.randrange(300)) for a in range(0, 5000, 37)]
+    for a, b, cells in spark.createDataFrame(pairs, "a long, b long").select("a", "b", joins._cells_of(F.col("a"), F.col("b"))).collect():
+        parts = sorted((n * 16 ** k, (n + 1) * 16 ** k - 1) for k, n in cells)
+        assert parts[0][0] == a and parts[-1][1] == b and all(x[1] + 1 == y[0] for x, y in zip(parts, parts[1:], strict=False))
+        assert len(cells) <= 30 * 6 + 1
+
+
+def test_facet_ranges_and_uneven_months(spark):
+    rows = spark.createDataFrame([(float(v),) for v in (-1, 0, 0.5, 1, 5.9, 6, 15, 16, 25.9, 26, 44, 45, 46, 55, 56)], "v double")
+    for gaps in ([1, 5, 10], [10], [30, 30, 30], [100]):
+        for hard in (False, True):
+            spans = Fa.range_buckets(0, 45, gaps, hard)
+            for r in Fa.facet_range(rows, "v", 0, 45, gaps, hard).collect():
+                assert (r["lo"], r["hi"]) == next(((a, b) for a, b in spans if a <= r["v"] < b), (None, None))
+    days = spark.sql("SELECT explode(sequence(timestamp_ntz'2023-12-30', timestamp_ntz'2024-04-02', interval 6 hours)) AS t")
+    got = Fa.facet_date_range(days, "t", "2024-01-01", "2024-04-01", "1 month").groupBy("lo", "hi").count().orderBy("lo").collect()
+    assert [(str(r["lo"])[:10], str(r["hi"])[:10], r["count"]) for r in got] == [("2024-01-01", "2024-02-01", 124), ("2024-02-01", "2024-03-01", 116), ("2024-03-01", "2024-04-01", 124)]
+    plan = Fa.facet_date_range(days, "t", "2024-01-01", "2024-04-01", "1 month")._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan
+
+
