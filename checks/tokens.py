@@ -232,6 +232,28 @@ def read_change_feed(spark, sf):
     return rows.select("action", "name", "keyID", F.col("item").cast("long").alias("item"), "jobname", "description", *text)
 
 
+# Messages with every attribute of a job, a list, and one attribute that no schema names; with several elements in ``fields``.
+FULL = {"jobid": "l_orderkey * 10 + l_linenumber", "jobsnapid": "l_partkey", "jobname": "'job ' || l_linestatus", "degreecode": "l_linenumber", "jobtypecode": "1", "orgid": "l_suppkey", "orgname": "'org ' || l_suppkey",
+        "orgflag": "0", "workexperience": "l_linenumber % 5", "description": "l_returnflag || ' \u4e2d\u6587'", "salaryrangecode": "1300", "PublishTime": "'2013-05-31T17:29:39'", "refreshtime": "'2013-06-14T11:09:06'",
+        "orderdate": "'2013-06-14T11:09:06'", "companytype": "0", "companymemsize": "0", "jobaddress": "'110000#110100'", "businesstags": "'4003#games'", "jobcategorys": "'1004'", "ishunterjob": "l_linenumber % 4",
+        "score": "100", "ownersys": "0"}
+NUMBERS = [c for c, kind in R.JOB_ATTRIBUTES.items() if kind != "string"]
+
+
+@check("read_change_feed_full", "SELECT 'updateDoc' AS action, l_orderkey AS \"keyID\", " + ", ".join(f"CAST({v} AS {'VARCHAR' if c not in NUMBERS else 'DOUBLE'}) AS \"{c}\"" for c, v in FULL.items())
+       + ", '[\"a\",' || l_linenumber || ']' AS skillsmap, 'x' || l_linenumber AS other, 24::BIGINT AS n FROM lineitem")
+def read_change_feed_full(spark, sf):
+    li = table(spark, sf, "lineitem")
+    job = F.struct(*[F.expr(v).alias(c) for c, v in FULL.items()], F.array(F.lit("a")).alias("skillsmap"), F.concat(F.lit("x"), "l_linenumber").alias("other"))
+    # The list holds a text and a number, which no array type does.
+    told = F.replace(F.to_json(job), F.lit('["a"]'), F.concat(F.lit('["a",'), "l_linenumber", F.lit("]")))
+    orders = li.select("l_orderkey", told.alias("j")).groupBy("l_orderkey").agg(F.array_join(F.collect_list("j"), ",").alias("js"))
+    messages = orders.select(F.concat(F.lit('{"action":"updateDoc","name":"job","keyID":'), "l_orderkey", F.lit(',"fields":['), "js", F.lit("]}")).alias("value"))
+    rows = R.read_change_feed(messages)
+    cols = [F.col(c).cast("double" if c in NUMBERS else "string").alias(c) for c in FULL]
+    return rows.select("action", "keyID", *cols, "skillsmap", F.col("attributes")["other"].alias("other"), F.size("attributes").cast("long").alias("n"))
+
+
 @check("html_to_text", "SELECT page_id, md5(regexp_replace(html, '<[^>]+>', '', 'g')) AS body FROM pages")
 def html_to_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.md5(R.html_to_text(F.col("html"))).alias("body"))

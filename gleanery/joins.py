@@ -103,6 +103,8 @@ def range_join(points: DataFrame, value: str, ranges: DataFrame, lo: str, hi: st
     the join is an equality, each pair meets in one cell only, and long and short ranges cost alike. ``value``, ``lo`` and ``hi`` must be numeric; a null
     end is open, a null point is in no range.
     """
+    # Ends may be long expressions; settled, each is worked out once.
+    ranges = settle(ranges)
     ends = points.agg(F.min(value).cast("double").alias("a"), F.max(value).cast("double").alias("b")).first()
     a, b = ends["a"] or 0.0, ends["b"] or 0.0
     count = 16 ** CELL_LEVELS

@@ -105,6 +105,9 @@ def test_readers(spark):
     msg = """{"action":"updateDoc","name":"job","keyID":65072,"fields":[{"jobid":65072,"orgid":358813,"jobname":"PHP","description":"a\r\nb","ishunterjob":3}]}"""
     row = R.read_change_feed(words(spark, msg, name="value")).first()
     assert (row.action, row.jobid, row.orgid, row.ishunterjob) == ("updateDoc", 65072, 358813, 3)
+    assert set(R.JOB_ATTRIBUTES) < set(row.asDict()) and row.attributes["jobname"] == "PHP" and row.salaryrangecode is None
+    own = R.read_change_feed(words(spark, '{"action":"updateDoc","name":"org","keyID":"7","fields":[{"size":"12","tags":[1,{"a":2}]},{"size":"x"}]}', name="value"), attributes={"size": "int"}).collect()
+    assert [(r.keyID, r.item, r["size"]) for r in own] == [(7, 0, 12), (7, 1, None)] and own[0].attributes["tags"] == '[1,{"a":2}]' and own[1].attributes["size"] == "x"
 
 
 @pytest.fixture(scope="module")
