@@ -1,12 +1,14 @@
 """Tables kept current by a stream.
 
-Each micro-batch writes its own folder ``epoch=N``, replacing it when the batch is run again after a failure, so a replay
-leaves the same table. Readers merge base and changes; :meth:`ChangeTable.compact` folds old epochs into a new base.
-No batch rewrites the table.
+Each micro-batch writes its own folder ``run=N-N``, replacing it when the batch is run again after a failure, so a replay
+leaves the same table. Every ``fan_in`` batches are folded into one run, every ``fan_in`` of those into a larger one, and so on:
+a reader meets a logarithmic number of runs, a row is written again a logarithmic number of times, and no batch pays for the
+history. Runs that a larger one replaced are removed ``keep`` batches later, when no replay or reader can still want them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,73 +20,128 @@ from ..operators.maintain import last_per_key
 from ..session import settle
 
 
-def _folders(spark: SparkSession, path: str, prefix: str) -> list[int]:
-    """Numbers of the complete folders ``prefix=N`` under ``path``; a folder without its success marker is left out."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    out = []
-    for status in fs.listStatus(root):
-        name = status.getPath().getName()
-        if name.startswith(prefix + "=") and fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-            out.append(int(name.split("=")[1]))
-    return sorted(out)
+@dataclass(frozen=True)
+class Runs:
+    """The folders ``run=A-B`` of a table: what batches A to B left, once complete."""
+
+    spark: SparkSession
+    path: str
+    schema: str
+    fan_in: int = 8
+    keep: int = 16
+
+    def _fs(self):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        return path, path(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _folder(self, run: tuple[int, int]) -> str:
+        return f"{self.path}/run={run[0]}-{run[1]}"
+
+    def complete(self) -> list[tuple[int, int]]:
+        """All runs with a success marker, replaced ones included, by first batch, larger ones first."""
+        path, fs = self._fs()
+        if not fs.exists(path(self.path)):
+            return []
+        found = []
+        for status in fs.listStatus(path(self.path)):
+            name = status.getPath().getName()
+            if name.startswith("run=") and fs.exists(path(status.getPath(), "_SUCCESS")):
+                first, last = name[4:].split("-")
+                found.append((int(first), int(last)))
+        return sorted(found, key=lambda r: (r[0], -r[1]))
+
+    def live(self, before: int | None = None) -> list[tuple[int, int]]:
+        """The runs a reader needs, oldest first; those inside a larger one are left out."""
+        out: list[tuple[int, int]] = []
+        for run in self.complete():
+            if (before is None or run[1] < before) and (not out or run[0] > out[-1][1]):
+                out.append(run)
+        return out
+
+    def read(self, runs: list[tuple[int, int]]) -> DataFrame:
+        if not runs:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*[self._folder(r) for r in runs])
+
+    def write(self, rows: DataFrame, epoch: int, fold: Callable[[list[tuple[int, int]]], DataFrame]) -> None:
+        """Write one batch, fold the runs that are due, remove those replaced long ago."""
+        rows.write.mode("overwrite").parquet(self._folder((epoch, epoch)))
+        span = self.fan_in
+        while (epoch + 1) % (span * self.fan_in) == 0:
+            span *= self.fan_in
+        if (epoch + 1) % span == 0:
+            self.fold(fold, first=epoch + 1 - span, last=epoch)
+        self._retire(epoch)
+
+    def fold(self, fold: Callable[[list[tuple[int, int]]], DataFrame], first: int = 0, last: int | None = None) -> None:
+        """Replace the live runs between two batches by one."""
+        due = [r for r in self.live() if r[0] >= first and (last is None or r[1] <= last)]
+        if len(due) > 1:
+            fold(due).write.mode("overwrite").parquet(self._folder((due[0][0], due[-1][1])))
+
+    def _retire(self, epoch: int) -> None:
+        complete, live = self.complete(), set(self.live())
+        path, fs = self._fs()
+        for run in complete:
+            cover = min((r[1] for r in complete if r != run and r[0] <= run[0] and r[1] >= run[1]), default=None)
+            if run not in live and cover is not None and cover + self.keep <= epoch:
+                fs.delete(path(self._folder(run)), True)
 
 
 @dataclass(frozen=True)
 class ChangeTable:
-    """A keyed table as a base and a list of change batches.
+    """A keyed table as runs of changes, the oldest of which is in effect the base.
 
-    Change rows are the table's columns with ``op`` (``upsert`` / ``delete``) and an arrival number ``seq``.
+    Change rows are the table's columns with ``op`` (``upsert`` / ``delete``) and an arrival number ``seq``. A key keeps the change
+    with the highest arrival number, then the later batch: a change that comes late does not undo a newer one. For that the runs
+    keep arrival numbers and deletes. Where no change comes more than ``horizon`` arrival numbers late, folding everything drops the
+    deletes that lie further back than that.
     """
 
     spark: SparkSession
     path: str
     key: str
     schema: str
+    horizon: int | None = None
+    fan_in: int = 8
+    keep: int = 16
 
-    def _read(self, path: str, extra: str = "") -> DataFrame:
-        return self.spark.read.schema(self.schema + extra).parquet(path)
+    @property
+    def runs(self) -> Runs:
+        return Runs(self.spark, self.path, self.schema + ", op string, seq long, epoch long", self.fan_in, self.keep)
 
     def apply(self, batch: DataFrame, epoch: int) -> None:
         """Write the last operation per key of one batch."""
-        last_per_key(batch, self.key, ["seq"]).write.mode("overwrite").parquet(f"{self.path}/changes/epoch={epoch}")
+        columns = [f.name for f in self.spark.createDataFrame([], self.schema).schema]
+        rows = last_per_key(batch, self.key, ["seq"]).withColumn("epoch", F.lit(epoch).cast("long"))
+        self.runs.write(rows.select(*columns, "op", "seq", "epoch"), epoch, self._fold)
 
     def changes(self, after: int = -1) -> DataFrame:
-        epochs = [e for e in _folders(self.spark, f"{self.path}/changes", "epoch") if e > after]
-        empty = self.spark.createDataFrame([], self.schema + ", op string, seq long, epoch long")
-        if not epochs:
-            return empty
-        paths = [f"{self.path}/changes/epoch={e}" for e in epochs]
-        df = self.spark.read.schema(self.schema + ", op string, seq long, epoch long").option("basePath", f"{self.path}/changes").parquet(*paths)
-        return df.select(*empty.columns)
-
-    def _latest(self) -> DataFrame:
-        """The last change of every key, deletes included, by arrival number and then batch: a change that comes late in a later
-        batch does not undo a newer one. The base keeps arrival numbers and deletes for that; only keys that changed are compared,
-        so that a base of any size stays where it is."""
-        bases = _folders(self.spark, f"{self.path}/base", "upto")
-        upto = bases[-1] if bases else -1
-        last = last_per_key(self.changes(upto), self.key, ["seq", "epoch"]).drop("epoch")
-        if not bases:
-            return last
-        base = self._read(f"{self.path}/base/upto={upto}", ", op string, seq long")
+        """The last change per key of each run that begins after a batch."""
+        return self.runs.read([r for r in self.runs.live() if r[0] > after])
+
+    def _fold(self, runs: list[tuple[int, int]]) -> DataFrame:
+        """The last change of every key, deletes included. Only keys that changed since the oldest run are compared with it, so that a
+        base of any size stays where it is."""
+        last = last_per_key(self.runs.read(runs[1:]), self.key, ["seq", "epoch"])
+        base = self.runs.read(runs[:1])
         newer = base.join(last.select(self.key, F.col("seq").alias("_seq")), self.key).filter(F.col("seq") > F.col("_seq")).select(self.key)
         won = settle(last.join(newer, self.key, "left_anti"))
-        return base.join(won.select(self.key), self.key, "left_anti").unionByName(won.select(*base.columns))
+        rows = base.join(won.select(self.key), self.key, "left_anti").unionByName(won.select(*base.columns))
+        if self.horizon is None or runs[0] != self.runs.live()[0]:
+            return rows
+        newest = self.runs.read(runs).agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+        return rows.filter((F.col("op") != "delete") | (F.col("seq") >= newest - self.horizon))
 
     def current(self) -> DataFrame:
         """The rows whose last change is not a delete."""
-        columns = [c.strip().split(" ")[0] for c in self.schema.split(", ")]
-        return self._latest().filter("op <> 'delete'").select(*columns)
+        live = self.runs.live()
+        rows = self._fold(live) if len(live) > 1 else self.runs.read(live)
+        return rows.filter("op <> 'delete'").drop("op", "seq", "epoch")
 
     def compact(self) -> None:
-        """Fold all changes so far into a new base."""
-        epochs = _folders(self.spark, f"{self.path}/changes", "epoch")
-        if epochs:
-            self._latest().write.mode("overwrite").parquet(f"{self.path}/base/upto={epochs[-1]}")
+        """Fold all changes so far into one run."""
+        self.runs.fold(self._fold)
 
 
 def stream_upsert_delete(changes: DataFrame, table: ChangeTable, checkpoint: str, **trigger) -> StreamingQuery:
@@ -95,52 +152,54 @@ def stream_upsert_delete(changes: DataFrame, table: ChangeTable, checkpoint: str
 
 @dataclass(frozen=True)
 class SeenTable:
-    """Values met by a stream, each written once, in the batch that met it first."""
+    """Values a stream met, each written once, in the batch that met it first. The stream's own keyed state knows what was met
+    (:func:`gleanery.streaming.stream_new_urls`), so a batch never reads the table."""
 
     spark: SparkSession
     path: str
     column: str
+    fan_in: int = 8
+    keep: int = 16
 
-    def apply(self, batch: DataFrame, epoch: int) -> None:
-        """Add the batch's values that no earlier batch holds. A batch that is run again replaces its own folder."""
-        new = batch.select(self.column).distinct().join(self._read(epoch), self.column, "left_anti")
-        new.write.mode("overwrite").parquet(f"{self.path}/epoch={epoch}")
+    @property
+    def runs(self) -> Runs:
+        return Runs(self.spark, self.path, f"{self.column} string", self.fan_in, self.keep)
 
-    def _read(self, before: int | None = None) -> DataFrame:
-        epochs = [e for e in _folders(self.spark, self.path, "epoch") if before is None or e < before]
-        if not epochs:
-            return self.spark.createDataFrame([], f"{self.column} string")
-        return self.spark.read.schema(f"{self.column} string").parquet(*[f"{self.path}/epoch={e}" for e in epochs])
+    def apply(self, new: DataFrame, epoch: int) -> None:
+        """Add values that no earlier batch held. A batch that is run again replaces its own folder."""
+        self.runs.write(new.select(self.column), epoch, self.runs.read)
 
     def current(self) -> DataFrame:
-        return self._read()
+        return self.runs.read(self.runs.live())
 
 
 @dataclass(frozen=True)
 class StatisticsTable:
-    """Term statistics as partial sums per batch, added up on read."""
+    """Term statistics as partial sums per run, added up on read."""
 
     spark: SparkSession
     path: str
     fields: tuple[Field, ...]
     key: str = "doc_id"
+    fan_in: int = 8
+    keep: int = 16
+
+    @property
+    def runs(self) -> Runs:
+        return Runs(self.spark, self.path, "field string, term string, df long, cf double", self.fan_in, self.keep)
 
     def apply(self, batch: DataFrame, epoch: int) -> None:
         postings = explode_postings(forward_index(batch, self.fields, self.key))
-        postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("weight").alias("cf")) \
-            .write.mode("overwrite").parquet(f"{self.path}/epoch={epoch}")
+        self.runs.write(postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("weight").alias("cf")), epoch, self._sum)
+
+    def _sum(self, runs: list[tuple[int, int]]) -> DataFrame:
+        return self.runs.read(runs).groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
     def current(self) -> DataFrame:
-        epochs = _folders(self.spark, self.path, "epoch")
-        schema = "field string, term string, df long, cf double"
-        if not epochs:
-            return self.spark.createDataFrame([], schema)
-        parts = self.spark.read.schema(schema).parquet(*[f"{self.path}/epoch={e}" for e in epochs])
-        return parts.groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+        return self._sum(self.runs.live())
 
 
 def stream_term_stats(documents: DataFrame, table: StatisticsTable, checkpoint: str, **trigger) -> StreamingQuery:
     """Keep df and cf current while documents arrive (append-only)."""
     return (documents.writeStream.foreachBatch(lambda df, epoch: table.apply(df, epoch))
             .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
-
