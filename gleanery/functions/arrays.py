@@ -52,6 +52,41 @@ def running_total(values: Column) -> Column:
         lambda starts: F.flatten(F.transform(bs, lambda block, i: prefix(block, starts[i]))))))
 
 
+def running_max(values: Column) -> Column:
+    """For an array of ints, the largest element up to and including each one, by blocks as in :func:`running_total`."""
+    def upto(xs: Column, start: Column) -> Column:
+        zero = F.struct(start.cast("int").alias("max"), F.array().cast("array<int>").alias("out"))
+
+        def step(acc: Column, x: Column) -> Column:
+            top = F.greatest(acc["max"], x)
+            return F.struct(top.alias("max"), F.concat(acc["out"], F.array(top)).alias("out"))
+
+        return F.aggregate(xs, zero, step, lambda acc: acc["out"])
+
+    def blocks(xs: Column) -> Column:
+        count = F.ceil(F.size(xs) / F.lit(_BLOCK)).cast("int")
+        return F.transform(indices(count), lambda b: F.slice(xs, b * _BLOCK + 1, F.lit(_BLOCK)))
+
+    lowest = F.lit(-2**31)
+    return let(values, lambda xs: let(blocks(xs), lambda bs: let(
+        upto(F.transform(bs, F.array_max), lowest),
+        lambda tops: F.flatten(F.transform(bs, lambda block, i: upto(block, F.coalesce(F.get(tops, i - 1), lowest)))))))
+
+
+def count_below(values: Column, bound: Column) -> Column:
+    """How many elements of a sorted array are less than ``bound``, by halving. ``values`` is read at each step: pass a variable."""
+    halvings = F.sequence(F.lit(0), F.ceil(F.log2(F.size(values) + 1)).cast("int"))
+
+    def step(acc: Column, _: Column) -> Column:
+        middle = F.shiftright(acc["lo"] + acc["hi"], 1)
+        is_open = acc["lo"] < acc["hi"]
+        below = F.get(values, middle) < bound
+        return F.struct(F.when(is_open & below, middle + 1).otherwise(acc["lo"]).alias("lo"),
+                        F.when(is_open & ~below, middle).otherwise(acc["hi"]).alias("hi"))
+
+    return F.aggregate(halvings, F.struct(F.lit(0).alias("lo"), F.size(values).alias("hi")), step, lambda acc: acc["lo"])
+
+
 def runs(rows: Column, key: str, build: Callable[[Column], Column]) -> Column:
     """Split a *sorted* array of structs into runs of equal ``key`` and map each run with ``build``."""
     def starts(s: Column) -> Column:

@@ -1,11 +1,14 @@
-"""Span algebra: a span is struct<start, end> of inclusive token positions."""
+"""Span algebra: a span is struct<start, end> of inclusive token positions.
+
+Lists of spans meet by halving in sorted ends and by running extremes, so that work follows the spans that go in and come out.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .arrays import let_all
+from .arrays import count_below, indices, let, let_all, running_max
 
 SPANS = "array<struct<start:int,end:int>>"
 
@@ -51,27 +54,67 @@ def distance_to(a: Column, b: Column) -> Column:
 
 
 def tidy(spans: Column) -> Column:
-    return F.sort_array(F.array_distinct(spans))
+    return let(F.sort_array(spans), lambda s: F.filter(s, lambda x, i: (i == 0) | (x != F.get(s, i - 1))))
+
+
+def _by_start(b: Column, body) -> Column:
+    """Spans by start, with ``starts``, ``reach`` (the largest end so far) and ``nearest`` (the smallest end from here on)."""
+    def ends(s: Column) -> dict[str, Column]:
+        backwards = F.reverse(F.transform(s, lambda y: -y["end"]))
+        return {"b": s, "starts": F.transform(s, lambda y: y["start"]), "reach": running_max(F.transform(s, lambda y: y["end"])),
+                "nearest": F.transform(F.reverse(running_max(backwards)), lambda e: -e)}
+
+    return let(F.sort_array(b), lambda s: let_all(ends(s), body))
 
 
 def near(a: Column, b: Column, slop: int, ordered: bool = True, mindist: int = 1) -> Column:
     """Merged spans of the pairs whose distance is between ``mindist`` and ``slop``."""
-    def partners(x: Column, bs: Column) -> Column:
-        def ok(y: Column) -> Column:
-            d = distance_to(x, y)
-            test = (d >= mindist) & (d <= slop)
-            return test & (x["start"] <= y["start"]) if ordered else test
-        return F.transform(F.filter(bs, ok), lambda y: to(x, y))
+    apart = max(mindist, 1)
+
+    def cut(spans: Column, first: Column, stop: Column) -> Column:
+        return F.slice(spans, first + 1, F.greatest(stop - first, F.lit(0)))
+
+    def pairs(a: Column, v: Column, w: Column) -> Column:
+        def partners(x: Column) -> Column:
+            found = [cut(v["b"], count_below(v["starts"], x["end"] + apart), count_below(v["starts"], x["end"] + slop + 1))]
+            if mindist <= 0 <= slop:
+                found.append(cut(v["b"], count_below(v["starts"], x["start"]), count_below(v["starts"], x["end"] + 1)))
+                if not ordered:
+                    earlier = cut(v["b"], count_below(v["reach"], x["start"]), count_below(v["starts"], x["start"]))
+                    found.append(F.filter(earlier, lambda y: y["end"] >= x["start"]))
+            out = [F.transform(f, lambda y: to(x, y)) for f in found]
+            if not ordered:
+                before = cut(w["spans"], count_below(w["ends"], x["start"] - slop), count_below(w["ends"], x["start"] - apart + 1))
+                out.append(F.transform(before, lambda y: to(x, y)))
+            return F.concat(*out)
+
+        return F.flatten(F.transform(a, partners))
 
-    return tidy(let_all({"a": a, "b": b}, lambda v: F.flatten(F.transform(v["a"], lambda x: partners(x, v["b"])))))
+    def with_ends(v: Column) -> Column:
+        turned = F.sort_array(F.transform(v["b"], lambda y: F.struct(y["end"].alias("end"), y["start"].alias("start"))))
+        return let(turned, lambda t: let_all({"spans": t, "ends": F.transform(t, lambda y: y["end"])}, lambda w: pairs(a, v, w)))
+
+    return tidy(_by_start(b, with_ends))
 
 
 def merge(spans: Column) -> Column:
     """Merge overlapping or touching spans."""
-    def fold(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joins = (F.size(acc) > 0) & (s["start"] <= F.get(acc, F.size(acc) - 1)["end"] + 1)
-        grown = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(to(last, s)))
-        return F.when(joins, grown).otherwise(F.concat(acc, F.array(s)))
+    def build(v: Column) -> Column:
+        opens = F.filter(indices(F.size(v["b"])), lambda i: (i == 0) | (F.get(v["starts"], i) > F.get(v["reach"], i - 1) + 1))
+        return let(opens, lambda o: F.transform(o, lambda i, j: span(
+            F.get(v["starts"], i), F.get(v["reach"], F.coalesce(F.get(o, j + 1), F.size(v["b"])) - 1))))
+
+    return _by_start(spans, build)
+
+
+def free_of(a: Column, b: Column) -> Column:
+    """The a-spans that overlap no b-span."""
+    def free(v: Column, x: Column) -> Column:
+        return let(count_below(v["starts"], x["end"] + 1), lambda n: (n == 0) | (F.get(v["reach"], n - 1) < x["start"]))
+
+    return _by_start(b, lambda v: F.filter(a, lambda x: free(v, x)))
+
 
-    return F.aggregate(F.sort_array(spans), F.array().cast(SPANS), fold)
+def around(a: Column, b: Column) -> Column:
+    """The a-spans that hold a b-span."""
+    return _by_start(b, lambda v: F.filter(a, lambda x: F.get(v["nearest"], count_below(v["starts"], x["start"])) <= x["end"]))
