@@ -53,6 +53,12 @@ reg("h_or", (0, 1, 2), f", {UNION3} SELECT query_id, doc_id, round(sum(score), 6
 reg("h_dismax", (0, 1, 2), f", {UNION3} SELECT query_id, doc_id, round(max(score) + 0.3 * (sum(score) - max(score)), 6) AS score FROM u GROUP BY query_id, doc_id", lambda s, f, a, b, c: H.h_dismax(a, b, c, tiebreak=0.3))
 reg("h_not", (0,), "SELECT query_id, doc_id, 1.0::DOUBLE AS score FROM (SELECT DISTINCT query_id FROM qo), documents WHERE (query_id, doc_id) NOT IN (SELECT query_id, doc_id FROM h0)",
     lambda s, f, a: H.h_not(index(s, f).doc_ids, a, operand_terms(s, f, 1).select("query_id").distinct()))
+# Negations inside a query: one is taken away, one is an alternative that another operand cuts down again.
+reg("h_and_negated", (0, 1, 2), ", b AS (SELECT query_id, doc_id FROM h1 UNION SELECT query_id, doc_id FROM h2) SELECT query_id, doc_id, round(score + 1, 6) AS score FROM h0 ANTI JOIN b USING (query_id, doc_id)",
+    lambda s, f, a, b, c: H.h_and(a, H.negate(H.h_or(b, c))))
+reg("h_or_negated", (0, 1, 2), "SELECT h0.query_id, h0.doc_id, round(h0.score + coalesce(h1.score, 0) + CASE WHEN h2.score IS NULL THEN 1 ELSE 0 END, 6) AS score "
+    "FROM h0 LEFT JOIN h1 USING (query_id, doc_id) LEFT JOIN h2 USING (query_id, doc_id) WHERE h1.score IS NOT NULL OR h2.score IS NULL",
+    lambda s, f, a, b, c: H.h_and(a, H.h_or(b, H.negate(c))))
 reg("h_and_not", (0, 1), "SELECT query_id, doc_id, round(score, 6) AS score FROM h0 ANTI JOIN h1 USING (query_id, doc_id)", lambda s, f, a, b: H.h_and_not(a, b))
 reg("h_and_maybe", (0, 1), "SELECT h0.query_id, h0.doc_id, round(h0.score + coalesce(h1.score, 0), 6) AS score FROM h0 LEFT JOIN h1 USING (query_id, doc_id)", lambda s, f, a, b: H.h_and_maybe(a, b))
 reg("h_require", (0, 1), "SELECT query_id, doc_id, round(score, 6) AS score FROM h0 SEMI JOIN h1 USING (query_id, doc_id)", lambda s, f, a, b: H.h_require(a, b))

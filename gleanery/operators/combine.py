@@ -2,11 +2,15 @@
 
 Hits are (query_id, doc_id, score). Several inputs are unioned with an input number and grouped once by
 (query_id, doc_id), so n clauses cost one shuffle, and partial sums shrink it before it happens.
+
+A negation stays symbolic (:class:`Negated`) as an operand of :func:`h_and`, :func:`h_or`, :func:`h_and_maybe` and :func:`h_boolean`;
+the documents it stands for are listed only by :func:`h_listed`, where it is what the whole query comes to.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -48,12 +52,98 @@ def _per_clause(hits: DataFrame, *carry: str) -> DataFrame:
     return hits.groupBy(*KEY, "clause_id").agg(F.sum("score").alias("score"), *[F.max(c).alias(c) for c in carry])
 
 
-def h_and(*inputs: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Negated:
+    """All documents of every query but the ``excluded`` ones, each with ``score``; ``extra`` adds to the score of some that are left
+    (a document may have several rows there, and none that is excluded has any)."""
+
+    excluded: DataFrame
+    score: float = 1.0
+    extra: DataFrame | None = None
+
+
+Operand = DataFrame | Negated
+
+
+def negate(operand: Operand, score: float = 1.0) -> Operand:
+    """What an operand does not hit; a negation of a negation is plain hits again."""
+    if isinstance(operand, Negated):
+        return operand.excluded.select(*KEY).distinct().withColumn("score", F.lit(float(score)))
+    return Negated(operand.select(*KEY), float(score))
+
+
+def _split(operands: Sequence[Operand]) -> tuple[list[DataFrame], list[Negated]]:
+    return [o for o in operands if not isinstance(o, Negated)], [o for o in operands if isinstance(o, Negated)]
+
+
+def _changes(operands: Sequence[Operand]) -> DataFrame:
+    """What each operand changes against a document that only the negated ones hit: score and number of operands that hit."""
+    rows = []
+    for o in operands:
+        if not isinstance(o, Negated):
+            rows.append(o.select(*KEY, F.col("score").cast("double").alias("score"), F.lit(1).alias("_hit")))
+            continue
+        rows.append(o.excluded.select(*KEY).distinct().select(*KEY, F.lit(-o.score).alias("score"), F.lit(-1).alias("_hit")))
+        if o.extra is not None:
+            rows.append(o.extra.select(*KEY, "score", F.lit(0).alias("_hit")))
+    return reduce(DataFrame.union, rows)
+
+
+def _and_negated(plain: Sequence[DataFrame], negated: Sequence[Negated]) -> Operand:
+    """One anti-join with everything excluded; with no plain operand the result is a negation again."""
+    excluded, total = reduce(DataFrame.union, [n.excluded.select(*KEY) for n in negated]), sum(n.score for n in negated)
+    extras = [n.extra.select(*KEY, "score") for n in negated if n.extra is not None]
+    extra = reduce(DataFrame.union, extras) if extras else None
+    if not plain:
+        return Negated(excluded, total, None if extra is None else h_mask(extra, excluded))
+    hits = h_mask(h_and(*plain), excluded).withColumn("score", F.col("score") + F.lit(total))
+    return hits if extra is None else h_and_maybe(hits, extra)
+
+
+def _or_negated(operands: Sequence[Operand], minmatch: int) -> Operand:
+    """At least ``minmatch`` operands; a negation where the negated ones alone are enough."""
+    negated = _split(operands)[1]
+    total = sum(n.score for n in negated)
+    docs = _changes(operands).groupBy(*KEY).agg(F.sum("score").alias("score"), (F.sum("_hit") + len(negated)).alias("_n"))
+    enough = F.col("_n") >= minmatch
+    if len(negated) < minmatch:
+        return docs.filter(enough).select(*KEY, (F.col("score") + F.lit(total)).alias("score"))
+    return Negated(docs.filter(~enough).select(*KEY), total, docs.filter(enough).select(*KEY, "score"))
+
+
+def _maybe_negated(a: Operand, b: Operand) -> Operand:
+    """a's documents with b's score added where b hits, for operands that may be negated."""
+    added = _changes([b]).select(*KEY, "score")
+    plus = b.score if isinstance(b, Negated) else 0.0
+    if not isinstance(a, Negated):
+        return h_and_maybe(a.withColumn("score", F.col("score") + F.lit(plus)), added)
+    extra = added if a.extra is None else added.union(a.extra.select(*KEY, "score"))
+    return Negated(a.excluded, a.score + plus, h_mask(extra, a.excluded))
+
+
+def h_listed(doc_ids: DataFrame, operand: Operand, queries: DataFrame) -> DataFrame:
+    """Hits of a whole query: a negation is listed against the corpus, for each of ``queries``; plain hits stay as they are."""
+    if not isinstance(operand, Negated):
+        return operand
+    if len(queries.columns) != 1:
+        queries = queries.select("query_id")
+    docs, asked = doc_ids.withColumn("_all", F.lit(1)), queries.distinct().withColumn("_all", F.lit(1))
+    pairs = lookup_join(docs, asked, ["_all"], hot=doc_ids.sparkSession.range(1, 2).select(F.col("id").cast("int").alias("_all"))).drop("_all")
+    left = pairs.join(operand.excluded.select(*KEY), KEY, "left_anti").select(*KEY, F.lit(operand.score).alias("score"))
+    return left if operand.extra is None else h_and_maybe(left, operand.extra)
+
+
+def h_and(*inputs: Operand) -> Operand:
+    plain, negated = _split(inputs)
+    if negated:
+        return _and_negated(plain, negated)
     return (_stack(inputs).groupBy(*KEY).agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("_n"))
             .filter(F.col("_n") == len(inputs)).drop("_n"))
 
 
-def h_or(*inputs: DataFrame, minmatch: int = 1) -> DataFrame:
+def h_or(*inputs: Operand, minmatch: int = 1) -> Operand:
+    if _split(inputs)[1]:
+        return _or_negated(inputs, max(minmatch, 1))
     return (_stack(inputs).groupBy(*KEY).agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("_n"))
             .filter(F.col("_n") >= max(minmatch, 1)).drop("_n"))
 
@@ -68,20 +158,19 @@ def h_dismax(*inputs: DataFrame, tiebreak: float = 0.0) -> DataFrame:
 
 
 def h_not(doc_ids: DataFrame, hits: DataFrame, queries: DataFrame) -> DataFrame:
-    """The complement per query, score 1.0. ``queries`` is the list of query ids, each of which needs the whole corpus."""
-    if len(queries.columns) != 1:
-        queries = queries.select("query_id")
-    docs, asked = doc_ids.withColumn("_all", F.lit(1)), queries.distinct().withColumn("_all", F.lit(1))
-    pairs = lookup_join(docs, asked, ["_all"], hot=doc_ids.sparkSession.range(1, 2).select(F.col("id").cast("int").alias("_all"))).drop("_all")
-    return pairs.join(hits.select(*KEY), KEY, "left_anti").select(*KEY, F.lit(1.0).alias("score"))
+    """The complement per query, score 1.0. ``queries`` is the list of query ids, each of which needs the whole corpus; inside a larger
+    query use :func:`negate`, which lists nothing."""
+    return h_listed(doc_ids, negate(hits), queries)
 
 
 def h_and_not(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select(*KEY, "score").join(b.select(*KEY), KEY, "left_anti")
 
 
-def h_and_maybe(a: DataFrame, b: DataFrame) -> DataFrame:
+def h_and_maybe(a: Operand, b: Operand) -> Operand:
     """a's documents; b's score is added where b hits."""
+    if _split([a, b])[1]:
+        return _maybe_negated(a, b)
     return (_stack([a, b]).groupBy(*KEY).agg(F.sum("score").alias("score"), F.min("_in").alias("_in"))
             .filter("_in = 0").drop("_in"))
 
@@ -96,8 +185,13 @@ def h_otherwise(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select(*KEY, "score").union(lookup_join(b.select(*KEY, "score"), answered, ["query_id"], "left_anti").select(*KEY, "score"))
 
 
-def h_boolean(required: Sequence[DataFrame] = (), should: Sequence[DataFrame] = (), prohibited: Sequence[DataFrame] = ()) -> DataFrame:
+def h_boolean(required: Sequence[Operand] = (), should: Sequence[Operand] = (), prohibited: Sequence[Operand] = ()) -> Operand:
     """All required, none prohibited, optional ones add score; with nothing required at least one optional must hit."""
+    if _split([*required, *should, *prohibited])[1]:
+        out = h_and(*required) if required else h_or(*should)
+        for o in should if required else ():
+            out = h_and_maybe(out, o)
+        return h_and(out, *[negate(o, 0.0) for o in prohibited]) if prohibited else out
     base = len(required)
     rows = _stack([*required, *should, *prohibited])
     need, ban = F.col("_in") < base, F.col("_in") >= base + len(should)
