@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..joins import best_per_group, lookup_join
+from ..joins import best_per_group, fits_broadcast, lookup_join
 
 KEY = ["query_id", "doc_id"]
 
@@ -48,7 +48,7 @@ def any_of(hits: DataFrame, minmatch: int = 1) -> DataFrame:
 
 
 def _per_clause(hits: DataFrame, *carry: str) -> DataFrame:
-    """One row per clause and document (a clause may stand for several terms)."""
+    """One row per clause and document (a clause may stand for several terms). Hits that :func:`.clauses.match` holds ``together`` by document are not shuffled."""
     return hits.groupBy(*KEY, "clause_id").agg(F.sum("score").alias("score"), *[F.max(c).alias(c) for c in carry])
 
 
@@ -127,7 +127,18 @@ def h_listed(doc_ids: DataFrame, operand: Operand, queries: DataFrame) -> DataFr
         return operand
     if len(queries.columns) != 1:
         queries = queries.select("query_id")
-    docs, asked = doc_ids.withColumn("_all", F.lit(1)), queries.distinct().withColumn("_all", F.lit(1))
+    queries = queries.distinct()
+    if fits_broadcast(queries):
+        # Each document's row takes its own excluded queries off the list of all, so pairs are made where they are written and only what is excluded is shuffled.
+        # A query without an id excludes nothing.
+        every = queries.agg(F.collect_list("query_id").alias("_every"), F.filter(F.array(F.max(F.when(F.col("query_id").isNull(), True))), lambda x: x).alias("_nameless"))
+        gone = operand.excluded.groupBy("doc_id").agg(F.collect_set("query_id").alias("_gone"))
+        kind = gone.schema["_gone"].dataType
+        nameless = F.transform("_nameless", lambda x: F.lit(None).cast(kind.elementType))
+        remaining = F.concat(F.array_except(F.col("_every").cast(kind), F.coalesce("_gone", F.array().cast(kind))), nameless)
+        left = doc_ids.join(gone, "doc_id", "left").join(F.broadcast(every)).select(F.explode(remaining).alias("query_id"), "doc_id", F.lit(operand.score).alias("score"))
+        return left if operand.extra is None else h_and_maybe(left, operand.extra)
+    docs, asked = doc_ids.withColumn("_all", F.lit(1)), queries.withColumn("_all", F.lit(1))
     pairs = lookup_join(docs, asked, ["_all"], hot=doc_ids.sparkSession.range(1, 2).select(F.col("id").cast("int").alias("_all"))).drop("_all")
     left = pairs.join(operand.excluded.select(*KEY), KEY, "left_anti").select(*KEY, F.lit(operand.score).alias("score"))
     return left if operand.extra is None else h_and_maybe(left, operand.extra)
