@@ -132,6 +132,10 @@ def expand_synonyms(synsets: DataFrame, words: DataFrame, word: str = "word") ->
         .filter(F.col("word") != F.col("synonym")).select("word", "synonym").distinct()
 
 
+# Pieces of terms that a task looks up.
+TASK_PIECES = 1 << 22
+
+
 def f_compound(lexicon: DataFrame, dictionary: DataFrame, keep_compound: bool = True) -> DataFrame:
     """(term, part, part_no): terms fully covered by dictionary words, cut with the shortest first word that works out.
 
@@ -141,12 +145,14 @@ def f_compound(lexicon: DataFrame, dictionary: DataFrame, keep_compound: bool =
     words = dictionary.select(F.col("term").alias("piece")).distinct()
     # No piece longer than the longest word: the pieces of a term are its length times that bound.
     longest = words.agg(F.max(F.length("piece"))).first()[0] or 1
-    pieces = lexicon.select("term").filter("term <> ''").distinct().withColumn("at", F.explode(F.sequence(F.lit(0), F.length("term") - 1))) \
+    terms = lexicon.select("term").filter("term <> ''")
+    # All pieces of a term stay in the term's task; there are tasks enough that the pieces, not the terms, fit its memory.
+    most = terms.agg(F.sum((F.length("term") * F.least(F.length("term"), F.lit(longest))).cast("long"))).first()[0] or 0
+    tasks = max(lexicon.sparkSession.sparkContext.defaultParallelism, -(-most // TASK_PIECES))
+    pieces = terms.repartition(tasks, "term").distinct().withColumn("at", F.explode(F.sequence(F.lit(0), F.length("term") - 1))) \
         .withColumn("len", F.explode(F.sequence(F.lit(1), F.least(F.length("term") - F.col("at"), F.lit(longest))))) \
         .withColumn("piece", F.substring("term", F.col("at") + 1, F.col("len")))
     found = lookup_join(pieces, words, ["piece"])
-    # The list per term is bounded by the term's own length.
-    spots = found.groupBy("term").agg(F.collect_list(F.struct("at", "len")).alias("spots"))
 
     def cut(v: Column) -> Column:
         n = F.length(v["term"])
@@ -170,7 +176,16 @@ def f_compound(lexicon: DataFrame, dictionary: DataFrame, keep_compound: bool =
 
         return let(lens, walk)
 
-    parts = spots.select("term", let_all({"term": F.col("term"), "spots": F.col("spots")}, cut).alias("parts")).filter(F.size("parts") > 1)
+    def parted(v: Column) -> Column:
+        n = F.length(v["term"])
+        # Two parts or more need a word that starts the term and another that ends it.
+        starts = F.exists(v["spots"], lambda s: (s["at"] == 0) & (s["len"] < n))
+        ends = F.exists(v["spots"], lambda s: (s["at"] > 0) & (s["at"] + s["len"] == n))
+        return F.when(starts & ends, cut(v))
+
+    # The list per term is bounded by the term's own length. Cut where it is made, so that the filter does not cut a second time.
+    spots = F.collect_list(F.struct("at", "len"))
+    parts = found.groupBy("term").agg(let_all({"term": F.col("term"), "spots": spots}, parted).alias("parts")).filter(F.size("parts") > 1)
     out = F.concat(F.array("term"), F.col("parts")) if keep_compound else F.col("parts")
     return parts.select("term", F.posexplode(out).alias("part_no", "part"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleanery.functions.scoring import frequency
 from gleanery.operators import clauses as C
 from gleanery.operators import combine as H
+from gleanery.operators import lexicon as L
 from gleanery.operators import positional as P
 from gleanery.operators import ranking as Rk
 from gleanery.operators.index import IndexOnUse, doc_counts, text_field
@@ -81,3 +82,15 @@ def test_ranges_asked_twice_are_looked_up_once(spark, idx):
     found = {(r["query_id"], r["clause_id"], r["doc_id"]) for r in C.q_term_range(idx, clauses).collect()}
     every = {(q, 0, d) for q in (1, 2) for d in (1, 2, 4, None)}
     assert found == every | {(2, 1, 1), (2, 1, 2)}
+
+
+def test_pieces_decide_the_tasks_of_compounds(spark, monkeypatch):
+    monkeypatch.setattr(L, "TASK_PIECES", 10)
+    lexicon = spark.createDataFrame([("greeneggs",), ("green",), ("greeneggs",), ("",), (None,), ("hams",)], "term string")
+    words = spark.createDataFrame([("green",), ("eggs",), ("gre",), ("ham",), ("enegg",)], "term string")
+    out = L.f_compound(lexicon, words)
+    assert sorted((r["term"], r["part_no"], r["part"]) for r in out.collect()) == [("greeneggs", 0, "greeneggs"), ("greeneggs", 1, "green"), ("greeneggs", 2, "eggs")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # 9 letters twice, 5, and 4, each by the longest word's 5.
+    assert "RepartitionByExpression [term" in plan and ", 14\n" in plan
+    assert sum(line.count("aggregate(") > 0 for line in plan.split("\n")) == 1
