@@ -25,6 +25,8 @@ CLAUSE = ["query_id", "clause_id"]
 # A term found in more than 1/HOT_SHARE of the documents is spread over several tasks. At most (mean distinct terms
 # per document * HOT_SHARE) terms can be that frequent, so the list of them stays small.
 HOT_SHARE = 50
+# Hits that a task groups by query and document, so that its groups fit its memory however large the corpus is.
+TASK_HITS = 1 << 20
 
 
 def query_terms(queries: DataFrame, analyzer: Filter, field: str, text: str = "text", key: str = "query_id") -> DataFrame:
@@ -51,14 +53,21 @@ def _asked(index: SearchIndex, terms: DataFrame) -> tuple[bool, DataFrame]:
     return fits, index.postings_of(row["buckets"], row["fields"]) if fits else index.postings_of(None)
 
 
-def match(index: SearchIndex, terms: DataFrame, model: Model | None = None, keep: tuple[str, ...] = (), together: bool = False) -> DataFrame:
+def hit_tasks(index: SearchIndex, terms: DataFrame) -> int:
+    """Tasks that deal the hits of all query terms out at ``TASK_HITS`` each: a term has one for each document and query. At least one for each core."""
+    hits = lookup_join(index.term_stats.select("field", "term", "df"), terms.select("field", "term"), ["field", "term"]).agg(F.sum("df")).first()[0] or 0
+    return max(index.spark.sparkContext.defaultParallelism, -(-hits // TASK_HITS))
+
+
+def match(index: SearchIndex, terms: DataFrame, model: Model | None = None, keep: tuple[str, ...] = (), together: bool = False, tasks: int | None = None) -> DataFrame:
     """Score every posting of every query term.
 
     The statistics are joined to the (small) query terms, which then meet the postings in one join. The field table has
     one row per indexed field, a bound given by the schema.
 
     ``together`` shuffles the postings that any query asks for by document, before each is scored for all queries that ask for it: grouping
-    hits by query and document then shuffles nothing, however many queries share a word.
+    hits by query and document then shuffles nothing, however many queries share a word. ``tasks`` says into how many tasks; by default
+    that follows the size of the postings, not that of the hits.
     """
     model = model or BM25()
     terms = _with_boost(terms)
@@ -70,7 +79,8 @@ def match(index: SearchIndex, terms: DataFrame, model: Model | None = None, keep
     if fits:
         if together:
             asked = terms.select("field", "term").distinct()
-            postings = postings.join(F.broadcast(asked), ["field", "term"], "left_semi").repartition("doc_id")
+            postings = postings.join(F.broadcast(asked), ["field", "term"], "left_semi")
+            postings = postings.repartition(tasks, "doc_id") if tasks else postings.repartition("doc_id")
         # The join keeps at most one row per query term, so the measured bound also holds for its result.
         weighed = stats.join(F.broadcast(terms), ["field", "term"]).join(fields, "field")
         joined = postings.join(F.broadcast(weighed), ["field", "term"])

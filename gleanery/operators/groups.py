@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import Model
 from ..functions.tokens import Filter
-from .clauses import match
+from ..session import settle
+from .clauses import hit_tasks, match
 from .index import SearchIndex
 from .phrases import s_phrase
 
@@ -37,8 +38,13 @@ def q_multitoken(index: SearchIndex, words: DataFrame, group: str = "and", model
     need = F.when(F.col("rule") == "and", F.size("words")).otherwise(F.lit(1))
     # Equal tokens of a word are one term with a weight, so that a document brings at most one row for each.
     terms = tokens.select(*WORD, "field", "boost", need.alias("need"), F.explode("words").alias("term")).groupBy(*WORD, "field", "term", "boost", "need").agg(F.count(F.lit(1)).alias("times"))
-    hits = match(index, terms.withColumn("boost", F.col("boost") * F.col("times")), model, keep=())
-    loose = hits.groupBy(*WORD, "doc_id").agg(F.sum("score").alias("score"), F.sum("times").alias("_held"), F.max("need").alias("_need")).filter("_held >= _need")
+    terms = settle(terms.withColumn("boost", F.col("boost") * F.col("times")))
+    # A document's hits stay in the task that holds its postings, in tasks enough that no task's groups outgrow its memory.
+    hits = match(index, terms, model, together=True, tasks=hit_tasks(index, terms))
+    loose = hits.groupBy(*WORD, "doc_id").agg(F.sum("score").alias("score"), F.sum("times").alias("_held"), F.max("need").alias("_need")) \
+        .filter("_held >= _need").select(*WORD, "doc_id", "score")
+    # Without phrases there is nothing to add, and hits that are not put beside others can be grouped on without a shuffle.
+    if not told.agg(F.bool_or(F.col("rule") == "phrase")).first()[0]:
+        return loose
     strict = told.filter("rule = 'phrase'").select(F.struct(*WORD).alias("query_id"), "field", "words", "boost")
-    found = s_phrase(index, strict, model).select("query_id.*", "doc_id", "score")
-    return loose.select(*WORD, "doc_id", "score").unionByName(found)
+    return loose.unionByName(s_phrase(index, strict, model).select("query_id.*", "doc_id", "score"))

@@ -11,6 +11,7 @@ from gleanery.operators import combine as H
 from gleanery.operators import lexicon as L
 from gleanery.operators import positional as P
 from gleanery.operators import ranking as Rk
+from gleanery.operators.groups import q_multitoken
 from gleanery.operators.index import IndexOnUse, doc_counts, text_field
 
 TEXTS = [(1, "red green blue"), (2, "green grey red red"), (3, None), (4, "blue brown"), (4, "blue brown"), (None, "green grey")]
@@ -84,6 +85,26 @@ def test_ranges_asked_twice_are_looked_up_once(spark, idx):
     assert found == every | {(2, 1, 1), (2, 1, 2)}
 
 
+MULTI = {"first": [(1, 1.0), (2, 2.0)], "and": [(1, 2.0), (2, 3.0)], "or": [(1, 2.0), (2, 3.0), (None, 1.0)]}
+
+
+@pytest.mark.parametrize("rule", MULTI)
+def test_words_of_several_tokens_meet_without_a_shuffle(spark, idx, rule):
+    words = spark.createDataFrame([(1, 0, "text", ["red", "green"], rule, 1.0)], "query_id long, clause_id int, field string, words array<string>, rule string, boost double")
+    found = q_multitoken(idx, words, model=frequency).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
+    assert sorted(((r["doc_id"], r["score"]) for r in found.collect()), key=str) == sorted(MULTI[rule], key=str)
+    assert not exchanges_above_documents(found)
+
+
+def test_hits_decide_the_tasks_and_not_the_postings(spark, idx, monkeypatch):
+    t = terms(spark, [(q, 0, "red") for q in range(100)])
+    assert C.hit_tasks(idx, t) == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(C, "TASK_HITS", 10)
+    df = idx.term_stats.filter("term = 'red'").first()["df"]
+    assert C.hit_tasks(idx, t) == 10 * df > spark.sparkContext.defaultParallelism
+    assert C.match(idx, t, frequency, together=True, tasks=37).rdd.getNumPartitions() == 37
+
+
 def test_pieces_decide_the_tasks_of_compounds(spark, monkeypatch):
     monkeypatch.setattr(L, "TASK_PIECES", 10)
     lexicon = spark.createDataFrame([("greeneggs",), ("green",), ("greeneggs",), ("",), (None,), ("hams",)], "term string")
