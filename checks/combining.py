@@ -93,7 +93,8 @@ def h_multifield(spark, sf):
 def h_dismax_fields(spark, sf):
     role = F.when(F.col("clause_id") == 3, "+").when(F.col("clause_id") == 2, "-").otherwise("")
     words = multi_words(spark, sf).withColumn("role", role).withColumn("n_required", F.lit(1))
-    return out(H.h_dismax_fields(C.match(index(spark, sf), H.over_fields(words, FIELD_BOOSTS), together=True), tiebreak=0.1))
+    terms = H.over_fields(words, FIELD_BOOSTS)
+    return out(H.h_dismax_fields(C.match(index(spark, sf), terms, together=True, tasks=C.hit_tasks(index(spark, sf), terms)), tiebreak=0.1))
 
 
 # ---- parents and children: orders and their lines

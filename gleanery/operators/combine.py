@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from ..joins import best_per_group, fits_broadcast, lookup_join
 
 KEY = ["query_id", "doc_id"]
+# Places of the roles "+" and "-" among strings, see :func:`h_dismax_fields`.
+REQUIRED, BANNED = 1, 3
 
 
 def _stack(inputs: Sequence[DataFrame], base: int = 0) -> DataFrame:
@@ -232,12 +234,15 @@ def h_dismax_fields(hits: DataFrame, tiebreak: float = 0.0, role: str = "role")
 
     ``hits`` carries ``role`` per word and, per query, ``n_required``.
     """
+    # A role goes by its place among roles: a group of numbers is hashed, one of strings would be sorted.
+    r = F.col(role)
+    place = F.when(r < "+", 0).when(r == "+", REQUIRED).when(r < "-", 2).when(r == "-", BANNED).when(r > "-", 4)
     words = hits.groupBy(*KEY, "clause_id").agg(
-        dismax(F.col("score"), tiebreak).alias("score"), F.max(role).alias("_role"), F.max("n_required").alias("n_required"))
+        dismax(F.col("score"), tiebreak).alias("score"), F.max(place).alias("_role"), F.max("n_required").alias("n_required"))
     r = F.col("_role")
     out = words.groupBy(*KEY).agg(
-        F.sum(F.when(r != "-", F.col("score"))).alias("score"), F.count(F.when(r == "+", 1)).alias("_req"),
-        F.count(F.when(r == "-", 1)).alias("_ban"), F.max("n_required").alias("_need"))
+        F.sum(F.when(r != BANNED, F.col("score"))).alias("score"), F.count(F.when(r == REQUIRED, 1)).alias("_req"),
+        F.count(F.when(r == BANNED, 1)).alias("_ban"), F.max("n_required").alias("_need"))
     return out.filter((F.col("_ban") == 0) & (F.col("_req") == F.col("_need")) & F.col("score").isNotNull()).select(*KEY, "score")
 
 
