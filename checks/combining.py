@@ -85,7 +85,7 @@ FIELD_BOOSTS = {"text": 2.0, "lang": 0.5}
        "SELECT query_id, doc_id, round(sum(s), 6) AS score FROM c JOIN n USING (query_id) GROUP BY query_id, doc_id, need HAVING count(*) = need")
 def h_multifield(spark, sf):
     terms = H.over_fields(H.clause_counts(multi_words(spark, sf)), FIELD_BOOSTS)
-    return out(H.h_multifield(C.match(index(spark, sf), terms, together=True)))
+    return out(H.h_multifield(C.match(index(spark, sf), terms, together=True, tasks=C.hit_tasks(index(spark, sf), terms))))
 
 
 @check("h_dismax_fields", MULTI + "c AS (SELECT query_id, doc_id, clause_id, max(score) + 0.1 * (sum(score) - max(score)) AS s FROM b GROUP BY query_id, doc_id, clause_id) "

@@ -22,7 +22,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["h_dismax_fields"])
+@pytest.mark.parametrize("name", ["h_dismax_fields", "h_multifield"])
 def test_hits_decide_the_tasks_of_queries_over_fields(spark, tables, monkeypatch, name):
     monkeypatch.setattr(C, "TASK_HITS", 1)
     found = plan(R.QUERIES[name](spark, tables))
