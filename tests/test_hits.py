@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import checks.registry as R
+from gleanery.functions import spans as S
 from gleanery.operators import clauses as C
 from gleanery.operators import combine as H
+from gleanery.operators import positional as P
 
 DOCUMENTS = [(1, "red green blue", "en", "a"), (2, "green grey red red", "fr", "a"), (3, None, "en", "b"), (4, "blue brown", "en", "b"), (4, "blue brown", "en", "b"), (None, "green grey", "en", None)]
 BENCHMARK = [(0, "red green blue"), (1, "green grey grown"), (2, "blue brown")]
@@ -39,3 +41,36 @@ def test_roles_are_hashed_and_keep_their_order(spark):
     out = H.h_dismax_fields(hits)
     assert sorted((r["doc_id"], r["score"]) for r in out.collect()) == [(1, 3.0), (4, 1.0), (6, 4.0), (7, 2.0)]
     assert "SortAggregate" not in plan(out)
+
+
+def spans_of(rows, n):
+    """All lists of ``n`` spans out of ``rows`` numbers, in a made order."""
+    return [[(7 * (i + k) % 13, 7 * (i + k) % 13 + (3 * i + 5 * k) % 4) for k in range(n)] for i in range(rows)]
+
+
+@pytest.mark.parametrize("few", [0, 64])
+@pytest.mark.parametrize("ordered", [True, False])
+def test_short_and_long_lists_of_spans_agree_with_brute_force(spark, monkeypatch, few, ordered):
+    monkeypatch.setattr(S, "FEW", few)
+    lists = [(a, b) for n, m in ((1, 1), (1, 4), (3, 1), (4, 5)) for a, b in zip(spans_of(9, n), reversed(spans_of(9, m)))]
+    df = spark.createDataFrame(lists, f"a {S.SPANS}, b {S.SPANS}")
+    a, b = F.col("a"), F.col("b")
+    got = df.select("a", "b", S.near(a, b, 4, ordered, 2).alias("near"), S.free_of(a, b).alias("free"), S.around(a, b).alias("around"), S.merge(b).alias("merged")).collect()
+    plain = lambda spans: [tuple(s) for s in spans]
+    for r in got:
+        x, y = plain(r["a"]), plain(r["b"])
+        close = lambda s, t: 2 <= t[0] - s[1] <= 4 or not ordered and 2 <= s[0] - t[1] <= 4
+        assert plain(r["near"]) == sorted({(min(s[0], t[0]), max(s[1], t[1])) for s in x for t in y if close(s, t)})
+        assert plain(r["free"]) == [s for s in x if not any(s[0] <= t[1] and s[1] >= t[0] for t in y)]
+        assert plain(r["around"]) == [s for s in x if any(s[0] <= t[0] and t[1] <= s[1] for t in y)]
+        held = sorted({p for s in y for p in range(s[0], s[1] + 1)})
+        assert [p for s in plain(r["merged"]) for p in range(s[0], s[1] + 1)] == held
+        assert all(s[1] + 1 < t[0] for s, t in zip(plain(r["merged"]), plain(r["merged"])[1:]))
+
+
+@pytest.mark.parametrize("name", ["s_merge"])
+def test_spans_meet_in_windows_in_as_many_tasks_as_hits_need(spark, tables, monkeypatch, name):
+    monkeypatch.setattr(C, "TASK_HITS", 1)
+    found = plan(R.QUERIES[name](spark, tables))
+    assert "ObjectHashAggregate" not in found and "REPARTITION_BY_COL" not in found
+    assert not [x for x in found.split("\n") if "Exchange hashpartitioning" in x and "query_id" in x and "doc_id" in x]
