@@ -68,9 +68,17 @@ def test_short_and_long_lists_of_spans_agree_with_brute_force(spark, monkeypatch
         assert all(s[1] + 1 < t[0] for s, t in zip(plain(r["merged"]), plain(r["merged"])[1:]))
 
 
-@pytest.mark.parametrize("name", ["s_merge"])
+@pytest.mark.parametrize("name", ["s_merge", "s_or"])
 def test_spans_meet_in_windows_in_as_many_tasks_as_hits_need(spark, tables, monkeypatch, name):
     monkeypatch.setattr(C, "TASK_HITS", 1)
     found = plan(R.QUERIES[name](spark, tables))
     assert "ObjectHashAggregate" not in found and "REPARTITION_BY_COL" not in found
     assert not [x for x in found.split("\n") if "Exchange hashpartitioning" in x and "query_id" in x and "doc_id" in x]
+
+
+def test_union_of_spans_adds_scores_and_joins_lists_of_repeated_ids(spark):
+    kind = f"query_id long, doc_id long, score double, spans {S.SPANS}"
+    a = spark.createDataFrame([(1, 4, 1.0, [(0, 0)]), (1, 4, 2.0, [(5, 5)]), (None, 4, 1.0, [(1, 1)]), (1, 5, 1.0, [(0, 0), (1, 1)])], kind)
+    b = spark.createDataFrame([(1, 4, 4.0, [(6, 6), (1, 2)]), (None, 4, 1.0, [(3, 3)])], kind)
+    out = {(r["query_id"], r["doc_id"]): (r["score"], [tuple(s) for s in r["spans"]]) for r in P.s_or(a, b).collect()}
+    assert out == {(1, 4): (7.0, [(0, 2), (5, 6)]), (None, 4): (2.0, [(1, 1), (3, 3)]), (1, 5): (1.0, [(0, 1)])}
