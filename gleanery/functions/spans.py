@@ -95,6 +95,8 @@ def near(a: Column, b: Column, slop: int, ordered: bool = True, mindist: int = 1
         return F.flatten(F.transform(a, partners))
 
     def with_ends(v: Column) -> Column:
+        if ordered:
+            return pairs(a, v, v)
         turned = F.sort_array(F.transform(v["b"], lambda y: F.struct(y["end"].alias("end"), y["start"].alias("start"))))
         return let(turned, lambda t: let_all({"spans": t, "ends": F.transform(t, lambda y: y["end"])}, lambda w: pairs(a, v, w)))
 
