@@ -139,7 +139,8 @@ def free_of(a: Column, b: Column) -> Column:
     def free(v: Column, x: Column) -> Column:
         return let(count_below(v["starts"], x["end"] + 1), lambda n: (n == 0) | (F.get(v["reach"], n - 1) < x["start"]))
 
-    return _by_start(b, lambda v: F.filter(a, lambda x: free(v, x)))
+    few = F.filter(a, lambda x: ~F.exists(b, lambda y: overlaps(x, y)))
+    return F.when(F.size(b) <= FEW, few).otherwise(_by_start(b, lambda v: F.filter(a, lambda x: free(v, x))))
 
 
 def around(a: Column, b: Column) -> Column:
