@@ -145,4 +145,5 @@ def free_of(a: Column, b: Column) -> Column:
 
 def around(a: Column, b: Column) -> Column:
     """The a-spans that hold a b-span."""
-    return _by_start(b, lambda v: F.filter(a, lambda x: F.get(v["nearest"], count_below(v["starts"], x["start"])) <= x["end"]))
+    few = F.filter(a, lambda x: F.exists(b, lambda y: is_within(y, x)))
+    return F.when(F.size(b) <= FEW, few).otherwise(_by_start(b, lambda v: F.filter(a, lambda x: F.get(v["nearest"], count_below(v["starts"], x["start"])) <= x["end"])))

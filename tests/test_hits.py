@@ -68,7 +68,7 @@ def test_short_and_long_lists_of_spans_agree_with_brute_force(spark, monkeypatch
         assert all(s[1] + 1 < t[0] for s, t in zip(plain(r["merged"]), plain(r["merged"])[1:]))
 
 
-@pytest.mark.parametrize("name", ["s_merge", "s_or", "s_near_chain", "s_not"])
+@pytest.mark.parametrize("name", ["s_merge", "s_or", "s_near_chain", "s_not", "s_contains"])
 def test_spans_meet_in_windows_in_as_many_tasks_as_hits_need(spark, tables, monkeypatch, name):
     monkeypatch.setattr(C, "TASK_HITS", 1)
     found = plan(R.QUERIES[name](spark, tables))
