@@ -109,18 +109,36 @@ def constant_hits(index: SearchIndex, terms: DataFrame) -> DataFrame:
 
     The expansion is settled first: it is measured and then used, and should be computed once.
     """
-    terms = settle(_with_boost(terms))
+    return _constant_hits(index, settle(_with_boost(terms)))
+
+
+def _constant_hits(index: SearchIndex, terms: DataFrame, tasks: int | None = None) -> DataFrame:
+    """:func:`constant_hits` of settled terms, all of a document in one place: no grouping by document shuffles them again."""
+    def deal(rows: DataFrame) -> DataFrame:
+        return rows.repartition(tasks, "doc_id") if tasks else rows.repartition("doc_id")
+
     fits, stored = _asked(index, terms)
     postings = stored.select("field", "term", "doc_id")
     if fits:
-        # By document before the clauses are dealt out: no grouping of the hits by document shuffles them again.
+        # By document before the clauses are dealt out.
         asked = terms.select("field", "term").distinct()
-        postings = postings.join(F.broadcast(asked), ["field", "term"], "left_semi").repartition("doc_id")
-    joined = postings.join(F.broadcast(terms), ["field", "term"]) if fits else lookup_join(postings, terms, ["field", "term"], hot=hot_terms(index))
+        joined = deal(postings.join(F.broadcast(asked), ["field", "term"], "left_semi")).join(F.broadcast(terms), ["field", "term"])
+    else:
+        joined = deal(lookup_join(postings, terms, ["field", "term"], hot=hot_terms(index)).select(*CLAUSE, "doc_id", "boost"))
     return joined \
         .groupBy(*CLAUSE, "doc_id").agg(F.max("boost").alias("score"))
 
 
+def _shared_tasks(index: SearchIndex, terms: DataFrame, whose: DataFrame) -> int:
+    """Tasks for hits of lookups that several clauses share: each has at most a hit for each document, and for each of its clauses."""
+    found = lookup_join(index.term_stats.select("field", "term", "df"), terms.select("field", "term", F.col("query_id").alias("_asked")), ["field", "term"])
+    docs = found.groupBy("_asked").agg(F.sum("df").alias("df"))
+    shared = whose.groupBy("_asked").agg(F.count(F.lit(1)).alias("n"))
+    most = index.field_stats.agg(F.max("n_docs").alias("n_docs"))
+    hits = lookup_join(docs, shared, ["_asked"]).join(F.broadcast(most)).agg(F.sum(F.least("df", "n_docs") * F.col("n"))).first()[0] or 0
+    return max(index.spark.sparkContext.defaultParallelism, -(-hits // TASK_HITS))
+
+
 def q_term(index: SearchIndex, clauses: DataFrame, model: Model | None = None) -> DataFrame:
     return match(index, clauses.withColumnRenamed("text", "term"), model)
 
@@ -209,10 +227,11 @@ def _each_once(index: SearchIndex, clauses: DataFrame, expand: Callable[[SearchI
     """Hits of clauses that stand for several terms: clauses equal in ``on`` are looked up once, whichever queries they belong to."""
     clauses = _with_boost(clauses)
     asked = settle(clauses.select(*on).distinct().withColumn("query_id", F.monotonically_increasing_id()))
-    hits = constant_hits(index, expand(index, asked.withColumn("clause_id", F.lit(0)))).select(F.col("query_id").alias("_asked"), "doc_id")
+    terms = settle(expand(index, asked.withColumn("clause_id", F.lit(0))))
     # An open end of a range is null, and equal to itself.
     same = reduce(and_, [F.col(f"c.{x}").eqNullSafe(F.col(f"a.{x}")) for x in on])
     whose = clauses.alias("c").join(asked.withColumnRenamed("query_id", "_asked").alias("a"), same).select(*[f"c.{x}" for x in CLAUSE], "_asked", F.col("c.boost").alias("score"))
+    hits = _constant_hits(index, terms, _shared_tasks(index, terms, whose)).select(F.col("query_id").alias("_asked"), "doc_id")
     return lookup_join(hits, whose, ["_asked"]).select(*CLAUSE, "doc_id", "score")
 
 

@@ -82,3 +82,20 @@ def test_union_of_spans_adds_scores_and_joins_lists_of_repeated_ids(spark):
     b = spark.createDataFrame([(1, 4, 4.0, [(6, 6), (1, 2)]), (None, 4, 1.0, [(3, 3)])], kind)
     out = {(r["query_id"], r["doc_id"]): (r["score"], [tuple(s) for s in r["spans"]]) for r in P.s_or(a, b).collect()}
     assert out == {(1, 4): (7.0, [(0, 2), (5, 6)]), (None, 4): (2.0, [(1, 1), (3, 3)]), (1, 5): (1.0, [(0, 1)])}
+
+
+
+@pytest.mark.parametrize("name", ["q_wildcard_end"])
+def test_hits_of_patterns_are_shuffled_once_by_document(spark, tables, monkeypatch, name):
+    wide = R.QUERIES[name](spark, tables)
+    rows = sorted(((r["query_id"], r["doc_id"]) for r in wide.collect()), key=str)
+    assert len(set(rows)) == len(rows) > 0
+    # Expansions too many to send to every task.
+    measured = C.measured
+    monkeypatch.setattr(C, "measured", lambda *a, **k: (False, measured(*a, **k)[1]))
+    monkeypatch.setattr(C, "TASK_HITS", 1)
+    dealt = R.QUERIES[name](spark, tables)
+    found = plan(dealt)
+    assert sorted(((r["query_id"], r["doc_id"]) for r in dealt.collect()), key=str) == rows
+    assert "REPARTITION_BY_NUM" in found
+    assert not [x for x in found.split("\n") if "Exchange hashpartitioning" in x and "doc_id" in x and ("query_id" in x or "clause_id" in x)]
