@@ -85,7 +85,7 @@ def test_union_of_spans_adds_scores_and_joins_lists_of_repeated_ids(spark):
 
 
 
-@pytest.mark.parametrize("name", ["q_wildcard_end", "q_regex_end", "q_wildcard", "q_prefix"])
+@pytest.mark.parametrize("name", ["q_wildcard_end", "q_regex_end", "q_wildcard", "q_prefix", "q_wildcard_second"])
 def test_hits_of_patterns_are_shuffled_once_by_document(spark, tables, monkeypatch, name):
     wide = R.QUERIES[name](spark, tables)
     rows = sorted(((r["query_id"], r["doc_id"]) for r in wide.collect()), key=str)
