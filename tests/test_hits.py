@@ -1,5 +1,7 @@
 """Queries with many hits: tasks that follow the hits, plans that sort and shuffle no hit, results against plain Python."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +10,7 @@ from gleanery.functions import spans as S
 from gleanery.operators import clauses as C
 from gleanery.operators import combine as H
 from gleanery.operators import positional as P
+from gleanery.session import stored
 
 DOCUMENTS = [(1, "red green blue", "en", "a"), (2, "green grey red red", "fr", "a"), (3, None, "en", "b"), (4, "blue brown", "en", "b"), (4, "blue brown", "en", "b"), (None, "green grey", "en", None)]
 BENCHMARK = [(0, "red green blue"), (1, "green grey grown"), (2, "blue brown")]
@@ -99,3 +102,20 @@ def test_hits_of_patterns_are_shuffled_once_by_document(spark, tables, monkeypat
     assert sorted(((r["query_id"], r["doc_id"]) for r in dealt.collect()), key=str) == rows
     assert "REPARTITION_BY_NUM" in found
     assert not [x for x in found.split("\n") if "Exchange hashpartitioning" in x and "doc_id" in x and ("query_id" in x or "clause_id" in x)]
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def test_stored_rows_leave_no_shuffle_files(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting, before = spark.conf.get(key), shuffle_files(spark)
+    rows = stored(spark.range(1000).selectExpr("id % 7 AS k", "id").repartitionByRange(3, "k"))
+    for _ in range(50):
+        if not shuffle_files(spark) - before:
+            break
+        time.sleep(0.1)
+    assert shuffle_files(spark) - before == set()
+    assert rows.count() == 1000 and spark.conf.get(key) == setting
